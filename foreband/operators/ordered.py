@@ -37,13 +37,22 @@ def with_position(df: DataFrame, keys: list[str], ts: str, days: int = SPAN_DAYS
     )
 
 
-def into_blocks(df: DataFrame, halo: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds `block` and `own`; the last `halo` rows of a block also appear in the next one with `own` false."""
-    if halo > block_rows:
+def into_blocks(df: DataFrame, before: int, after: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds `block` and `own` to a frame that has `pos`.
+
+    A block also gets the last `before` rows of its predecessor and the first `after` rows of its successor,
+    with `own` false.
+    """
+    if max(before, after) > block_rows:
         raise ValueError("a block must be at least as long as its halo")
     home = F.floor((F.col("pos") - 1) / F.lit(block_rows)).cast("int")
     place = (F.col("pos") - 1) % block_rows
-    homes = F.when(place >= block_rows - halo, F.array(home, home + 1)).otherwise(F.array(home))
+    none = F.array().cast("array<int>")
+    homes = F.concat(
+        F.array(home),
+        F.when(place >= block_rows - before, F.array(home + 1)).otherwise(none),
+        F.when((place < after) & (home > 0), F.array(home - 1)).otherwise(none),
+    )
     return df.withColumn("block", F.explode(homes)).withColumn("own", F.col("block") == home)
 
 
@@ -53,7 +62,7 @@ def with_lags(
     """Positional lags of a frame that has `pos`: new column -> (source, steps back)."""
     deepest = max(k for _, k in lags.values())
     w = Window.partitionBy(*keys, "block").orderBy("pos")
-    blocks = into_blocks(df, deepest, block_rows)
+    blocks = into_blocks(df, deepest, block_rows=block_rows)
     cols = {
         name: F.lag(F.col(src) if isinstance(src, str) else src, k).over(w) for name, (src, k) in lags.items()
     }
