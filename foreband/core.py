@@ -42,5 +42,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def parallelism(spark: SparkSession) -> int:
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, shuffle)
+    """Number of tasks to spread block work over: every core, and on a cluster no fewer than the shuffle setting."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        return sc.defaultParallelism
+    return max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
