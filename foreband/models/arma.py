@@ -171,3 +171,17 @@ def residual_blocks(blocks: DataFrame, fits: DataFrame, keys: list[str]) -> Data
             yield pd.DataFrame(rows, columns=schema.names)
 
     return ready.join(state, keys).mapInPandas(apply, schema)
+
+
+def given_parameters(blocks: DataFrame, keys: list[str], const: float, phi: float, theta: float) -> DataFrame:
+    """The same first-order mean model for every key; values before the first row count as the series' mean."""
+    mean = blocks.groupBy(*keys).agg(
+        F.sum(F.aggregate(F.slice("y", F.col("lead") + 1, F.col("n_own")), F.lit(0.0), lambda a, v: a + v)).alias("_s"),
+        F.sum("n_own").alias("_n"),
+    )
+    zeros = [F.lit(0.0)] * (MAX_ORDER - 1)
+    p = F.array(
+        F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(const), F.lit(phi), *zeros, F.lit(theta), *zeros, F.lit(1.0),
+        F.col("_n").cast("double"), F.col("_s") / F.col("_n"),
+    )
+    return mean.select(*keys, p.alias("p"))
