@@ -24,19 +24,22 @@ PHI, THETA, SIGMA2, SIZE = 4, 4 + MAX_ORDER, 4 + 2 * MAX_ORDER, 7 + 2 * MAX_ORDE
 
 
 def return_blocks(returns: DataFrame, keys: list[str], steps, origins: list | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks of the returns `ret1`, `ret2`, ... per (keys, h [, origin]); an origin sees only its past."""
+    """Blocks of the returns `ret1`, `ret2`, ... per (keys, h [, origin]); an origin sees only its past.
+
+    `day` counts days since 1970: numbers reach Python as one buffer, dates as objects.
+    """
     names = [f"ret{h}" for h in steps]
     long = returns.select(*keys, "date", *names).unpivot([*keys, "date"], names, "_h", "y").filter("y IS NOT NULL")
-    long = long.select(*keys, F.substring("_h", 4, 2).cast("int").alias("h"), "date", "y")
+    long = long.select(*keys, F.substring("_h", 4, 2).cast("int").alias("h"), F.unix_date("date").alias("day"), "date", "y")
     placed = with_position(long, [*keys, "h"], "date").drop("n_rows")
-    blocks = P.ordered_blocks(placed, [*keys, "h"], ["date", "y"], HALO, block_rows=block_rows)
+    blocks = P.ordered_blocks(placed, [*keys, "h"], ["day", "y"], HALO, block_rows=block_rows)
     if origins is None:
         return P.run(blocks)
     known = F.array(*[F.lit(o) for o in origins])
     per_origin = blocks.withColumn("origin", F.explode(known))
-    size = F.size(F.filter("date", lambda d: d <= F.col("origin")))
+    size = F.size(F.filter("day", lambda d: d <= F.unix_date("origin")))
     kept = per_origin.withColumn("_n", size).withColumn("n_own", F.col("_n") - F.col("lead")).filter("n_own > 0")
-    kept = kept.withColumns({c: F.slice(c, F.lit(1), F.col("_n")) for c in ("pos", "date", "y")}).drop("_n")
+    kept = kept.withColumns({c: F.slice(c, F.lit(1), F.col("_n")) for c in ("pos", "day", "y")}).drop("_n")
     return P.run(P.spread(kept, [*keys, "h", "origin"]))
 
 
@@ -80,8 +83,9 @@ def _lagged_mapper(block, p):
 
 def orders(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """The Gram sums every order is solved from: keys, `p`."""
-    long = P.run(P.step(blocks, P.initial_state(blocks, keys, []), keys, _long_mapper, _long_reducer))
-    return P.run(P.step(blocks, long, keys, _lagged_mapper, lambda p, s: s))
+    blocks = blocks.select(*keys, "block", "lead", "y")
+    long = P.run(P.step(blocks, [], keys, _long_mapper, _long_reducer))
+    return P.run(P.step(blocks, P.state_hint(blocks, keys)(long), keys, _lagged_mapper, lambda p, s: s))
 
 
 def solve_order(gram: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -150,9 +154,10 @@ def zero_start(p: np.ndarray) -> np.ndarray:
 
 def residual_blocks(blocks: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks with the residuals `e` of the ARMA filter, next to `y`; `e` starts with the last values before the block."""
-    state = fits.select(*keys, "p")
+    state = P.state_hint(blocks, keys)(fits.select(*keys, "p"))
+    blocks = blocks.select(*keys, "block", "lead", "day", "y")
     ready = R.with_starts(blocks, state, keys, arma_inputs, zero_start, MAX_ORDER, R.single_block(blocks))
-    keep = [blocks.schema[c] for c in ("block", "pos", "date") if c in blocks.columns]
+    keep = [blocks.schema[c] for c in ("block", "day")]
     schema = T.StructType(
         [*P.key_fields(blocks, keys), *keep, T.StructField("lead", T.IntegerType()), P.vector("y"), P.vector("e"), P.vector("y_last"), P.vector("mean_p")]
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foreband.core import broadcast_if_small, is_small
+from foreband.core import broadcast_if_small
 from foreband.models import passes as P
 from foreband.operators.ordered import span_of
 
@@ -49,25 +49,35 @@ def feature_edges(df: DataFrame, keys: list[str], features: list[Column], bins:
     return df.groupBy(*keys).agg(F.array(*[F.coalesce(c, F.array().cast("array<double>")) for c in cols]).alias("edges"))
 
 
+def _seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a wall-clock time, whatever the session's zone."""
+    return F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def _wall_clock(seconds: Column) -> Column:
+    day = F.date_from_unix_date(F.floor(seconds / F.lit(86400)).cast("int")).cast("timestamp_ntz")
+    return day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds % 86400)
+
+
 def coded_blocks(
     df: DataFrame, keys: list[str], ts: str, y: str, clock: Column, features: list[Column], edges: DataFrame, span_days: int = 128
 ) -> DataFrame:
-    """Blocks with `ts`, `y`, `clock` and one byte per (row, feature) in `codes`; class 0 holds missing values."""
+    """Blocks with the time `at`, `y`, `clock` and one byte per (row, feature) in `codes`; class 0 holds missing values."""
     k = len(features)
     row = F.struct(
-        F.col(ts).alias("ts"),
+        _seconds(F.col(ts)).alias("at"),
         F.col(y).cast("double").alias("y"),
         clock.cast("double").alias("clock"),
         F.array(*[f.cast("double") for f in features]).alias("x"),
     )
     packed = df.groupBy(*keys, span_of(ts, span_days).alias("block")).agg(F.collect_list(row).alias("_r"))
     blocks = packed.join(broadcast_if_small(edges, 5_000), keys).select(
-        *keys, "block", *[F.col("_r")[c].alias(c) for c in ("ts", "y", "clock")], F.flatten("_r.x").alias("x"), "edges"
+        *keys, "block", *[F.col("_r")[c].alias(c) for c in ("at", "y", "clock")], F.flatten("_r.x").alias("x"), "edges"
     )
     schema = T.StructType(
         [
             *P.key_fields(blocks, keys),
-            *[blocks.schema[c] for c in ("block", "ts", "y", "clock")],
+            *[blocks.schema[c] for c in ("block", "at", "y", "clock")],
             T.StructField("codes", T.BinaryType()),
             P.vector("f"),
         ]
@@ -78,7 +88,7 @@ def coded_blocks(
             rows = []
             for key, block in P.block_rows_of(pdf, keys):
                 x = np.array(block["x"], dtype=float).reshape(-1, k)
-                rows.append((*key, block["block"], block["ts"], block["y"], block["clock"], encode(x, block["edges"]).tobytes(), np.zeros(0)))
+                rows.append((*key, block["block"], block["at"], block["y"], block["clock"], encode(x, block["edges"]).tobytes(), np.zeros(0)))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return P.run(P.spread(blocks, keys).mapInPandas(code, schema))
@@ -285,22 +295,22 @@ def fit(blocks: DataFrame, keys: list[str], features: list[str], specs: list[Spe
     """
     shape = Shape(specs, len(features))
     ends = P.run(_bounds(blocks, keys, shape))
-    small = is_small(ends)
-    attach = F.broadcast if small else (lambda df: df)
+    attach = P.state_hint(blocks, keys)
     rates = np.array([s.rate for s in specs])
     segments, snapshots = [], {}
     done, first = 0, True
     while done < rounds or first:
         state = _with_trees(ends, keys, shape)
+        seen = blocks.drop("at")
         stop = min([SEGMENT - first, rounds - done, *[k - done for k in keep_at if k > done]])
         slot = 0
         if first:
-            state = P.step(blocks, attach(state), keys, *_leaf_pass(shape, 0, np.ones(shape.m)))
+            state = P.step(seen, attach(state), keys, *_leaf_pass(shape, 0, np.ones(shape.m)))
             slot, first = 1, False
         for _ in range(stop):
             for d in range(shape.depth):
-                state = P.step(blocks, attach(state), keys, *_split_pass(shape, slot, d))
-            state = P.run(P.step(blocks, attach(state), keys, *_leaf_pass(shape, slot, rates)))
+                state = P.step(seen, attach(state), keys, *_split_pass(shape, slot, d))
+            state = P.run(P.step(seen, attach(state), keys, *_leaf_pass(shape, slot, rates)))
             slot += 1
         done += stop
         state = P.run(state) if stop == 0 else state
@@ -323,9 +333,9 @@ def prediction_rows(blocks: DataFrame, keys: list[str], specs: list[Spec], test_
     m = len(specs)
     rows = blocks.select(
         *keys,
-        F.posexplode(F.arrays_zip("ts", "y", "clock")).alias("_i", "_r"),
+        F.posexplode(F.arrays_zip("at", "y", "clock")).alias("_i", "_r"),
         "f",
-    ).select(*keys, F.col("_r.ts").alias("ts"), F.col("_r.y").alias("y"), F.col("_r.clock").alias("clock"), F.slice("f", F.col("_i") * m + 1, m).alias("_f"))
+    ).select(*keys, _wall_clock(F.col("_r.at")).alias("ts"), F.col("_r.y").alias("y"), F.col("_r.clock").alias("clock"), F.slice("f", F.col("_i") * m + 1, m).alias("_f"))
     models = F.array(
         *[F.struct(F.lit(j).alias("model_no"), F.lit(s.tau).alias("tau"), F.lit(s.train_upto).alias("_a"), F.lit(s.test_upto).alias("_b")) for j, s in enumerate(specs)]
     )
@@ -350,7 +360,8 @@ def test_losses(blocks: DataFrame, keys: list[str], specs: list[Spec]) -> DataFr
         loss = 2 * np.maximum(tau * r, (tau - 1) * r)
         return np.concatenate([np.where(test, loss, 0.0).sum(axis=0), test.sum(axis=0)])
 
-    total = P.run(P.step(blocks, P.initial_state(blocks, keys, []), keys, mapper, lambda p, s: s))
+    blocks = blocks.select(*keys, "block", "y", "clock", "f")
+    total = P.run(P.step(blocks, [], keys, mapper, lambda p, s: s))
     pairs = F.arrays_zip(F.slice("p", 1, shape_m).alias("loss"), F.slice("p", shape_m + 1, shape_m).alias("n"))
     rows = total.select(*keys, F.posexplode(pairs).alias("model_no", "_r"))
     return rows.filter("_r.n > 0").select(*keys, "model_no", (F.col("_r.loss") / F.col("_r.n")).alias("loss"), F.col("_r.n").cast("long").alias("n"))

@@ -29,6 +29,7 @@ def fit_distributions(blocks: DataFrame, keys: list[str], rounds: int = 18) -> D
     Normal: mean and deviation. Cauchy: location and scale. t: degrees of freedom of the plain t, started at 2.
     The search for the last two shares its passes over the blocks, which hold the sample in `y` with `lead` rows to skip.
     """
+    blocks = blocks.select(*keys, "block", "lead", "y")
     cauchy, student = Compass(1, 2, np.array([0.0, 0.0])), Compass(1, 1, np.array([math.log(2.0)]))
     size = cauchy.size
 
@@ -57,7 +58,7 @@ def fit_distributions(blocks: DataFrame, keys: list[str], rounds: int = 18) -> D
         k = len(cauchy.moves)
         return np.concatenate([p[:3], cauchy.update(p[3 : 3 + size], s[:k]), student.update(p[3 + size :], s[k:])])
 
-    state = P.run(P.step(blocks, P.initial_state(blocks, keys, []), keys, moments, start))
+    state = P.run(P.step(blocks, [], keys, moments, start))
     fitted = P.iterate(blocks, state, keys, mapper, reducer, rounds)
     names = ["distribution", "estimate1", "estimate2", "loglik", "aic", "bic", "n"]
     kinds = [T.StringType(), *[T.DoubleType()] * 5, T.LongType()]

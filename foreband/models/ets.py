@@ -23,9 +23,10 @@ FREE = (3, 5, 6)
 SKIP = 2
 
 
-def trend_blocks(df: DataFrame, keys: list[str], ts: str, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def trend_blocks(df: DataFrame, keys: list[str], value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of a frame that has `pos`."""
-    return P.run(P.ordered_blocks(df.select(*keys, "pos", ts, F.col(value).alias("y")), keys, [ts, "y"], SKIP, block_rows=block_rows))
+    rows = df.select(*keys, "pos", F.col(value).cast("double").alias("y"))
+    return P.run(P.ordered_blocks(rows, keys, ["y"], SKIP, block_rows=block_rows).drop("pos", "n_own"))
 
 
 def _decode(theta: np.ndarray, form: np.ndarray):
@@ -72,7 +73,7 @@ def fit(blocks: DataFrame, keys: list[str], rounds: int = 14) -> DataFrame:
         loglik = -n / 2 * np.log(np.maximum(s[1:], 1e-12) / n)
         return np.concatenate([[n], compass.update(p[1:], loglik)])
 
-    start = P.initial_state(blocks, keys, [0.0, *compass.initial()])
+    start = [0.0, *compass.initial()]
     fitted = R.search(blocks, start, keys, inputs, initial, 2, mapper, reducer, rounds)
     names = ["form", "alpha", "beta", "phi", "aicc"]
     kinds = [T.StringType(), *[T.DoubleType()] * 4]
@@ -97,7 +98,8 @@ def fit(blocks: DataFrame, keys: list[str], rounds: int = 14) -> DataFrame:
 
 
 def given_parameters(blocks: DataFrame, keys: list[str], alpha: float, beta: float, phi: float) -> DataFrame:
-    return P.initial_state(blocks, keys, [alpha, beta, phi])
+    p = F.array(F.lit(float(alpha)), F.lit(float(beta)), F.lit(float(phi)))
+    return blocks.select(*keys).distinct().withColumn("p", p)
 
 
 def _given_inputs(block, p):
@@ -111,7 +113,7 @@ def _zero(p):
 
 def forecast(blocks: DataFrame, fits: DataFrame, keys: list[str], n_ahead: int = 3) -> DataFrame:
     """Forecasts from the level and trend after the last row: keys, step, value."""
-    state = fits.select(*keys, "p")
+    state = P.state_hint(blocks, keys)(fits.select(*keys, "p"))
     ready = R.with_starts(blocks, state, keys, _given_inputs, _zero, 2, R.single_block(blocks)).join(state, keys)
     last = blocks.groupBy(*keys).agg(F.max("block").alias("block"))
     schema = T.StructType([*P.key_fields(blocks, keys), T.StructField("step", T.IntegerType()), T.StructField("value", T.DoubleType())])

@@ -71,6 +71,7 @@ def search_orders(
     `g` is omega, degrees of freedom, alpha (6), beta (6). The number of observations and the sample variance come
     from a first pass.
     """
+    residuals = residuals.select(*keys, "block", "lead", "e")
     orders = np.array([(p, q) for p in range(1, max_p + 1) for q in range(1, max_q + 1)])
     compass = R.Compass(len(orders), 5, START)
     per_order = len(compass.moves)
@@ -84,7 +85,7 @@ def search_orders(
     state = P.run(
         P.step(
             residuals,
-            P.initial_state(residuals, keys, []),
+            [],
             keys,
             moments,
             lambda p, s: np.concatenate([[s[0], s[1] / s[0]], compass.initial()]),
@@ -155,14 +156,14 @@ def _sigma_start(g: np.ndarray) -> np.ndarray:
 
 
 def with_variance_starts(residuals: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    state = fits.select(*keys, F.col("g").alias("p"))
+    state = P.state_hint(residuals, keys)(fits.select(*keys, F.col("g").alias("p")))
     ready = R.with_starts(residuals, state, keys, _sigma_inputs, _sigma_start, A.MAX_ORDER, R.single_block(residuals))
     return ready.join(state, keys)
 
 
 def paths(residuals: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """In-sample path: keys, date, y, fitted, sigma."""
-    out = T.StructType([*P.key_fields(residuals, keys), residuals.schema["date"], P.vector("y"), P.vector("fitted"), P.vector("sigma")])
+    out = T.StructType([*P.key_fields(residuals, keys), residuals.schema["day"], P.vector("y"), P.vector("fitted"), P.vector("sigma")])
 
     def apply(batches):
         for pdf in batches:
@@ -170,18 +171,20 @@ def paths(residuals: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
             for key, block in P.block_rows_of(pdf, keys):
                 sigma2, _, _ = R.run_block(block, np.asarray(block["p"], dtype=float), _sigma_inputs, _sigma_start)
                 y, e = np.asarray(block["y"]), np.asarray(block["e"])[block["lead"] :]
-                rows.append((*key, block["date"], y, y - e, np.sqrt(sigma2[:, 0])))
+                rows.append((*key, block["day"], y, y - e, np.sqrt(sigma2[:, 0])))
             yield pd.DataFrame(rows, columns=out.names)
 
     packed = with_variance_starts(residuals, fits, keys).mapInPandas(apply, out)
-    return packed.select(*keys, F.inline(F.arrays_zip("date", "y", "fitted", "sigma")))
+    flat = packed.select(*keys, F.inline(F.arrays_zip("day", "y", "fitted", "sigma")))
+    return flat.select(*keys, F.date_from_unix_date("day").alias("date"), "y", "fitted", "sigma")
 
 
 def forecast(residuals: DataFrame, fits: DataFrame, keys: list[str], n_ahead: int = 5) -> DataFrame:
-    """Mean and deviation for the steps after the last row: keys, step, mean, sigma, shape.
+    """Mean and deviation for the steps after the last row: keys, step, mean, sigma, shape (infinite for normal).
 
     Only the last block of a series is needed: future squares and variances have the same expectation.
     """
+    residuals = residuals.drop("day")
     last = residuals.groupBy(*keys).agg(F.max("block").alias("block"))
     ready = with_variance_starts(residuals, fits, keys).join(last, [*keys, "block"], "left_semi")
     schema = T.StructType(

@@ -31,7 +31,7 @@ def gram_sums(blocks: DataFrame, keys: list[str], k: int) -> DataFrame:
         y = np.asarray(block["y"])
         return np.concatenate([(x.T @ x).ravel(), x.T @ y, [y @ y, len(y)]])
 
-    return P.run(P.step(blocks, P.initial_state(blocks, keys, []), keys, mapper, lambda p, s: s))
+    return P.run(P.step(blocks, [], keys, mapper, lambda p, s: s))
 
 
 def unpack_gram(p: np.ndarray, k: int):
@@ -129,7 +129,7 @@ def quantile_regression(
     """
     taus = np.asarray(levels)
     m = len(taus)
-    start = P.run(P.step(blocks, P.initial_state(blocks, keys, []), keys, _ols_mapper(k), _ols_reducer(k, taus)))
+    start = P.run(P.step(blocks, [], keys, _ols_mapper(k), _ols_reducer(k, taus)))
 
     # p = [phase, round, scale, then per level: current, base, first, loss of first, loss now]
     width = 3 * k + 2

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foreband.core import cut, is_small, parallelism
+from foreband.core import cut, is_small, parallelism, ship
 from foreband.operators.ordered import BLOCK_ROWS, into_blocks, span_of
 
 Mapper = Callable[[dict, np.ndarray], np.ndarray]
@@ -45,6 +45,7 @@ def block_batches(spark: SparkSession, rows: int = BATCH_BLOCKS):
 
 def run(df: DataFrame) -> DataFrame:
     """Computes a frame of block work now and cuts its lineage."""
+    ship(df.sparkSession)
     with block_batches(df.sparkSession):
         return cut(df)
 
@@ -98,11 +99,21 @@ def block_rows_of(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, d
         yield tuple(block[k] for k in keys), block
 
 
-def sums(blocks: DataFrame, state: DataFrame, keys: list[str], mapper: Mapper) -> DataFrame:
+def attach_state(blocks: DataFrame, state: DataFrame | list[float], keys: list[str]) -> DataFrame:
+    """Blocks with the parameters of their key, or with the same given ones.
+
+    Parameters known to be few are broadcast, so blocks stay on their tasks.
+    """
+    if isinstance(state, list):
+        return blocks.withColumn("p", F.array(*[F.lit(float(v)) for v in state]).cast("array<double>"))
+    return blocks.join(state, keys)
+
+
+def sums(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper) -> DataFrame:
     """Per key the current `p` and the sum `s` of the mapper's vectors, as few rows per key."""
     spark = blocks.sparkSession
     slots = 1 if parallelism(spark) <= FAN_IN else math.isqrt(parallelism(spark))
-    joined = blocks.join(state, keys).withColumn("_slot", F.spark_partition_id() % slots)
+    joined = attach_state(blocks, state, keys).withColumn("_slot", F.spark_partition_id() % slots)
     schema = T.StructType([*key_fields(blocks, keys), T.StructField("_slot", T.IntegerType()), vector("p"), vector("s")])
 
     def reduce_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,15 +133,30 @@ def sums(blocks: DataFrame, state: DataFrame, keys: list[str], mapper: Mapper) -
             yield _partials(held, keys)
 
     partials = joined.mapInPandas(reduce_task, schema)
-    if slots == 1:
-        return partials
+    return partials if slots == 1 else _reduce(partials, [*keys, "_slot"], lambda p, s: s, "s")
+
+
+def _reduce(partials: DataFrame, by: list[str], solve: Reducer, name: str) -> DataFrame:
+    """Adds the vectors of each group and hands the sum to `solve`; a group has one vector per task.
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.iloc[:1].copy()
-        out["s"] = [np.sum(np.stack(pdf["s"].to_list()), axis=0)]
-        return out
+    The vectors are gathered on the JVM and groups arrive in Python many at a time, one row each.
+    """
+    gathered = partials.groupBy(*by).agg(
+        F.first("p").alias("p"), F.flatten(F.collect_list("s")).alias("s"), F.count(F.lit(1)).alias("_parts")
+    )
+    schema = T.StructType([*[partials.schema[k] for k in by], *[vector(n) for n in dict.fromkeys(("p", name))]])
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[by].copy()
+            out["p"] = pdf["p"]
+            out[name] = [
+                solve(np.asarray(p, dtype=float), np.asarray(s, dtype=float).reshape(n, -1).sum(axis=0))
+                for p, s, n in zip(pdf["p"], pdf["s"], pdf["_parts"])
+            ]
+            yield out
 
-    return partials.groupBy(*keys, "_slot").applyInPandas(add, schema)
+    return gathered.mapInPandas(apply, schema)
 
 
 def _partials(held: dict, keys: list[str]) -> pd.DataFrame:
@@ -141,38 +167,32 @@ def _partials(held: dict, keys: list[str]) -> pd.DataFrame:
     return out
 
 
-def step(blocks: DataFrame, state: DataFrame, keys: list[str], mapper: Mapper, reducer: Reducer) -> DataFrame:
+def step(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper, reducer: Reducer) -> DataFrame:
     """One pass: new state from the current one. Lazy."""
-    schema = T.StructType([*key_fields(blocks, keys), vector("p")])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[keys].iloc[:1].copy()
-        total = np.sum(np.stack(pdf["s"].to_list()), axis=0)
-        out["p"] = [reducer(np.asarray(pdf["p"].iloc[0], dtype=float), total)]
-        return out
-
-    return sums(blocks, state, keys, mapper).groupBy(*keys).applyInPandas(solve, schema)
+    return _reduce(sums(blocks, state, keys, mapper), keys, reducer, "p")
 
 
 def iterate(
-    blocks: DataFrame, state: DataFrame, keys: list[str], mapper: Mapper, reducer: Reducer, rounds: int, cut_every: int = 4
+    blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper, reducer: Reducer, rounds: int, cut_every: int = 4
 ) -> DataFrame:
     """Repeats one kind of pass; lineage is cut every few rounds.
 
     The number of models never changes, so one size check at the start decides whether the parameters are
     broadcast, which leaves the blocks where they are, or joined by key.
     """
-    small = is_small(state)
+    hint = state_hint(blocks, keys)
     for i in range(rounds):
-        state = step(blocks, F.broadcast(state) if small else state, keys, mapper, reducer)
+        state = step(blocks, hint(state), keys, mapper, reducer)
         if (i + 1) % cut_every == 0 or i + 1 == rounds:
             state = run(state)
     return state
 
 
-def initial_state(blocks: DataFrame, keys: list[str], p: list[float]) -> DataFrame:
-    start = F.array(*[F.lit(float(v)) for v in p]) if p else F.array().cast("array<double>")
-    return blocks.select(*keys).distinct().withColumn("p", start)
+def state_hint(blocks: DataFrame, keys: list[str]) -> Callable:
+    """Broadcast hint for state frames if a count shows that there are few models, else no hint."""
+    if not is_small(blocks.select(*keys).distinct()):
+        return lambda state: state
+    return lambda state: state if isinstance(state, list) else F.broadcast(state)
 
 
 def solve_spd(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:

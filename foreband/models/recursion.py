@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foreband.core import broadcast_if_small, is_small
+from foreband.core import broadcast_if_small
 from foreband.models import passes as P
 
 # inputs(block, p) -> a (candidates, depth), u (own rows, candidates)
@@ -71,7 +71,7 @@ def starts(blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs,
                 rows.append((*key, block["block"], p, transition(a, len(u)).ravel(), last.ravel()))
             yield pd.DataFrame(rows, columns=ends.names)
 
-    summaries = blocks.join(state, keys).mapInPandas(summarise, ends)
+    summaries = P.attach_state(blocks, state, keys).mapInPandas(summarise, ends)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -118,7 +118,7 @@ def filtered_sums(
 
 def search(
     blocks: DataFrame,
-    state: DataFrame,
+    state: DataFrame | list[float],
     keys: list[str],
     inputs: Inputs,
     initial: Initial,
@@ -130,10 +130,9 @@ def search(
 ) -> DataFrame:
     """Repeats a filtered pass, the reducer moving the candidates in `p`."""
     single = single_block(blocks)
-    small = is_small(state)
+    hint = P.state_hint(blocks, keys)
     for i in range(rounds):
-        attached = F.broadcast(state) if small else state
-        state = filtered_sums(blocks, attached, keys, inputs, initial, depth, mapper, reducer, single)
+        state = filtered_sums(blocks, hint(state), keys, inputs, initial, depth, mapper, reducer, single)
         if (i + 1) % cut_every == 0 or i + 1 == rounds or not single:
             state = P.run(state)
     return state

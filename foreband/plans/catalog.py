@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foreband.core import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +19,14 @@ def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+
+        @wraps(fn)
+        def ready(spark: SparkSession, root: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, root)
+
+        QUERIES[name] = ready
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -47,7 +47,7 @@ def trend_frame(load: DataFrame, origins: list, n_ahead: int = DAYS_AHEAD) -> Da
     train = split_at_origins(load, origins, 0)
     daily = with_position(daily_sums(train, keys), keys, "date")
     parts = P.run(stl(daily, keys, "date", "value"))
-    blocks = ets.trend_blocks(parts, keys, "date", "trend")
+    blocks = ets.trend_blocks(parts, keys, "trend")
     ahead = ets.forecast(blocks, P.run(ets.fit(blocks, keys)), keys, n_ahead)
     last = parts.groupBy(*keys).agg(F.max("date").alias("_last"))
     future = ahead.join(last, keys).select(*keys, F.date_add("_last", F.col("step")).alias("date"), F.col("value").alias("trend"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foreband import LEVELS
 from foreband.core import checkpoint_dir
+from foreband.functions.dates import in_target_hours
 from foreband.functions.scores import pinball
 from foreband.models import arma as A
 from foreband.models import boost as B
@@ -240,7 +241,7 @@ FROM lvl l JOIN (SELECT series_id, max(pos) AS pos FROM p GROUP BY 1) e ON e.ser
 )
 def f14_given(spark, root):
     px = with_position(daily_prices(spark, root), SERIES, "date")
-    blocks = ets.trend_blocks(px, SERIES, "date", "price", 512)
+    blocks = ets.trend_blocks(px, SERIES, "price", 512)
     ahead = ets.forecast(blocks, ets.given_parameters(blocks, SERIES, 0.3, 0.0, 0.0), SERIES)
     return ahead.select("series_id", "step", F.round("value", 4).alias("value"))
 
@@ -249,7 +250,7 @@ def f14_given(spark, root):
 def f14(spark, root):
     daily = with_position(daily_sums(hourly_load(spark, root), SERIES), SERIES, "date")
     parts = stl(daily, SERIES, "date", "value")
-    blocks = ets.trend_blocks(parts, SERIES, "date", "trend")
+    blocks = ets.trend_blocks(parts, SERIES, "trend")
     return ets.fit(blocks, SERIES).drop("p")
 
 
@@ -303,4 +304,4 @@ def f20(spark, root):
         .unionByName(LF.regression_forecasts(spark, load, origins))
         .unionByName(LF.boosted_forecasts(spark, load, origins, LEVELS, rounds=5))
     )
-    return E.leaderboard(E.wide_scores(E.score(forecasts)), ["model"])
+    return E.leaderboard(E.wide_scores(E.score(forecasts.filter(in_target_hours(F.col("ts"))))), ["model"])
