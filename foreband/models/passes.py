@@ -92,6 +92,9 @@ def vector(name: str) -> T.StructField:
     return T.StructField(name, T.ArrayType(T.DoubleType()))
 
 
+SPARSE = [T.StructField("i", T.ArrayType(T.IntegerType())), vector("s"), T.StructField("size", T.IntegerType())]
+
+
 def block_rows_of(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, dict]]:
     cols = list(pdf.columns)
     for row in pdf.itertuples(index=False, name=None):
@@ -110,11 +113,14 @@ def attach_state(blocks: DataFrame, state: DataFrame | list[float], keys: list[s
 
 
 def sums(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper) -> DataFrame:
-    """Per key the current `p` and the sum `s` of the mapper's vectors, as few rows per key."""
+    """Per key the current `p` and partial sums of the mapper's vectors, one per task.
+
+    A sum travels as the places `i` and values `s` of its non-zero cells; `size` is its length.
+    """
     spark = blocks.sparkSession
     slots = 1 if parallelism(spark) <= FAN_IN else math.isqrt(parallelism(spark))
     joined = attach_state(blocks, state, keys).withColumn("_slot", F.spark_partition_id() % slots)
-    schema = T.StructType([*key_fields(blocks, keys), T.StructField("_slot", T.IntegerType()), vector("p"), vector("s")])
+    schema = T.StructType([*key_fields(blocks, keys), T.StructField("_slot", T.IntegerType()), vector("p"), *SPARSE])
 
     def reduce_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -133,28 +139,34 @@ def sums(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], map
             yield _partials(held, keys)
 
     partials = joined.mapInPandas(reduce_task, schema)
-    return partials if slots == 1 else _reduce(partials, [*keys, "_slot"], lambda p, s: s, "s")
+    return partials if slots == 1 else _gather(partials, [*keys, "_slot"], schema, lambda p, s: [p, *_sparse(s)])
+
+
+def _sparse(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    places = np.flatnonzero(total)
+    return places.astype(np.int32), total[places], len(total)
 
 
-def _reduce(partials: DataFrame, by: list[str], solve: Reducer, name: str) -> DataFrame:
-    """Adds the vectors of each group and hands the sum to `solve`; a group has one vector per task.
+def _gather(partials: DataFrame, by: list[str], schema: T.StructType, finish: Callable) -> DataFrame:
+    """Adds the partial sums of each group; finish(p, sum) gives the columns after the keys.
 
-    The vectors are gathered on the JVM and groups arrive in Python many at a time, one row each.
+    The partials are gathered on the JVM, a bounded number per group, and groups arrive in Python many at a time.
     """
     gathered = partials.groupBy(*by).agg(
-        F.first("p").alias("p"), F.flatten(F.collect_list("s")).alias("s"), F.count(F.lit(1)).alias("_parts")
+        F.first("p").alias("p"),
+        F.flatten(F.collect_list("i")).alias("i"),
+        F.flatten(F.collect_list("s")).alias("s"),
+        F.first("size").alias("size"),
     )
-    schema = T.StructType([*[partials.schema[k] for k in by], *[vector(n) for n in dict.fromkeys(("p", name))]])
+    names = schema.names
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[by].copy()
-            out["p"] = pdf["p"]
-            out[name] = [
-                solve(np.asarray(p, dtype=float), np.asarray(s, dtype=float).reshape(n, -1).sum(axis=0))
-                for p, s, n in zip(pdf["p"], pdf["s"], pdf["_parts"])
-            ]
-            yield out
+            rows = []
+            for key, row in block_rows_of(pdf, by):
+                total = np.bincount(np.asarray(row["i"], dtype=np.int64), weights=row["s"], minlength=row["size"])
+                rows.append((*key, *finish(np.asarray(row["p"], dtype=float), total)))
+            yield pd.DataFrame(rows, columns=names)
 
     return gathered.mapInPandas(apply, schema)
 
@@ -163,13 +175,14 @@ def _partials(held: dict, keys: list[str]) -> pd.DataFrame:
     out = pd.DataFrame([list(k) for k in held], columns=keys)
     out["_slot"] = [v[0] for v in held.values()]
     out["p"] = [v[1] for v in held.values()]
-    out["s"] = [np.asarray(v[2], dtype=float) for v in held.values()]
+    out["i"], out["s"], out["size"] = zip(*[_sparse(np.asarray(v[2], dtype=float)) for v in held.values()])
     return out
 
 
 def step(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper, reducer: Reducer) -> DataFrame:
     """One pass: new state from the current one. Lazy."""
-    return _reduce(sums(blocks, state, keys, mapper), keys, reducer, "p")
+    schema = T.StructType([*key_fields(blocks, keys), vector("p")])
+    return _gather(sums(blocks, state, keys, mapper), keys, schema, lambda p, s: [reducer(p, s)])
 
 
 def iterate(
