@@ -18,7 +18,6 @@ from foreband.operators.ordered import best_by
 from foreband.plans import catalog as C
 from foreband.plans.baseline import baseline
 from foreband.plans.catalog import query, with_
-from foreband.plans.series_queries import r6
 from foreband.sources.landed import read_forecasts
 from foreband.sources.sinks import write_forecasts
 from foreband.sources.series import hourly_load
@@ -31,9 +30,9 @@ MEAN_SCORES = ", ".join(f"round(avg({c}), 8) AS {c}" for c in SCORES)
 
 
 
-def r8(c: str):
+def r8(c: str, name: str | None = None):
     """Scores of single cases have at most eight decimals here, so rounding to eight meets no ties."""
-    return F.round(c, 8).alias(c)
+    return F.round(c, 8).alias(name or c)
 
 
 def wide(spark, root):
@@ -47,26 +46,26 @@ def wide_forecasts(spark, root):
 @query(
     "j4_forecast_actual",
     with_(C.FORECASTS)
-    + """SELECT a.series_id, a.ts, f.model, f.origin, f.horizon, round(a.value, 6) AS y, round(f.q0_5, 6) AS q0_5
+    + """SELECT a.series_id, a.ts, f.model, f.origin, f.horizon, round(a.value, 8) AS y, round(f.q0_5, 8) AS q0_5
 FROM load_h a LEFT JOIN wide_q f ON a.series_id = f.series_id AND a.ts = f.ts""",
 )
 def j4(spark, root):
     fc = wide_forecasts(spark, root).drop("y")
     out = R.forecasts_with_actuals(hourly_load(spark, root), fc, ["series_id", "ts"])
-    return out.select("series_id", "ts", "model", "origin", "horizon", r6("value", "y"), r6("q0_5"))
+    return out.select("series_id", "ts", "model", "origin", "horizon", r8("value", "y"), r8("q0_5"))
 
 
 @query(
     "j5_model_compare",
     with_(C.FORECASTS)
     + """, m AS (SELECT model, series_id, origin, avg(mean_qs) AS s FROM wide GROUP BY 1, 2, 3)
-SELECT a.series_id, a.origin, round(a.s, 6) AS mean_qs_lag7, round(b.s, 6) AS mean_qs_lag14
+SELECT a.series_id, a.origin, round(a.s, 8) AS mean_qs_lag7, round(b.s, 8) AS mean_qs_lag14
 FROM (SELECT * FROM m WHERE model = 'lag7') a LEFT JOIN (SELECT * FROM m WHERE model = 'lag14') b
   ON a.series_id = b.series_id AND a.origin = b.origin""",
 )
 def j5(spark, root):
     means = E.column_means(wide(spark, root), ["model", "series_id", "origin"], ["mean_qs"])
-    of = lambda m: means.filter(F.col("model") == m).select("series_id", "origin", r6("mean_qs", f"mean_qs_{m}"))
+    of = lambda m: means.filter(F.col("model") == m).select("series_id", "origin", r8("mean_qs", f"mean_qs_{m}"))
     return R.compare_models(of("lag7"), of("lag14"), ["series_id", "origin"])
 
 
@@ -77,32 +76,32 @@ def q1(spark, root):
 
 @query(
     "q2_pinball",
-    with_(C.FORECASTS) + "SELECT model, series_id, tau, round(avg(qs / 2), 6) AS mean_pinball, count(*) AS n FROM sc GROUP BY 1, 2, 3",
+    with_(C.FORECASTS) + "SELECT model, series_id, tau, round(avg(qs / 2), 8) AS mean_pinball, count(*) AS n FROM sc GROUP BY 1, 2, 3",
 )
 def q2(spark, root):
     plain = pinball(F.col("y"), F.col("q"), F.col("tau"))
     return baseline(spark, root).groupBy("model", "series_id", "tau").agg(
-        F.round(F.avg(plain), 6).alias("mean_pinball"), F.count(F.lit(1)).alias("n")
+        F.round(F.avg(plain), 8).alias("mean_pinball"), F.count(F.lit(1)).alias("n")
     )
 
 
 @query(
     "q3_matrix_score",
-    with_(C.FORECASTS) + "SELECT model, series_id, origin, round(avg(sum_qs / 2), 6) AS matrix_score FROM wide GROUP BY 1, 2, 3",
+    with_(C.FORECASTS) + "SELECT model, series_id, origin, round(avg(sum_qs / 2), 8) AS matrix_score FROM wide GROUP BY 1, 2, 3",
 )
 def q3(spark, root):
     plain = pinball(F.col("y"), F.col("q"), F.col("tau"))
     out = E.matrix_score(baseline(spark, root), ["model", "series_id", "origin"], qs=plain)
-    return out.select("model", "series_id", "origin", r6("matrix_score"))
+    return out.select("model", "series_id", "origin", r8("matrix_score"))
 
 
 @query(
     "q4_neg_score",
-    with_(C.FORECASTS) + "SELECT model, tau, round(-avg(qs), 6) AS score FROM sc GROUP BY 1, 2",
+    with_(C.FORECASTS) + "SELECT model, tau, round(-avg(qs), 8) AS score FROM sc GROUP BY 1, 2",
 )
 def q4(spark, root):
     neg = negated_pinball2(F.col("y"), F.col("q"), F.col("tau"))
-    return baseline(spark, root).groupBy("model", "tau").agg(F.round(F.avg(neg), 6).alias("score"))
+    return baseline(spark, root).groupBy("model", "tau").agg(F.round(F.avg(neg), 8).alias("score"))
 
 
 @query("q5_row_scores", with_(C.FORECASTS) + f"SELECT model, series_id, origin, ts, horizon, {ROUND_SCORES} FROM wide")
@@ -128,18 +127,18 @@ def a6(spark, root):
     return E.means_with_overall(wide(spark, root), ["model"], "horizon", SCORES).select("model", "horizon", *[r8(c) for c in SCORES])
 
 
-@query("a7_origin_means", with_(C.FORECASTS) + "SELECT model, origin, round(avg(mean_qs), 6) AS mean_qs FROM wide GROUP BY 1, 2")
+@query("a7_origin_means", with_(C.FORECASTS) + "SELECT model, origin, round(avg(mean_qs), 8) AS mean_qs FROM wide GROUP BY 1, 2")
 def a7(spark, root):
-    return E.column_means(wide(spark, root), ["model", "origin"], ["mean_qs"]).select("model", "origin", r6("mean_qs"))
+    return E.column_means(wide(spark, root), ["model", "origin"], ["mean_qs"]).select("model", "origin", r8("mean_qs"))
 
 
 @query(
     "a8_leaderboard",
     with_(C.FORECASTS)
-    + "SELECT model, round(avg(s), 6) AS score FROM (SELECT model, horizon, avg(sum_qs) AS s FROM wide GROUP BY 1, 2) GROUP BY 1",
+    + "SELECT model, round(avg(s), 8) AS score FROM (SELECT model, horizon, avg(sum_qs) AS s FROM wide GROUP BY 1, 2) GROUP BY 1",
 )
 def a8(spark, root):
-    return E.leaderboard(wide(spark, root)).select("model", r6("score"))
+    return E.leaderboard(wide(spark, root)).select("model", r8("score"))
 
 
 COVERAGE_SQL = """round(avg(CASE WHEN y BETWEEN q0_25 AND q0_75 THEN 1.0::DOUBLE ELSE 0 END), 8) AS coverage_50,
@@ -182,23 +181,23 @@ def u3(spark, root):
     "u4_unpivot",
     with_(C.FORECASTS)
     + """, sel AS (SELECT series_id, ts, y AS demand, q0_025, q0_975 FROM wide_q WHERE model = 'lag7'),
-long AS (UNPIVOT sel ON demand, q0_025, q0_975 INTO NAME legend VALUE v) SELECT series_id, ts, legend, round(v, 6) AS value FROM long""",
+long AS (UNPIVOT sel ON demand, q0_025, q0_975 INTO NAME legend VALUE v) SELECT series_id, ts, legend, round(v, 8) AS value FROM long""",
 )
 def u4(spark, root):
     sel = wide_forecasts(spark, root).filter("model = 'lag7'").withColumnRenamed("y", "demand")
-    return sel.unpivot(["series_id", "ts"], ["demand", "q0_025", "q0_975"], "legend", "v").select("series_id", "ts", "legend", r6("v", "value"))
+    return sel.unpivot(["series_id", "ts"], ["demand", "q0_025", "q0_975"], "legend", "v").select("series_id", "ts", "legend", r8("v", "value"))
 
 
 @query(
     "u5_pivot",
     with_(C.FORECASTS)
     + """SELECT strftime(origin, '%Y%m%d') AS forecast_date, 'energy' AS target, model, series_id, CAST(horizon AS VARCHAR) || ' hour' AS horizon, """
-    + ", ".join(f"round({c}, 6) AS {c}" for c in Q)
+    + ", ".join(f"round({c}, 8) AS {c}" for c in Q)
     + " FROM wide_q WHERE isodow(ts) IN (5, 6) AND hour(ts) IN (12, 16, 20)",
 )
 def u5(spark, root):
     return submission(baseline(spark, root), "energy").select(
-        "forecast_date", "target", "model", "series_id", "horizon", *[r6(c) for c in Q]
+        "forecast_date", "target", "model", "series_id", "horizon", *[r8(c) for c in Q]
     )
 
 
@@ -221,13 +220,13 @@ def submission(forecasts, target: str):
     with_(C.FORECASTS)
     + """, packed AS (SELECT model, series_id, origin, ts, list_sort(list(q)) AS qs FROM fc GROUP BY 1, 2, 3, 4)
 SELECT model, series_id, origin, ts, """
-    + ", ".join(f"round(qs[{i + 1}], 6) AS {c}" for i, c in enumerate(Q))
+    + ", ".join(f"round(qs[{i + 1}], 8) AS {c}" for i, c in enumerate(Q))
     + " FROM packed",
 )
 def u6(spark, root):
     keys = ["model", "series_id", "origin", "ts"]
     packed = R.monotone(baseline(spark, root).groupBy(*keys).agg(F.collect_list("q").alias("qs")), "qs")
-    return R.unpack_levels(packed, "qs").select(*keys, *[r6(c) for c in Q])
+    return R.unpack_levels(packed, "qs").select(*keys, *[r8(c) for c in Q])
 
 
 @query(
