@@ -85,7 +85,8 @@ def orders(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """The Gram sums every order is solved from: keys, `p`."""
     blocks = blocks.select(*keys, "block", "lead", "y")
     long = P.run(P.step(blocks, [], keys, _long_mapper, _long_reducer))
-    return P.run(P.step(blocks, P.state_hint(blocks, keys)(long), keys, _lagged_mapper, lambda p, s: s))
+    grams = P.run(P.step(blocks, P.state_hint(blocks, keys)(long), keys, _lagged_mapper, lambda p, s: s))
+    return P.as_frame(grams, blocks, keys)
 
 
 def solve_order(gram: np.ndarray, p: int, q: int) -> np.ndarray:

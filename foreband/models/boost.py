@@ -242,8 +242,11 @@ def _bounds(blocks: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
     return ends.select(*keys, F.array(F.coalesce("_lo", F.lit(0.0)), F.coalesce("_hi", F.lit(0.0))).alias("ends"))
 
 
-def _with_trees(ends: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
+def _with_trees(ends: DataFrame, keys: list[str], shape: Shape, few: bool) -> DataFrame | P.Few:
     """State of a new segment: the header and empty trees."""
+    if few:
+        rows = ends.collect()
+        return P.Few({tuple(r[k] for k in keys): np.concatenate([r["ends"], shape.empty().ravel()]) for r in rows})
     schema = T.StructType([*P.key_fields(ends, keys), P.vector("p")])
 
     def apply(batches):
@@ -295,12 +298,12 @@ def fit(blocks: DataFrame, keys: list[str], features: list[str], specs: list[Spe
     """
     shape = Shape(specs, len(features))
     ends = P.run(_bounds(blocks, keys, shape))
-    attach = P.state_hint(blocks, keys)
+    attach, few = P.state_hint(blocks, keys), P.few_models(blocks, keys)
     rates = np.array([s.rate for s in specs])
     segments, snapshots = [], {}
     done, first = 0, True
     while done < rounds or first:
-        state = _with_trees(ends, keys, shape)
+        state = _with_trees(ends, keys, shape, few)
         seen = blocks.drop("at")
         stop = min([SEGMENT - first, rounds - done, *[k - done for k in keep_at if k > done]])
         slot = 0
@@ -313,7 +316,7 @@ def fit(blocks: DataFrame, keys: list[str], features: list[str], specs: list[Spe
             state = P.run(P.step(seen, attach(state), keys, *_leaf_pass(shape, slot, rates)))
             slot += 1
         done += stop
-        state = P.run(state) if stop == 0 else state
+        state = P.as_frame(P.run(state) if stop == 0 else state, blocks, keys)
         blocks = P.run(_advance(blocks, attach(state), keys, shape, slot))
         segments.append(state)
         if done in keep_at:
@@ -361,7 +364,7 @@ def test_losses(blocks: DataFrame, keys: list[str], specs: list[Spec]) -> DataFr
         return np.concatenate([np.where(test, loss, 0.0).sum(axis=0), test.sum(axis=0)])
 
     blocks = blocks.select(*keys, "block", "y", "clock", "f")
-    total = P.run(P.step(blocks, [], keys, mapper, lambda p, s: s))
+    total = P.as_frame(P.run(P.step(blocks, [], keys, mapper, lambda p, s: s)), blocks, keys)
     pairs = F.arrays_zip(F.slice("p", 1, shape_m).alias("loss"), F.slice("p", shape_m + 1, shape_m).alias("n"))
     rows = total.select(*keys, F.posexplode(pairs).alias("model_no", "_r"))
     return rows.filter("_r.n > 0").select(*keys, "model_no", (F.col("_r.loss") / F.col("_r.n")).alias("loss"), F.col("_r.n").cast("long").alias("n"))

@@ -31,7 +31,7 @@ def gram_sums(blocks: DataFrame, keys: list[str], k: int) -> DataFrame:
         y = np.asarray(block["y"])
         return np.concatenate([(x.T @ x).ravel(), x.T @ y, [y @ y, len(y)]])
 
-    return P.run(P.step(blocks, [], keys, mapper, lambda p, s: s))
+    return P.as_frame(P.run(P.step(blocks, [], keys, mapper, lambda p, s: s)), blocks, keys)
 
 
 def unpack_gram(p: np.ndarray, k: int):

@@ -5,6 +5,9 @@ Every iterative model here has the same shape. The observations of a series lie
 state frame: one row per keys with an array `p`. A pass attaches the parameters to the blocks, lets each
 task reduce its blocks to one vector of sums per key, adds those vectors up per key and solves for the new
 parameters, where the group that solves holds one row per task, not per observation.
+
+If a count shows that there are few models, their parameters stay on the driver and a pass is a single stage whose
+sums come back to it. Otherwise they stay in a frame and are solved for where their sums meet.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ Reducer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 BATCH_BLOCKS = 64
 # Above this many map tasks the vectors are added in two steps.
 FAN_IN = 256
+# Up to this many models the driver keeps the parameters and solves for them itself.
+FEW_MODELS = 1000
+# Up to this many map tasks it also adds their sums.
+DIRECT_TASKS = 64
 
 
 @contextmanager
@@ -43,8 +50,10 @@ def block_batches(spark: SparkSession, rows: int = BATCH_BLOCKS):
         spark.conf.set(key, before)
 
 
-def run(df: DataFrame) -> DataFrame:
+def run(df: DataFrame | Few) -> DataFrame | Few:
     """Computes a frame of block work now and cuts its lineage."""
+    if isinstance(df, Few):
+        return df
     ship(df.sparkSession)
     with block_batches(df.sparkSession):
         return cut(df)
@@ -102,6 +111,30 @@ def block_rows_of(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, d
         yield tuple(block[k] for k in keys), block
 
 
+class Few:
+    """Parameters of few models on the driver; models not listed have the default."""
+
+    def __init__(self, values: dict[tuple, np.ndarray], default: list[float] | None = None):
+        self.values = values
+        self.default = None if default is None else np.asarray(default, dtype=float)
+
+    def frame(self, blocks: DataFrame, keys: list[str]) -> DataFrame:
+        schema = T.StructType([*key_fields(blocks, keys), vector("p")])
+        rows = pd.DataFrame([(*k, p) for k, p in self.values.items()], columns=schema.names)
+        return blocks.sparkSession.createDataFrame(rows, schema)
+
+
+State = DataFrame | list[float] | Few
+
+
+def few_models(blocks: DataFrame, keys: list[str]) -> bool:
+    return is_small(blocks.select(*keys).distinct(), FEW_MODELS)
+
+
+def as_frame(state: DataFrame | Few, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    return state.frame(blocks, keys) if isinstance(state, Few) else state
+
+
 def attach_state(blocks: DataFrame, state: DataFrame | list[float], keys: list[str]) -> DataFrame:
     """Blocks with the parameters of their key, or with the same given ones.
 
@@ -112,26 +145,32 @@ def attach_state(blocks: DataFrame, state: DataFrame | list[float], keys: list[s
     return blocks.join(state, keys)
 
 
-def sums(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper) -> DataFrame:
+def sums(blocks: DataFrame, state: State, keys: list[str], mapper: Mapper) -> DataFrame:
     """Per key the current `p` and partial sums of the mapper's vectors, one per task.
 
     A sum travels as the places `i` and values `s` of its non-zero cells; `size` is its length.
     """
     spark = blocks.sparkSession
     slots = 1 if parallelism(spark) <= FAN_IN else math.isqrt(parallelism(spark))
-    joined = attach_state(blocks, state, keys).withColumn("_slot", F.spark_partition_id() % slots)
+    if isinstance(state, Few):
+        shared, default = spark.sparkContext.broadcast(state.values), state.default
+        joined = blocks
+    else:
+        shared, default = None, None
+        joined = attach_state(blocks, state, keys)
+    joined = joined.withColumn("_slot", F.spark_partition_id() % slots)
     schema = T.StructType([*key_fields(blocks, keys), T.StructField("_slot", T.IntegerType()), vector("p"), *SPARSE])
 
     def reduce_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for pdf in batches:
             for key, block in block_rows_of(pdf, keys):
-                p = np.asarray(block["p"], dtype=float)
+                p = np.asarray(block["p"], dtype=float) if shared is None else shared.value.get(key, default)
                 part = mapper(block, p)
                 if key in held:
                     held[key][2] = held[key][2] + part
                 else:
-                    held[key] = [block["_slot"], p, part]
+                    held[key] = [block["_slot"], p if shared is None else [], part]
             if len(held) > 512:
                 yield _partials(held, keys)
                 held = {}
@@ -179,14 +218,38 @@ def _partials(held: dict, keys: list[str]) -> pd.DataFrame:
     return out
 
 
-def step(blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper, reducer: Reducer) -> DataFrame:
-    """One pass: new state from the current one. Lazy."""
+def step(blocks: DataFrame, state: State, keys: list[str], mapper: Mapper, reducer: Reducer) -> DataFrame:
+    """One pass: new state from the current one; lazy unless the driver holds it."""
+    if isinstance(state, list) and few_models(blocks, keys):
+        state = Few({}, state)
+    if isinstance(state, Few):
+        return _step_few(blocks, state, keys, mapper, reducer)
     schema = T.StructType([*key_fields(blocks, keys), vector("p")])
     return _gather(sums(blocks, state, keys, mapper), keys, schema, lambda p, s: [reducer(p, s)])
 
 
+def _step_few(blocks: DataFrame, state: Few, keys: list[str], mapper: Mapper, reducer: Reducer) -> Few:
+    """A pass for parameters on the driver."""
+    spark = blocks.sparkSession
+    ship(spark)
+    partials = sums(blocks, state, keys, mapper)
+    if parallelism(spark) > DIRECT_TASKS:
+        schema = T.StructType([*key_fields(blocks, keys), *SPARSE])
+        partials = _gather(partials, keys, schema, lambda p, s: _sparse(s))
+    with block_batches(spark):
+        found = partials.select(*keys, "i", "s", "size").toArrow()
+    totals: dict[tuple, np.ndarray] = {}
+    columns = [found.column(k).to_pylist() for k in keys]
+    places, cells, sizes = found.column("i"), found.column("s"), found.column("size").to_pylist()
+    for at, key in enumerate(zip(*columns)):
+        total = totals.setdefault(key, np.zeros(sizes[at]))
+        total[np.asarray(places[at].values)] += np.asarray(cells[at].values)
+    old = lambda key: state.values.get(key, state.default)
+    return Few({key: reducer(old(key), total) for key, total in totals.items()})
+
+
 def iterate(
-    blocks: DataFrame, state: DataFrame | list[float], keys: list[str], mapper: Mapper, reducer: Reducer, rounds: int, cut_every: int = 4
+    blocks: DataFrame, state: State, keys: list[str], mapper: Mapper, reducer: Reducer, rounds: int, cut_every: int = 4
 ) -> DataFrame:
     """Repeats one kind of pass; lineage is cut every few rounds.
 
@@ -198,14 +261,21 @@ def iterate(
         state = step(blocks, hint(state), keys, mapper, reducer)
         if (i + 1) % cut_every == 0 or i + 1 == rounds:
             state = run(state)
-    return state
+    return as_frame(state, blocks, keys)
 
 
 def state_hint(blocks: DataFrame, keys: list[str]) -> Callable:
-    """Broadcast hint for state frames if a count shows that there are few models, else no hint."""
-    if not is_small(blocks.select(*keys).distinct()):
-        return lambda state: state
-    return lambda state: state if isinstance(state, list) else F.broadcast(state)
+    """Broadcast hint for state frames if a count shows that it is bounded, else no hint."""
+    known: list[bool] = []
+
+    def hint(state: State) -> State:
+        if not isinstance(state, DataFrame):
+            return state
+        if not known:
+            known.append(is_small(blocks.select(*keys).distinct()))
+        return F.broadcast(state) if known[0] else state
+
+    return hint
 
 
 def solve_spd(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:

@@ -110,7 +110,8 @@ def filtered_sums(
     blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int, mapper, reducer, single: bool
 ) -> DataFrame:
     """One pass whose mapper sees the filtered values: mapper(block, p, values) -> vector."""
-    ready = with_starts(blocks, state, keys, inputs, initial, depth, single)
+    known = state if single or isinstance(state, list) else P.state_hint(blocks, keys)(P.as_frame(state, blocks, keys))
+    ready = with_starts(blocks, known, keys, inputs, initial, depth, single)
     return P.step(
         ready, state, keys, lambda block, p: mapper(block, p, run_block(block, p, inputs, initial)[0]), reducer
     )
@@ -135,7 +136,7 @@ def search(
         state = filtered_sums(blocks, hint(state), keys, inputs, initial, depth, mapper, reducer, single)
         if (i + 1) % cut_every == 0 or i + 1 == rounds or not single:
             state = P.run(state)
-    return state
+    return P.as_frame(state, blocks, keys)
 
 
 # ---- compass search over several starting points at once
