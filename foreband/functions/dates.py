@@ -17,13 +17,26 @@ def parse_day_and_hour(day: Column, hour: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", day, hour), F.lit("dd.MM.yyyy HH:mm")).cast("timestamp_ntz")
 
 
+def wall_seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a wall-clock time, whatever the session's zone."""
+    return F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def wall_clock(seconds: Column) -> Column:
+    """Inverse of `wall_seconds`."""
+    day = F.date_from_unix_date(F.floor(seconds / F.lit(86400)).cast("int")).cast("timestamp_ntz")
+    return day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86400)))
+
+
 def epoch_ms_to_local(ms: Column, zone: str) -> Column:
-    """Epoch milliseconds to the wall clock of `zone`."""
-    return F.from_utc_timestamp(F.timestamp_millis(ms.cast("long")), zone).cast("timestamp_ntz")
+    """Epoch milliseconds to the wall clock of `zone`; parts of a second are dropped."""
+    utc = wall_clock(F.floor(ms / F.lit(1000)).cast("long"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def local_to_epoch_ms(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+def utc_to_epoch_ms(ts: Column) -> Column:
+    """Epoch milliseconds of a UTC wall clock."""
+    return wall_seconds(ts) * 1000
 
 
 def weekday_name(day: Column) -> Column:

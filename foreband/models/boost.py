@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foreband.core import broadcast_if_small
+from foreband.functions.dates import wall_clock, wall_seconds
 from foreband.models import passes as P
 from foreband.operators.ordered import span_of
 
@@ -49,23 +50,13 @@ def feature_edges(df: DataFrame, keys: list[str], features: list[Column], bins:
     return df.groupBy(*keys).agg(F.array(*[F.coalesce(c, F.array().cast("array<double>")) for c in cols]).alias("edges"))
 
 
-def _seconds(ts: Column) -> Column:
-    """Seconds since 1970 of a wall-clock time, whatever the session's zone."""
-    return F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
-def _wall_clock(seconds: Column) -> Column:
-    day = F.date_from_unix_date(F.floor(seconds / F.lit(86400)).cast("int")).cast("timestamp_ntz")
-    return day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds % 86400)
-
-
 def coded_blocks(
     df: DataFrame, keys: list[str], ts: str, y: str, clock: Column, features: list[Column], edges: DataFrame, span_days: int = 128
 ) -> DataFrame:
     """Blocks with the time `at`, `y`, `clock` and one byte per (row, feature) in `codes`; class 0 holds missing values."""
     k = len(features)
     row = F.struct(
-        _seconds(F.col(ts)).alias("at"),
+        wall_seconds(F.col(ts)).alias("at"),
         F.col(y).cast("double").alias("y"),
         clock.cast("double").alias("clock"),
         F.array(*[f.cast("double") for f in features]).alias("x"),
@@ -338,7 +329,7 @@ def prediction_rows(blocks: DataFrame, keys: list[str], specs: list[Spec], test_
         *keys,
         F.posexplode(F.arrays_zip("at", "y", "clock")).alias("_i", "_r"),
         "f",
-    ).select(*keys, _wall_clock(F.col("_r.at")).alias("ts"), F.col("_r.y").alias("y"), F.col("_r.clock").alias("clock"), F.slice("f", F.col("_i") * m + 1, m).alias("_f"))
+    ).select(*keys, wall_clock(F.col("_r.at")).alias("ts"), F.col("_r.y").alias("y"), F.col("_r.clock").alias("clock"), F.slice("f", F.col("_i") * m + 1, m).alias("_f"))
     models = F.array(
         *[F.struct(F.lit(j).alias("model_no"), F.lit(s.tau).alias("tau"), F.lit(s.train_upto).alias("_a"), F.lit(s.test_upto).alias("_b")) for j, s in enumerate(specs)]
     )

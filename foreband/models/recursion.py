@@ -68,7 +68,9 @@ def starts(blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs,
                 p = np.asarray(block["p"], dtype=float)
                 a, u = inputs(block, p)
                 _, last = scan(a, u, np.zeros((len(a), depth)))
-                rows.append((*key, block["block"], p, transition(a, len(u)).ravel(), last.ravel()))
+                # the chain reads the parameters once, from the first block
+                first = p if block["block"] == 0 else np.zeros(0)
+                rows.append((*key, block["block"], first, transition(a, len(u)).ravel(), last.ravel()))
             yield pd.DataFrame(rows, columns=ends.names)
 
     summaries = P.attach_state(blocks, state, keys).mapInPandas(summarise, ends)

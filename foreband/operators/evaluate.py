@@ -27,6 +27,23 @@ def wide_scores(scores: DataFrame, ids: list[str] = CASE, levels=LEVELS) -> Data
     return wide.withColumns({"mean_qs": row_mean(*cols), "sum_qs": row_sum(*cols)})
 
 
+def wide_cases(scores: DataFrame, ids: list[str] = CASE, levels=LEVELS) -> DataFrame:
+    """Actual, quantiles and scores of every case in one aggregate."""
+    at = lambda t, c: F.max(F.when(F.col("tau") == F.lit(t), F.col(c)))
+    cells = [at(t, c).alias(level_name(p, t)) for c, p in (("q", "q"), ("qs", "qs")) for t in levels]
+    wide = scores.groupBy(*ids).agg(F.max("y").alias("y"), *cells)
+    cols = [F.col(level_name("qs", t)) for t in levels]
+    return wide.withColumns({"mean_qs": row_mean(*cols), "sum_qs": row_sum(*cols)})
+
+
+def evaluation(cases: DataFrame, by: list[str], levels=LEVELS) -> DataFrame:
+    """Mean scores and both coverages per group, from one pass over `wide_cases`."""
+    inner = covered(F.col("y"), F.col("q0_25"), F.col("q0_75"))
+    outer = covered(F.col("y"), F.col("q0_025"), F.col("q0_975"))
+    means = [F.avg(c).alias(c) for c in score_columns(levels)]
+    return cases.groupBy(*by).agg(*means, F.avg(inner).alias("coverage_50"), F.avg(outer).alias("coverage_95"))
+
+
 def score_columns(levels=LEVELS) -> list[str]:
     return [*[level_name("qs", t) for t in levels], "mean_qs", "sum_qs"]
 

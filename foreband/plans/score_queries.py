@@ -159,9 +159,7 @@ long AS (UNPIVOT ev ON COLUMNS(* EXCLUDE (model)) INTO NAME metric VALUE v)
 SELECT metric, max(CASE WHEN model = 'lag7' THEN v END) AS lag7, max(CASE WHEN model = 'lag14' THEN v END) AS lag14 FROM long GROUP BY 1""",
 )
 def a10(spark, root):
-    q = wide_forecasts(spark, root)
-    means = E.column_means(wide(spark, root), ["model"], SCORES)
-    table = means.join(E.interval_coverage(q, ["model"]), "model")
+    table = E.evaluation(E.wide_cases(E.score(baseline(spark, root))), ["model"])
     metrics = [*SCORES, "coverage_50", "coverage_95"]
     return R.flip(table.select("model", *[r8(c) for c in metrics]), "model", ["lag7", "lag14"], metrics)
 

@@ -72,7 +72,7 @@ WHERE date_trunc('week', ts) > w0""",
 )
 def s2(spark, root):
     week = F.date_trunc("week", "ts").cast("timestamp_ntz")
-    pair = F.array(D.local_to_epoch_ms(F.col("ts")).cast("double"), F.col("value"))
+    pair = F.array(D.utc_to_epoch_ms(F.col("ts")).cast("double"), F.col("value"))
     chunks = (
         hourly_load(spark, root)
         .groupBy("series_id", week.alias("chunk"))

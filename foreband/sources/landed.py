@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreband.functions.dates import epoch_ms_to_local, parse_day_and_hour
@@ -34,11 +34,10 @@ def read_json_chunks(spark: SparkSession, path: str, zone: str, skip_chunks: int
     """
     docs = spark.read.json(path, schema="series array<array<double>>", multiLine=True)
     if skip_chunks:
-        # One number per file is ranked, not its readings.
+        # A distributed top-n over one number per file.
         chunk = F.element_at(F.element_at("series", 1), 1)
-        starts = docs.select(chunk.alias("_start")).distinct()
-        rank = F.row_number().over(Window.partitionBy(F.lit(series_id)).orderBy("_start"))
-        cutoff = starts.withColumn("_rank", rank).filter(F.col("_rank") <= skip_chunks).agg(F.max("_start").alias("_cut")).first()[0]
+        oldest = docs.select(chunk.alias("_start")).distinct().orderBy("_start").limit(skip_chunks)
+        cutoff = oldest.agg(F.max("_start")).first()[0]
         if cutoff is not None:
             docs = docs.filter(chunk > F.lit(cutoff))
     pairs = docs.select(F.explode("series").alias("p"))
