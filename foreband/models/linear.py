@@ -89,7 +89,9 @@ def stepwise(blocks: DataFrame, keys: list[str], groups: dict[str, list[int]], k
         sub = xx[np.ix_(idx, idx)]
         rss = max(yy - P.solve_spd(sub, xy[idx]) @ xy[idx], 1e-12)
         d = np.sqrt(np.maximum(np.diag(sub), 1e-300))
-        return float(n * np.log(rss / n) + 2 * np.linalg.matrix_rank(sub / np.outer(d, d), tol=1e-9, hermitian=True))
+        rank = np.linalg.matrix_rank(sub / np.outer(d, d), tol=1e-9, hermitian=True)
+        # rounded, so that a collinear term, which changes nothing, is a tie and goes
+        return round(float(n * np.log(rss / n) + 2 * rank), 6)
 
     def select(p):
         names = list(groups)
@@ -98,7 +100,7 @@ def stepwise(blocks: DataFrame, keys: list[str], groups: dict[str, list[int]], k
         while names:
             trial = {t: aic_of(p, [n for n in names if n != t]) for t in names}
             t = min(trial, key=trial.get)
-            if trial[t] >= best:
+            if trial[t] > best:
                 break
             best = trial[t]
             names.remove(t)

@@ -120,8 +120,8 @@ class Few:
 
     def frame(self, blocks: DataFrame, keys: list[str]) -> DataFrame:
         schema = T.StructType([*key_fields(blocks, keys), vector("p")])
-        rows = pd.DataFrame([(*k, p) for k, p in self.values.items()], columns=schema.names)
-        return blocks.sparkSession.createDataFrame(rows, schema)
+        rows = [(*k, p.tolist()) for k, p in self.values.items()]
+        return blocks.sparkSession.createDataFrame(rows, schema, verifySchema=False)
 
 
 State = DataFrame | list[float] | Few

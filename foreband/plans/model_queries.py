@@ -294,6 +294,15 @@ def f19(spark, root):
 # ---- backtest
 
 
+@query("f20_index_backtest")
+def f20_index(spark, root):
+    """Scores of both price models by horizon over the last four origins, for days that have a price."""
+    prices, origins = P.cut(daily_prices(spark, root)), price_origins(spark, root)[-4:]
+    forecasts = I.arma_garch_forecasts(prices, origins).unionByName(I.regression_forecasts(spark, prices, origins))
+    cases = E.wide_scores(E.score(forecasts.filter("y IS NOT NULL")), ["model", "series_id", "origin", "date", "horizon"])
+    return E.means_with_overall(cases, ["model"], "horizon", E.score_columns())
+
+
 @query("f20_backtest")
 def f20(spark, root):
     """Leaderboard of three models over all origins, scored on the same target hours."""
