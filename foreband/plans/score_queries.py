@@ -25,14 +25,14 @@ from foreband.sources.series import hourly_load
 CASE = E.CASE
 Q = [level_name("q", t) for t in LEVELS]
 SCORES = E.score_columns()
-ROUND_SCORES = ", ".join(f"round({c}, 8) AS {c}" for c in SCORES)
-MEAN_SCORES = ", ".join(f"round(avg({c}), 8) AS {c}" for c in SCORES)
+ROUND_SCORES = ", ".join(f"round({c} + 1e-11, 8) AS {c}" for c in SCORES)
+MEAN_SCORES = ", ".join(f"round(avg({c}) + 1e-11, 8) AS {c}" for c in SCORES)
 
 
 
-def r8(c: str, name: str | None = None):
-    """Scores of single cases have at most eight decimals here, so rounding to eight meets no ties."""
-    return F.round(c, 8).alias(name or c)
+def r8(c, name: str | None = None):
+    """Rounded to eight decimals, ties upwards: a mean may lie on a tie, where the order of the sum would decide."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-11, 8).alias(name or c)
 
 
 def wide(spark, root):
@@ -46,7 +46,7 @@ def wide_forecasts(spark, root):
 @query(
     "j4_forecast_actual",
     with_(C.FORECASTS)
-    + """SELECT a.series_id, a.ts, f.model, f.origin, f.horizon, round(a.value, 8) AS y, round(f.q0_5, 8) AS q0_5
+    + """SELECT a.series_id, a.ts, f.model, f.origin, f.horizon, round(a.value + 1e-11, 8) AS y, round(f.q0_5 + 1e-11, 8) AS q0_5
 FROM load_h a LEFT JOIN wide_q f ON a.series_id = f.series_id AND a.ts = f.ts""",
 )
 def j4(spark, root):
@@ -59,7 +59,7 @@ def j4(spark, root):
     "j5_model_compare",
     with_(C.FORECASTS)
     + """, m AS (SELECT model, series_id, origin, avg(mean_qs) AS s FROM wide GROUP BY 1, 2, 3)
-SELECT a.series_id, a.origin, round(a.s, 8) AS mean_qs_lag7, round(b.s, 8) AS mean_qs_lag14
+SELECT a.series_id, a.origin, round(a.s + 1e-11, 8) AS mean_qs_lag7, round(b.s + 1e-11, 8) AS mean_qs_lag14
 FROM (SELECT * FROM m WHERE model = 'lag7') a LEFT JOIN (SELECT * FROM m WHERE model = 'lag14') b
   ON a.series_id = b.series_id AND a.origin = b.origin""",
 )
@@ -69,25 +69,25 @@ def j5(spark, root):
     return R.compare_models(of("lag7"), of("lag14"), ["series_id", "origin"])
 
 
-@query("q1_pinball2", with_(C.FORECASTS) + "SELECT model, series_id, origin, ts, tau, round(y, 8) AS y, round(q, 8) AS q, round(qs, 8) AS qs FROM sc")
+@query("q1_pinball2", with_(C.FORECASTS) + "SELECT model, series_id, origin, ts, tau, round(y + 1e-11, 8) AS y, round(q + 1e-11, 8) AS q, round(qs + 1e-11, 8) AS qs FROM sc")
 def q1(spark, root):
     return E.score(baseline(spark, root)).select("model", "series_id", "origin", "ts", "tau", r8("y"), r8("q"), r8("qs"))
 
 
 @query(
     "q2_pinball",
-    with_(C.FORECASTS) + "SELECT model, series_id, tau, round(avg(qs / 2), 8) AS mean_pinball, count(*) AS n FROM sc GROUP BY 1, 2, 3",
+    with_(C.FORECASTS) + "SELECT model, series_id, tau, round(avg(qs / 2) + 1e-11, 8) AS mean_pinball, count(*) AS n FROM sc GROUP BY 1, 2, 3",
 )
 def q2(spark, root):
     plain = pinball(F.col("y"), F.col("q"), F.col("tau"))
     return baseline(spark, root).groupBy("model", "series_id", "tau").agg(
-        F.round(F.avg(plain), 8).alias("mean_pinball"), F.count(F.lit(1)).alias("n")
+        r8(F.avg(plain), "mean_pinball"), F.count(F.lit(1)).alias("n")
     )
 
 
 @query(
     "q3_matrix_score",
-    with_(C.FORECASTS) + "SELECT model, series_id, origin, round(avg(sum_qs / 2), 8) AS matrix_score FROM wide GROUP BY 1, 2, 3",
+    with_(C.FORECASTS) + "SELECT model, series_id, origin, round(avg(sum_qs / 2) + 1e-11, 8) AS matrix_score FROM wide GROUP BY 1, 2, 3",
 )
 def q3(spark, root):
     plain = pinball(F.col("y"), F.col("q"), F.col("tau"))
@@ -97,11 +97,11 @@ def q3(spark, root):
 
 @query(
     "q4_neg_score",
-    with_(C.FORECASTS) + "SELECT model, tau, round(-avg(qs), 8) AS score FROM sc GROUP BY 1, 2",
+    with_(C.FORECASTS) + "SELECT model, tau, round(-avg(qs) + 1e-11, 8) AS score FROM sc GROUP BY 1, 2",
 )
 def q4(spark, root):
     neg = negated_pinball2(F.col("y"), F.col("q"), F.col("tau"))
-    return baseline(spark, root).groupBy("model", "tau").agg(F.round(F.avg(neg), 8).alias("score"))
+    return baseline(spark, root).groupBy("model", "tau").agg(r8(F.avg(neg), "score"))
 
 
 @query("q5_row_scores", with_(C.FORECASTS) + f"SELECT model, series_id, origin, ts, horizon, {ROUND_SCORES} FROM wide")
@@ -127,7 +127,7 @@ def a6(spark, root):
     return E.means_with_overall(wide(spark, root), ["model"], "horizon", SCORES).select("model", "horizon", *[r8(c) for c in SCORES])
 
 
-@query("a7_origin_means", with_(C.FORECASTS) + "SELECT model, origin, round(avg(mean_qs), 8) AS mean_qs FROM wide GROUP BY 1, 2")
+@query("a7_origin_means", with_(C.FORECASTS) + "SELECT model, origin, round(avg(mean_qs) + 1e-11, 8) AS mean_qs FROM wide GROUP BY 1, 2")
 def a7(spark, root):
     return E.column_means(wide(spark, root), ["model", "origin"], ["mean_qs"]).select("model", "origin", r8("mean_qs"))
 
@@ -135,14 +135,14 @@ def a7(spark, root):
 @query(
     "a8_leaderboard",
     with_(C.FORECASTS)
-    + "SELECT model, round(avg(s), 8) AS score FROM (SELECT model, horizon, avg(sum_qs) AS s FROM wide GROUP BY 1, 2) GROUP BY 1",
+    + "SELECT model, round(avg(s) + 1e-11, 8) AS score FROM (SELECT model, horizon, avg(sum_qs) AS s FROM wide GROUP BY 1, 2) GROUP BY 1",
 )
 def a8(spark, root):
     return E.leaderboard(wide(spark, root)).select("model", r8("score"))
 
 
-COVERAGE_SQL = """round(avg(CASE WHEN y BETWEEN q0_25 AND q0_75 THEN 1.0::DOUBLE ELSE 0 END), 8) AS coverage_50,
-  round(avg(CASE WHEN y BETWEEN q0_025 AND q0_975 THEN 1.0::DOUBLE ELSE 0 END), 8) AS coverage_95"""
+COVERAGE_SQL = """round(avg(CASE WHEN y BETWEEN q0_25 AND q0_75 THEN 1.0::DOUBLE ELSE 0 END) + 1e-11, 8) AS coverage_50,
+  round(avg(CASE WHEN y BETWEEN q0_025 AND q0_975 THEN 1.0::DOUBLE ELSE 0 END) + 1e-11, 8) AS coverage_95"""
 
 
 @query("a9_coverage", with_(C.FORECASTS) + f"SELECT model, series_id, {COVERAGE_SQL} FROM wide_q GROUP BY 1, 2")
@@ -179,7 +179,7 @@ def u3(spark, root):
     "u4_unpivot",
     with_(C.FORECASTS)
     + """, sel AS (SELECT series_id, ts, y AS demand, q0_025, q0_975 FROM wide_q WHERE model = 'lag7'),
-long AS (UNPIVOT sel ON demand, q0_025, q0_975 INTO NAME legend VALUE v) SELECT series_id, ts, legend, round(v, 8) AS value FROM long""",
+long AS (UNPIVOT sel ON demand, q0_025, q0_975 INTO NAME legend VALUE v) SELECT series_id, ts, legend, round(v + 1e-11, 8) AS value FROM long""",
 )
 def u4(spark, root):
     sel = wide_forecasts(spark, root).filter("model = 'lag7'").withColumnRenamed("y", "demand")
@@ -190,7 +190,7 @@ def u4(spark, root):
     "u5_pivot",
     with_(C.FORECASTS)
     + """SELECT strftime(origin, '%Y%m%d') AS forecast_date, 'energy' AS target, model, series_id, CAST(horizon AS VARCHAR) || ' hour' AS horizon, """
-    + ", ".join(f"round({c}, 8) AS {c}" for c in Q)
+    + ", ".join(f"round({c} + 1e-11, 8) AS {c}" for c in Q)
     + " FROM wide_q WHERE isodow(ts) IN (5, 6) AND hour(ts) IN (12, 16, 20)",
 )
 def u5(spark, root):
@@ -218,7 +218,7 @@ def submission(forecasts, target: str):
     with_(C.FORECASTS)
     + """, packed AS (SELECT model, series_id, origin, ts, list_sort(list(q)) AS qs FROM fc GROUP BY 1, 2, 3, 4)
 SELECT model, series_id, origin, ts, """
-    + ", ".join(f"round(qs[{i + 1}], 8) AS {c}" for i, c in enumerate(Q))
+    + ", ".join(f"round(qs[{i + 1}] + 1e-11, 8) AS {c}" for i, c in enumerate(Q))
     + " FROM packed",
 )
 def u6(spark, root):
@@ -233,7 +233,7 @@ def u6(spark, root):
     + """, m AS (SELECT model, series_id, tau, origin, avg(-qs) AS s FROM sc GROUP BY 1, 2, 3, 4),
 a AS (SELECT series_id, tau, model, avg(s) AS mean_score, stddev_pop(s) AS std_score, count(s) AS folds FROM m GROUP BY 1, 2, 3),
 b AS (SELECT *, rank() OVER (PARTITION BY series_id, tau ORDER BY mean_score DESC) AS rk FROM a)
-SELECT series_id, tau, model, round(mean_score, 8) AS mean_score, round(std_score, 8) AS std_score, folds, CAST(rk AS INTEGER) AS rank
+SELECT series_id, tau, model, round(mean_score + 1e-11, 8) AS mean_score, round(std_score + 1e-11, 8) AS std_score, folds, CAST(rk AS INTEGER) AS rank
 FROM b WHERE rk = 1""",
 )
 def w7(spark, root):
