@@ -193,3 +193,15 @@ def test_boosted_predictions_cover_and_survive_saving(spark, boosted, tmp_path):
 def test_codes_put_missing_values_first():
     codes = B.encode(np.array([[np.nan], [0.5], [1.5], [9.0]]), [[1.0, 2.0]])
     assert codes[:, 0].tolist() == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("limits", [{"FEW_MODELS": 0}, {"DIRECT_TASKS": 0}, {"FEW_MODELS": 0, "FAN_IN": 1}])
+def test_every_way_of_adding_sums_agrees(spark, monkeypatch, limits):
+    df = hourly(spark, 200)
+    blocks = P.run(P.feature_blocks(df, ["series_id"], "ts", "y", [F.lit(1.0), F.col("x")], 2))
+    fit = lambda: [r["coefs"] for r in L.quantile_regression(blocks, ["series_id"], 2, rounds=3).orderBy("series_id").collect()]
+    want = fit()
+    for name, value in limits.items():
+        monkeypatch.setattr(P, name, value)
+    for a, b in zip(want, fit()):
+        assert b == pytest.approx(a)
