@@ -235,9 +235,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Sets of the classes that share a key at all; ids are broadcast only if a count has shown them to be few.
     wanted = shared.select("cls").distinct().join(classes, "cls").select("first").distinct()
-    wanted = cut(wanted.withColumnRenamed("first", "id"))
+    wanted = cut(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= ID_LIMIT else wanted
-    found = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
     sets = cut(found.mapInArrow(_sets(size), "cls long, tokens binary").dropDuplicates(["cls"]))
 
     checked = cut(_checked(done, sets, num, den))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foreband.llm import jaccard_join, mixing
-from foreband.llm.common import prepare, table
+from foreband.llm import jaccard_join, mixing, packing, secrets, token_counts
+from foreband.core import checkpoint_dir
+from foreband.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +28,23 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.scan(table(spark, root, "documents"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    """Starts from an empty cache of its own, so that every run counts the tables it is given."""
+    cache = f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(table(spark, root, "documents"), cache)
+
+
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.components(table(spark, root, "documents"))

@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         grown = np.full(max(n, 2 * len(_POWERS)), _BASE, np.uint64)
@@ -44,7 +44,7 @@ def _block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.empty(0, np.uint64)
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    values = _BYTE[data[inside]] * _powers(int(lengths.max()))[place]
+    values = _BYTE[data[inside]] * powers(int(lengths.max()))[place]
     return starts, mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
