@@ -210,27 +210,11 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     )
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id (smallest id reachable by links, itself included), n_class.
+def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Groups of classes of equal sets, given index rows (key, cls, pivot): rows (digest, lowest, n_class).
 
-    Documents link when den * |A & B| >= num * |A | B| over their sets of `size`-word shingles. A text of fewer words is one
-    shingle as a whole; null, empty and blank texts have no shingle and link with nothing (n_class null). Rows with equal sets
-    are linked, repeated rows too; n_class counts them. Null ids come back as rows; a component of null ids only has a null id.
-    Other columns of `docs` are not read. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    rows: (id, text) of all documents; classes: (digest, cls, first, n_class); lowest: smallest id of a class's group.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    narrow = cut(rows.mapInArrow(_digests(size), "id long, n_shingles long, cls long, digest binary"))
-    classes = cut(narrow.where("digest is not null").groupBy("digest", "cls").agg(F.min("id").alias("first"), F.count("*").alias("n_class")))
-
-    index = (
-        rows.select("text")
-        .mapInArrow(_keys(size, num, den), "digest binary, keys binary")
-        .groupBy("digest")
-        .agg(F.min("keys").alias("keys"))
-        .mapInArrow(_flat, "key long, cls long")
-    )
-    shared = cut(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "key long, cls long, pivot long"))
     done = cut(shared.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
 
     # Sets of the classes that share a key at all; ids are broadcast only if a count has shown them to be few.
@@ -265,7 +249,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     lowest = member.groupBy("g").agg(F.min("first").alias("lowest"))
-    named = member.join(lowest, "g").select("digest", "lowest", "n_class")
+    return member.join(lowest, "g").select("digest", "lowest", "n_class")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """One row per document: id_col, n_shingles, component_id (smallest id reachable by links, itself included), n_class.
+
+    Documents link when den * |A & B| >= num * |A | B| over their sets of `size`-word shingles. A text of fewer words is one
+    shingle as a whole; null, empty and blank texts have no shingle and link with nothing (n_class null). Rows with equal sets
+    are linked, repeated rows too; n_class counts them. Null ids come back as rows; a component of null ids only has a null id.
+    Other columns of `docs` are not read. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = cut(rows.mapInArrow(_digests(size), "id long, n_shingles long, cls long, digest binary"))
+    classes = cut(narrow.where("digest is not null").groupBy("digest", "cls").agg(F.min("id").alias("first"), F.count("*").alias("n_class")))
+
+    index = (
+        rows.select("text")
+        .mapInArrow(_keys(size, num, den), "digest binary, keys binary")
+        .groupBy("digest")
+        .agg(F.min("keys").alias("keys"))
+        .mapInArrow(_flat, "key long, cls long")
+    )
+    shared = cut(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "key long, cls long, pivot long"))
+    named = resolve(rows, classes, shared, size, num, den)
     return narrow.join(named, "digest", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("lowest")).alias("component_id"), "n_class"
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foreband.llm import jaccard_join, mixing, packing, secrets, token_counts
+from foreband.llm import jaccard_join, minhash, mixing, packing, secrets, token_counts
 from foreband.core import checkpoint_dir
 from foreband.llm.common import table
 
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scan(table(spark, root, "documents"))
 
 
+@query("op3_minhash_fingerprints")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, root, "documents"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
