@@ -34,10 +34,10 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def _block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _block(raw: bytes, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of one stretch of bytes."""
     data = np.frombuffer(raw, np.uint8)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, lengths = edges[::2], edges[1::2] - edges[::2]
     if not len(starts):
@@ -48,31 +48,31 @@ def _block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
-def _long(raw: bytes) -> np.ndarray:
-    """Word hashes of a text over the chunk size, cut at white space only."""
+def _long(raw: bytes, breaks: np.ndarray) -> np.ndarray:
+    """Word hashes of a text over the chunk size, cut between words only."""
     parts, at = [], 0
     while at < len(raw):
         to = min(at + CHUNK, len(raw))
-        while to < len(raw) and not _SPACE[raw[to]]:
+        while to < len(raw) and not breaks[raw[to]]:
             to += 1
-        parts.append(_block(raw[at:to])[1])
+        parts.append(_block(raw[at:to], breaks)[1])
         at = to
     return np.concatenate(parts)
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The word hashes of each text, in order; short texts are hashed together."""
+def word_hashes(texts: list[bytes], breaks: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
+    """The word hashes of each text, in order; short texts are hashed together. breaks: which bytes part words; line feed must."""
     at = 0
     while at < len(texts):
         if len(texts[at]) > CHUNK:
-            yield _long(texts[at])
+            yield _long(texts[at], breaks)
             at += 1
             continue
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
             size += len(texts[to]) + 1
             to += 1
-        starts, hashes = _block(b"\n".join(texts[at:to]))
+        starts, hashes = _block(b"\n".join(texts[at:to]), breaks)
         ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
         cuts = np.searchsorted(starts, ends)
         before = 0
