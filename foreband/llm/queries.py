@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foreband.llm import jaccard_join, minhash, mixing, packing, secrets, token_counts
+from foreband.llm import extraction, jaccard_join, minhash, mixing, packing, quality, secrets, token_counts, topk, toxicity
 from foreband.core import checkpoint_dir
 from foreband.llm.common import table
 
@@ -38,6 +38,11 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     return minhash.fingerprints(table(spark, root, "documents"))
 
 
+@query("op4_main_text")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return extraction.main_text(table(spark, root, "pages"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
@@ -50,6 +55,21 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), cache)
 
 
+@query("op7_exact_top_k")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return topk.top_k(table(spark, root, "embeddings"))
+
+
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, root: str) -> DataFrame:
-    return jaccard_join.components(table(spark, root, "documents"))
+    return jaccard_join.components(table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_toxicity_chain")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.classify(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return quality.classify(table(spark, root, "documents"), table(spark, root, "labels"))

@@ -34,7 +34,7 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def _block(raw: bytes, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def _block(raw: bytes, breaks: np.ndarray = _SPACE, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of one stretch of bytes."""
     data = np.frombuffer(raw, np.uint8)
     inside = ~breaks[data]
@@ -45,34 +45,39 @@ def _block(raw: bytes, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndar
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
     values = _BYTE[data[inside]] * powers(int(lengths.max()))[place]
+    if prefix:
+        values, lengths = np.where(place < prefix, values, np.uint64(0)), np.minimum(lengths, prefix)
     return starts, mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
-def _long(raw: bytes, breaks: np.ndarray) -> np.ndarray:
+def _long(raw: bytes, breaks: np.ndarray, prefix: int | None) -> np.ndarray:
     """Word hashes of a text over the chunk size, cut between words only."""
     parts, at = [], 0
     while at < len(raw):
         to = min(at + CHUNK, len(raw))
         while to < len(raw) and not breaks[raw[to]]:
             to += 1
-        parts.append(_block(raw[at:to], breaks)[1])
+        parts.append(_block(raw[at:to], breaks, prefix)[1])
         at = to
     return np.concatenate(parts)
 
 
-def word_hashes(texts: list[bytes], breaks: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
-    """The word hashes of each text, in order; short texts are hashed together. breaks: which bytes part words; line feed must."""
+def word_hashes(texts: list[bytes], breaks: np.ndarray = _SPACE, prefix: int | None = None) -> Iterator[np.ndarray]:
+    """The word hashes of each text, in order; short texts are hashed together. breaks: which bytes part words; line feed must.
+
+    prefix: hash only so many first bytes of a word.
+    """
     at = 0
     while at < len(texts):
         if len(texts[at]) > CHUNK:
-            yield _long(texts[at], breaks)
+            yield _long(texts[at], breaks, prefix)
             at += 1
             continue
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
             size += len(texts[to]) + 1
             to += 1
-        starts, hashes = _block(b"\n".join(texts[at:to]), breaks)
+        starts, hashes = _block(b"\n".join(texts[at:to]), breaks, prefix)
         ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
         cuts = np.searchsorted(starts, ends)
         before = 0
