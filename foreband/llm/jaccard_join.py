@@ -218,34 +218,47 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     done = cut(shared.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
 
     # Sets of the classes that share a key at all; ids are broadcast only if a count has shown them to be few.
-    wanted = shared.select("cls").distinct().join(classes, "cls").select("first").distinct()
-    wanted = cut(wanted)
+    alike = done.select(F.col("a").alias("cls")).union(done.select("b")).distinct()
+    wanted = cut(alike.join(classes, "cls").select("first").distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= ID_LIMIT else wanted
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
-    sets = cut(found.mapInArrow(_sets(size), "cls long, tokens binary").dropDuplicates(["cls"]))
+    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(_sets(size), "cls long, tokens binary")
+    sets = cut(found)
+    if sets.groupBy("cls").count().where("count > 1").limit(1).count():
+        sets = cut(sets.dropDuplicates(["cls"]))  # rows that share an id
 
-    checked = cut(_checked(done, sets, num, den))
-    links = checked.where("linked").select("a", "b")
+    checked = _checked(done, sets, num, den).where("linked")
+    links = cut(checked.select("a", "b"))
     groups = cut(grouped(links))
+
+    def named(df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the group of a class; a class without links is a group of its own."""
+        found = df.join(groups.select(F.col("id").alias(column), F.col("component").alias("c_")), column, "left")
+        return found.withColumn(name, F.coalesce("c_", column)).drop("c_")
+
+    # Only buckets with a member outside their pivot's group go on, if they have pairs that were not compared.
+    apart = cut(named(named(done, "a", "ga"), "b", "gb").where("ga != gb").select(F.col("a").alias("pivot"), F.col("b").alias("cls")))
+    few = F.broadcast(apart) if apart.count() <= ID_LIMIT else apart
+    keys = cut(shared.join(few, ["pivot", "cls"], "left_semi").select("key").distinct())
+    few = F.broadcast(keys) if keys.count() <= ID_LIMIT else keys
+    live = cut(shared.join(few, "key", "left_semi").select("key", "cls"))
     pivots = 1
     while True:
-        # Buckets that still hold several groups; a class without links is a group of its own.
-        named = (
-            shared.select("key", "cls").join(groups.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("g"))
-        )
-        mixed = named.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members")).where(f"low != high and members > {pivots}")
-        ranked = cut(named.join(mixed.select("key"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))))
-        if not ranked.limit(1).count():
+        grouped_ = named(live.select("key", "cls"), "cls", "g")
+        mixed = grouped_.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members"))
+        mixed = mixed.where(f"low != high and members > {pivots + 1}").select("key")
+        live = cut(grouped_.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))))
+        if not live.limit(1).count():
             break
-        lead = ranked.where(f"rank > {pivots} and rank <= {2 * pivots}").select("key", F.col("cls").alias("p"), F.col("g").alias("pg"), F.col("rank").alias("pr"))
-        fresh = ranked.join(lead, "key").where("rank > pr and g != pg").select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
+        lead = live.where(f"rank > {pivots} and rank <= {2 * pivots}").select("key", F.col("cls").alias("p"), F.col("g").alias("pg"), F.col("rank").alias("pr"))
+        fresh = live.join(lead, "key").where("rank > pr and g != pg").select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
         fresh = cut(fresh.join(done, ["a", "b"], "left_anti"))
         pivots *= 2
-        more = cut(_checked(fresh, sets, num, den).where("linked").select("a", "b"))
-        done = cut(done.union(fresh))
-        if more.limit(1).count():
-            links = links.union(more)
-            groups = cut(grouped(links))
+        if fresh.limit(1).count():
+            more = cut(_checked(fresh, sets, num, den).where("linked").select("a", "b"))
+            done = done.union(fresh)
+            if more.limit(1).count():
+                links = links.union(more)
+                groups = cut(grouped(links))
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     lowest = member.groupBy("g").agg(F.min("first").alias("lowest"))
