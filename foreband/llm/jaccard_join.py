@@ -8,7 +8,7 @@ may leave out its smallest segments, which say least: every pair has units to sp
 segments, how many of them with deletions, and how many to leave out is chosen per band by cost (`allocation`).
 
 Equal sets are one class throughout. Members of an index bucket are compared with the bucket's smallest member, exactly;
-afterwards only buckets that still hold different groups go on, with twice the pivots each round, until each bucket is one group
+afterwards only buckets that still hold different groups go on, with four times the pivots each round, until each bucket is one group
 or all its pairs are compared. No bucket is ever held in one task's memory or expanded into all pairs at once.
 """
 
@@ -249,10 +249,10 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         live = cut(grouped_.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))))
         if not live.limit(1).count():
             break
-        lead = live.where(f"rank > {pivots} and rank <= {2 * pivots}").select("key", F.col("cls").alias("p"), F.col("g").alias("pg"), F.col("rank").alias("pr"))
+        lead = live.where(f"rank > {pivots} and rank <= {4 * pivots}").select("key", F.col("cls").alias("p"), F.col("g").alias("pg"), F.col("rank").alias("pr"))
         fresh = live.join(lead, "key").where("rank > pr and g != pg").select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
         fresh = cut(fresh.join(done, ["a", "b"], "left_anti"))
-        pivots *= 2
+        pivots *= 4
         if fresh.limit(1).count():
             more = cut(_checked(fresh, sets, num, den).where("linked").select("a", "b"))
             done = done.union(fresh)

@@ -70,6 +70,7 @@ def count_tokens(
         wanted = F.broadcast(wanted) if n <= ID_LIMIT else wanted
         first = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("content") == F.col("wanted")), "left_semi")
         fresh = first.select("content", "text").mapInArrow(_counts(path), "content binary, n_tokens long")
+        fresh = fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # rows alike in id and text are found together
         fresh.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     # Appends of several runs may hold one content twice, with one count.
     known = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
