@@ -175,18 +175,54 @@ def _runs(batches):
             held_out = held_out or bool(shared[0])
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each of four or more times as many buckets as there are tokens: whether the bucket holds an odd number of them."""
+    width = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At most the number of tokens that only one of two sets has, from their parities; the finer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(size: int):
     def run(batches):
         for b in batches:
             sets = [s for s in sets_of(b.column("text"), size) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(digest_of(s)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"]
+                [
+                    pa.array([class_of(digest_of(s)) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([parity(s) for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                ["cls", "n", "parity", "tokens"],
             )
 
     return run
 
 
-def _verify(num: int, den: int):
+def _possible(num: int, den: int):
+    """Pairs that their parities don't rule out."""
+
+    def run(batches):
+        for b in batches:
+            x, y, sizes = b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("sizes").to_pylist()
+            keep = [(den + num) * least_difference(p, q) <= (den - num) * n for p, q, n in zip(x, y, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    return run
+
+
+def _linked(num: int, den: int):
+    """Pairs whose sets link."""
+
     def run(batches):
         for b in batches:
             keep = []
@@ -196,18 +232,27 @@ def _verify(num: int, den: int):
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    return (
-        pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-        .join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_verify(num, den), "a long, b long, linked boolean")
-    )
+def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    one = pairs.join(sets.select(F.col("cls").alias("b"), F.col(column).alias("y"), F.col("n").alias("m")), "b")
+    return one.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("x"), "n"), "a").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("sizes"))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast only if a count has shown the ids to be few; else they are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= ID_LIMIT else ids
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that link: parities, a sixteenth of the sets' size, leave few pairs for which whole sets are moved."""
+    possible = cut(_met(pairs, sets, "parity").mapInArrow(_possible(num, den), "a long, b long"))
+    wanted = cut(possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct())
+    some = sets.join(_few(wanted), "cls", "left_semi")
+    return cut(_met(possible, some, "tokens").mapInArrow(_linked(num, den), "a long, b long"))
 
 
 def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -220,14 +265,12 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     # Sets of the classes that share a key at all; ids are broadcast only if a count has shown them to be few.
     alike = done.select(F.col("a").alias("cls")).union(done.select("b")).distinct()
     wanted = cut(alike.join(classes, "cls").select("first").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= ID_LIMIT else wanted
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(_sets(size), "cls long, tokens binary")
-    sets = cut(found)
+    found = rows.join(_few(wanted), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
+    sets = cut(found.mapInArrow(_sets(size), "cls long, n long, parity binary, tokens binary"))
     if sets.groupBy("cls").count().where("count > 1").limit(1).count():
         sets = cut(sets.dropDuplicates(["cls"]))  # rows that share an id
 
-    checked = _checked(done, sets, num, den).where("linked")
-    links = cut(checked.select("a", "b"))
+    links = _links(done, sets, num, den)
     groups = cut(grouped(links))
 
     def named(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -237,10 +280,8 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
 
     # Only buckets with a member outside their pivot's group go on, if they have pairs that were not compared.
     apart = cut(named(named(done, "a", "ga"), "b", "gb").where("ga != gb").select(F.col("a").alias("pivot"), F.col("b").alias("cls")))
-    few = F.broadcast(apart) if apart.count() <= ID_LIMIT else apart
-    keys = cut(shared.join(few, ["pivot", "cls"], "left_semi").select("key").distinct())
-    few = F.broadcast(keys) if keys.count() <= ID_LIMIT else keys
-    live = cut(shared.join(few, "key", "left_semi").select("key", "cls"))
+    keys = cut(shared.join(_few(apart), ["pivot", "cls"], "left_semi").select("key").distinct())
+    live = cut(shared.join(_few(keys), "key", "left_semi").select("key", "cls"))
     pivots = 1
     while True:
         grouped_ = named(live.select("key", "cls"), "cls", "g")
@@ -254,7 +295,7 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         fresh = cut(fresh.join(done, ["a", "b"], "left_anti"))
         pivots *= 4
         if fresh.limit(1).count():
-            more = cut(_checked(fresh, sets, num, den).where("linked").select("a", "b"))
+            more = _links(fresh, sets, num, den)
             done = done.union(fresh)
             if more.limit(1).count():
                 links = links.union(more)
