@@ -7,9 +7,9 @@ neighbourhood two: with more units than H, any linked pair agrees on some segmen
 may leave out its smallest segments, which say least: every pair has units to spare for what both sides leave out. How many
 segments, how many of them with deletions, and how many to leave out is chosen per band by cost (`allocation`).
 
-Equal sets are one class throughout. Members of an index bucket are compared with the bucket's smallest member, exactly;
-afterwards only buckets that still hold different groups go on, with four times the pivots each round, until each bucket is one group
-or all its pairs are compared. No bucket is ever held in one task's memory or expanded into all pairs at once.
+Equal sets are one class throughout. Members of an index bucket are compared with the bucket's smallest member, exactly. Only buckets
+that still hold different groups go on: a task streams a bucket past a bounded number of its members and gives out the pairs between groups
+that the sets' parities leave possible, which are compared exactly, until nothing new links. No bucket is held in memory or expanded into pairs.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreband.llm.common import ID_LIMIT, cut, grouped, prepare
@@ -29,6 +29,8 @@ from foreband.llm.words import mix, shingles, word_hashes
 
 # Costs in index rows: a segment of at most one shingle that is not left out meets very many strangers.
 TINY_COST = 200.0
+# Members of a bucket that the others are held against at a time.
+PIVOTS = 512
 
 
 @lru_cache
@@ -220,6 +222,49 @@ def _possible(num: int, den: int):
     return run
 
 
+def _meet(num: int, den: int, skip: int, every: bool):
+    """Of rows (key, cls, n, parity, g) sorted by key and class: pairs of different groups in one bucket that may link.
+
+    The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member and the pivots of
+    another group only the first possible pair is given out, or with `every` each of them.
+    """
+
+    def run(batches):
+        key, seen, pivots = None, 0, {}
+        for b in batches:
+            out = []
+            rows = zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", "parity", "g")), strict=True)
+            for k, cls, n, bits, g in rows:
+                if k != key:
+                    key, seen, pivots = k, 0, {}
+                seen += 1
+                if seen <= skip:
+                    continue
+                bits = np.frombuffer(bits, np.uint8)
+                met = set()
+                for classes, groups, sizes, table in pivots.values():
+                    one, many = bits, table[: len(classes)]
+                    while len(one) > many.shape[1]:
+                        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+                    while many.shape[1] > len(one):
+                        many = many[:, : many.shape[1] // 2] ^ many[:, many.shape[1] // 2 :]
+                    apart = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
+                    for i in np.flatnonzero((den + num) * apart <= (den - num) * (np.array(sizes) + n)):
+                        if groups[i] != g and (every or groups[i] not in met):
+                            met.add(groups[i])
+                            out.append((classes[i], cls))
+                if seen <= skip + PIVOTS:
+                    held = pivots.setdefault(len(bits), ([], [], [], np.zeros((PIVOTS, len(bits)), np.uint8)))
+                    held[3][len(held[0])] = bits
+                    held[0].append(cls)
+                    held[1].append(g)
+                    held[2].append(n)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _linked(num: int, den: int):
     """Pairs whose sets link."""
 
@@ -281,25 +326,29 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     # Only buckets with a member outside their pivot's group go on, if they have pairs that were not compared.
     apart = cut(named(named(done, "a", "ga"), "b", "gb").where("ga != gb").select(F.col("a").alias("pivot"), F.col("b").alias("cls")))
     keys = cut(shared.join(_few(apart), ["pivot", "cls"], "left_semi").select("key").distinct())
-    live = cut(shared.join(_few(keys), "key", "left_semi").select("key", "cls"))
-    pivots = 1
+    live = shared.join(_few(keys), "key", "left_semi").select("key", "cls")
+    live = cut(live.join(live.groupBy("key").count().where("count > 2").select("key"), "key").join(sets.select("cls", "n", "parity"), "cls"))
+    every = False
     while True:
-        grouped_ = named(live.select("key", "cls"), "cls", "g")
-        mixed = grouped_.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members"))
-        mixed = mixed.where(f"low != high and members > {pivots + 1}").select("key")
-        live = cut(grouped_.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cls"))))
-        if not live.limit(1).count():
+        grouped_ = named(live.drop("g"), "cls", "g")
+        mixed = grouped_.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members")).where("low != high")
+        live = cut(grouped_.join(mixed.select("key", "members"), "key").select("key", "cls", "n", "parity", "g", "members"))
+        largest = live.agg(F.max("members")).first()[0]
+        if not largest:
             break
-        lead = live.where(f"rank > {pivots} and rank <= {4 * pivots}").select("key", F.col("cls").alias("p"), F.col("g").alias("pg"), F.col("rank").alias("pr"))
-        fresh = live.join(lead, "key").where("rank > pr and g != pg").select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
-        fresh = cut(fresh.join(done, ["a", "b"], "left_anti"))
-        pivots *= 4
-        if fresh.limit(1).count():
-            more = _links(fresh, sets, num, den)
-            done = done.union(fresh)
-            if more.limit(1).count():
-                links = links.union(more)
-                groups = cut(grouped(links))
+        ordered = live.drop("members").repartition("key").sortWithinPartitions("key", "cls")
+        pairs = [ordered.mapInArrow(_meet(num, den, at, every), "a long, b long") for at in range(0, largest, PIVOTS)]
+        live = live.drop("members")
+        fresh = cut(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"))
+        more = _links(fresh, sets, num, den)
+        done = done.union(fresh)
+        if more.limit(1).count():
+            links, every = links.union(more), False
+            groups = cut(grouped(links))
+        elif every:
+            break
+        else:
+            every = True
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     lowest = member.groupBy("g").agg(F.min("first").alias("lowest"))
