@@ -178,8 +178,8 @@ def _runs(batches):
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bit for each of four or more times as many buckets as there are tokens: whether the bucket holds an odd number of them."""
-    width = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    """A bit for each of some more buckets than there are tokens: whether the bucket holds an odd number of them."""
+    width = 1 << max(6, len(tokens).bit_length())
     counts = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
@@ -293,7 +293,7 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that link: parities, a sixteenth of the sets' size, leave few pairs for which whole sets are moved."""
+    """Pairs that link: parities, a small part of the sets' size, leave few pairs for which whole sets are moved."""
     possible = cut(_met(pairs, sets, "parity").mapInArrow(_possible(num, den), "a long, b long"))
     wanted = cut(possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct())
     some = sets.join(_few(wanted), "cls", "left_semi")
@@ -326,19 +326,19 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     # Only buckets with a member outside their pivot's group go on, if they have pairs that were not compared.
     apart = cut(named(named(done, "a", "ga"), "b", "gb").where("ga != gb").select(F.col("a").alias("pivot"), F.col("b").alias("cls")))
     keys = cut(shared.join(_few(apart), ["pivot", "cls"], "left_semi").select("key").distinct())
-    live = shared.join(_few(keys), "key", "left_semi").select("key", "cls")
-    live = cut(live.join(live.groupBy("key").count().where("count > 2").select("key"), "key").join(sets.select("cls", "n", "parity"), "cls"))
+    live = cut(shared.join(_few(keys), "key", "left_semi").select("key", "cls"))
+    live = live.join(live.groupBy("key").count().where("count > 2").select("key"), "key")
     every = False
     while True:
-        grouped_ = named(live.drop("g"), "cls", "g")
+        grouped_ = named(live.select("key", "cls"), "cls", "g")
         mixed = grouped_.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members")).where("low != high")
-        live = cut(grouped_.join(mixed.select("key", "members"), "key").select("key", "cls", "n", "parity", "g", "members"))
+        live = cut(grouped_.join(mixed.select("key", "members"), "key").select("key", "cls", "g", "members"))
         largest = live.agg(F.max("members")).first()[0]
         if not largest:
             break
-        ordered = live.drop("members").repartition("key").sortWithinPartitions("key", "cls")
+        ordered = live.join(sets.select("cls", "n", "parity"), "cls").select("key", "cls", "n", "parity", "g")
+        ordered = ordered.repartition("key").sortWithinPartitions("key", "cls")
         pairs = [ordered.mapInArrow(_meet(num, den, at, every), "a long, b long") for at in range(0, largest, PIVOTS)]
-        live = live.drop("members")
         fresh = cut(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"))
         more = _links(fresh, sets, num, den)
         done = done.union(fresh)
