@@ -125,29 +125,20 @@ def _digests(size: int):
 
 
 def _keys(size: int, num: int, den: int):
+    """One index row for each key of each document's set."""
+
     def run(batches):
         for b in batches:
-            sets = [s for s in sets_of(b.column("text"), size) if len(s)]
-            digests = [digest_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array([signatures(s, num, den).tobytes() for s in sets], pa.binary())], ["digest", "keys"]
-            )
+            for at in range(0, b.num_rows, 200):
+                sets = [s for s in sets_of(b.column("text").slice(at, 200), size) if len(s)]
+                keys = [signatures(s, num, den).view(np.int64) for s in sets]
+                classes = np.array([class_of(digest_of(s)) for s in sets], np.int64)
+                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(classes, [len(k) for k in keys]))], ["key", "cls"])
 
     return run
 
 
-def _flat(batches):
-    """One index row for each key of each class."""
-    for b in batches:
-        for at in range(0, b.num_rows, 200):
-            part = b.slice(at, 200)
-            keys = [np.frombuffer(k, np.int64) for k in part.column("keys").to_pylist()]
-            classes = [class_of(d) for d in part.column("digest").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), [len(k) for k in keys]))], ["key", "cls"]
-            )
-
-
 def _runs(batches):
     """Of index rows sorted by key: those whose key has several classes, with the bucket's smallest class as pivot."""
     held_key = held_pivot = None
@@ -368,13 +359,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = cut(rows.mapInArrow(_digests(size), "id long, n_shingles long, cls long, digest binary"))
     classes = cut(narrow.where("digest is not null").groupBy("digest", "cls").agg(F.min("id").alias("first"), F.count("*").alias("n_class")))
 
-    index = (
-        rows.select("text")
-        .mapInArrow(_keys(size, num, den), "digest binary, keys binary")
-        .groupBy("digest")
-        .agg(F.min("keys").alias("keys"))
-        .mapInArrow(_flat, "key long, cls long")
-    )
+    # Only the first document of each class is indexed.
+    first = rows.join(_few(classes.select("first")), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
+    index = first.mapInArrow(_keys(size, num, den), "key long, cls long")
     shared = cut(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "key long, cls long, pivot long"))
     named = resolve(rows, classes, shared, size, num, den)
     return narrow.join(named, "digest", "left").select(
