@@ -208,7 +208,7 @@ def f8(spark, root):
 
 @query("f3_arma_garch_forecasts")
 def f3(spark, root):
-    return I.arma_garch_forecasts(daily_prices(spark, root), price_origins(spark, root))
+    return I.arma_garch_forecasts(daily_prices(spark, root), price_origins(spark, root)[-12:])
 
 
 @query("f12_volatility_frame")

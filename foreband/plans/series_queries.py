@@ -27,7 +27,7 @@ def r6(c, name: str | None = None):
 
 def price_origins(spark, root: str) -> list:
     first, last = G.time_bounds(table(spark, root, "orders"), "o_orderdate")
-    return weekly_origins(first.date(), last.date(), 366, 7)[-12:]
+    return weekly_origins(first.date(), last.date(), 366, 7)
 
 
 def price_years(spark, root: str) -> tuple[int, int]:
