@@ -55,6 +55,16 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), cache)
 
 
+SQL["op7_exact_top_k"] = """
+WITH parts AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE vec_id IS NOT NULL),
+good AS (SELECT vec_id FROM parts GROUP BY vec_id HAVING count(*) = count(x) AND bool_and(isfinite(CAST(x AS DOUBLE)))),
+v AS (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS e FROM parts WHERE vec_id IN (SELECT vec_id FROM good)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.e * c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.i = c.i AND q.vec_id != c.vec_id
+      WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10"""
+
+
 @query("op7_exact_top_k")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return topk.top_k(table(spark, root, "embeddings"))
