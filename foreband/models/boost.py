@@ -23,6 +23,7 @@ from foreband.operators.ordered import span_of
 
 BINS = 64
 LEAF_BINS = 1024
+LEAF_PASSES = 3
 RIDGE = 1.0
 MIN_ROWS = 2
 # Rounds between two rewrites of the running predictions.
@@ -194,35 +195,51 @@ def _split_pass(shape: Shape, r: int, d: int):
     return mapper, reducer
 
 
-def _leaf_pass(shape: Shape, r: int, rates: np.ndarray):
+def _leaf_pass(shape: Shape, r: int, rates: np.ndarray, step: int, base: bool):
+    """One of LEAF_PASSES passes for the leaf values of tree r: the wanted rank's cell is cut into LEAF_BINS cells by the next pass.
+
+    Between passes a leaf's place holds the lower end of its cell. The base tree looks for values, the others for residuals.
+    """
+    last = step == LEAF_PASSES - 1
+
+    def span(p):
+        reach = max(p[1] - p[0], 1e-12)
+        # Residuals lie within one width of the values on either side.
+        low, width = (p[0], reach) if base else (-reach, 2 * reach)
+        return low, width / LEAF_BINS ** (step + 1)
+
+    def lows(p):
+        at = shape.trees(p)[:, r, 3 * shape.inner :]
+        return at if step else np.full_like(at, span(p)[0])
+
     def mapper(block, p):
         codes = shape.codes(block)
         y = np.asarray(block["y"], dtype=float)
         f, used = shape.predictions(block, p, r), shape.used(block)
-        reach = max(p[1] - p[0], 1e-12)
-        out = np.zeros((shape.m, shape.leaves, LEAF_BINS))
+        low, cell_width = lows(p), span(p)[1]
+        # The first and the last cell hold what lies below and above.
+        cells = LEAF_BINS + 2
+        out = np.zeros((shape.m, shape.leaves, cells))
         for j in range(shape.m):
             rows = np.flatnonzero(used[:, j])
-            # residuals lie within one width of the values on either side
-            place = (y[rows] - f[rows, j] + reach) / (2 * reach) * LEAF_BINS
-            cell = np.clip(place.astype(np.int64), 0, LEAF_BINS - 1)
             node = shape.node_of(codes[rows], shape.trees(p)[j, r], shape.depth)
-            out[j] = np.bincount(node * LEAF_BINS + cell, minlength=shape.leaves * LEAF_BINS).reshape(shape.leaves, LEAF_BINS)
+            place = np.floor((y[rows] - f[rows, j] - low[j, node]) / cell_width) + 1
+            cell = np.clip(place, 0, cells - 1).astype(np.int64)
+            out[j] = np.bincount(node * cells + cell, minlength=shape.leaves * cells).reshape(shape.leaves, cells)
         return out.ravel()
 
     def reducer(p, s):
         p = p.copy()
-        reach = max(p[1] - p[0], 1e-12)
-        counts = s.reshape(shape.m, shape.leaves, LEAF_BINS)
+        counts = s.reshape(shape.m, shape.leaves, LEAF_BINS + 2)
         cum = np.cumsum(counts, axis=-1)
         n = cum[..., -1]
         want = shape.tau[:, None] * n
-        cell = np.minimum((cum < want[..., None]).sum(axis=-1), LEAF_BINS - 1)
+        cell = np.clip((cum < want[..., None]).sum(axis=-1), 1, LEAF_BINS)
         inside = np.take_along_axis(counts, cell[..., None], axis=-1)[..., 0]
         below = np.take_along_axis(cum, cell[..., None], axis=-1)[..., 0] - inside
-        share = np.where(inside > 0, (want - below) / np.maximum(inside, 1), 0.5)
-        value = (cell + share) / LEAF_BINS * 2 * reach - reach
-        shape.trees(p)[:, r, 3 * shape.inner :] = np.where(n > 0, value * rates[:, None], 0.0)
+        share = np.where(inside > 0, np.clip((want - below) / np.maximum(inside, 1), 0, 1), 0.5) if last else 0.0
+        value = lows(p) + (cell - 1 + share) * span(p)[1]
+        shape.trees(p)[:, r, 3 * shape.inner :] = np.where(n > 0, value * rates[:, None], 0.0) if last else value
         return p
 
     return mapper, reducer
@@ -285,7 +302,7 @@ def fit(blocks: DataFrame, keys: list[str], features: list[str], specs: list[Spe
     """Boosts all models of all keys together for `rounds` rounds.
 
     `keep_at` names rounds whose predictions are kept as well, so that one run serves several tree counts.
-    Leaf quantiles are exact to a bin of the residual range; the tree of round 0 is the level's quantile itself.
+    Leaf quantiles are refined to a 2^29th of the residual range; the tree of round 0 is the level's quantile itself.
     """
     shape = Shape(specs, len(features))
     ends = P.run(_bounds(blocks, keys, shape))
@@ -299,12 +316,15 @@ def fit(blocks: DataFrame, keys: list[str], features: list[str], specs: list[Spe
         stop = min([SEGMENT - first, rounds - done, *[k - done for k in keep_at if k > done]])
         slot = 0
         if first:
-            state = P.step(seen, attach(state), keys, *_leaf_pass(shape, 0, np.ones(shape.m)))
+            for step in range(LEAF_PASSES):
+                state = P.step(seen, attach(state), keys, *_leaf_pass(shape, 0, np.ones(shape.m), step, True))
             slot, first = 1, False
         for _ in range(stop):
             for d in range(shape.depth):
                 state = P.step(seen, attach(state), keys, *_split_pass(shape, slot, d))
-            state = P.run(P.step(seen, attach(state), keys, *_leaf_pass(shape, slot, rates)))
+            for step in range(LEAF_PASSES):
+                state = P.step(seen, attach(state), keys, *_leaf_pass(shape, slot, rates, step, False))
+            state = P.run(state)
             slot += 1
         done += stop
         state = P.as_frame(P.run(state) if stop == 0 else state, blocks, keys)

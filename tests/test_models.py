@@ -175,6 +175,23 @@ def test_boosting_lowers_the_training_score(boosted):
     assert imp[imp.feature == "x"].importance.min() > 0.5
 
 
+@pytest.mark.parametrize("outlier", [None, 1e6])
+def test_boosting_finds_group_quantiles_far_from_zero_and_beside_an_outlier(spark, outlier):
+    rng = np.random.default_rng(5)
+    values = [(i % 2, 100.0 + 20 * (i % 2) + float(rng.normal())) for i in range(400)]
+    rows = [("a", START + dt.timedelta(hours=i), g, outlier if outlier and i == 7 else y) for i, (g, y) in enumerate(values)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, g int, y double")
+    cols = [F.col("g")]
+    blocks = B.coded_blocks(df, ["series_id"], "ts", "y", F.lit(0), cols, B.feature_edges(df, ["series_id"], cols), 3)
+    specs = [B.Spec(t, 1, 1.0) for t in (0.25, 0.5, 0.75)]
+    model = B.fit(blocks, ["series_id"], ["g"], specs, 1)
+    got = B.prediction_rows(model.blocks, ["series_id"], specs, test_only=False).toPandas()
+    got["g"] = got.ts.dt.hour % 2
+    for (tau, g), part in got.groupby(["tau", "g"]):
+        ys = np.sort([r[3] for r in rows if r[2] == g])
+        assert part.q.to_numpy() == pytest.approx(np.quantile(ys, tau, method="inverted_cdf"), abs=0.05)
+
+
 def test_boosted_predictions_cover_and_survive_saving(spark, boosted, tmp_path):
     blocks, specs, model = boosted
     rows = B.prediction_rows(model.blocks, ["series_id"], specs)
