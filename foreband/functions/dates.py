@@ -14,7 +14,10 @@ MONTH_NAMES = (
 
 def parse_day_and_hour(day: Column, hour: Column) -> Column:
     """`31.12.2023` and `23:00` to a timestamp without zone; bad text becomes null."""
-    return F.try_to_timestamp(F.concat_ws(" ", day, hour), F.lit("dd.MM.yyyy HH:mm")).cast("timestamp_ntz")
+    # Day and hour are parsed apart: together they might not exist in the session's zone.
+    date = F.try_to_timestamp(day, F.lit("dd.MM.yyyy")).cast("date")
+    clock = F.try_to_timestamp(F.concat(F.lit("01.01.2000 "), hour), F.lit("dd.MM.yyyy HH:mm"))
+    return wall_clock(F.unix_date(date).cast("long") * 86400 + F.hour(clock) * 3600 + F.minute(clock) * 60)
 
 
 def wall_seconds(ts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foreband.functions.dates import wall_clock, wall_seconds
+
 
 def hourly_sums(raw: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", gap: str = "zero") -> DataFrame:
     """Sum per hour with every hour between the first and the last one present.
@@ -14,7 +16,8 @@ def hourly_sums(raw: DataFrame, keys: list[str], ts: str = "ts", value: str = "v
     """
     if gap not in ("zero", "null"):
         raise ValueError(f"unknown gap rule: {gap}")
-    hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
+    # Counted in wall-clock seconds, as truncation would pass through the session's zone.
+    hour = wall_clock(F.floor(wall_seconds(F.col(ts)) / 3600) * 3600)
     rows = raw.filter(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*keys, hour.alias("ts"), F.col(value).cast("double").alias("value"))
     ends = rows.groupBy(*keys).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     grid = ends.select(
@@ -37,7 +40,7 @@ def with_time_lookups(
     `lookups` maps the new column to an interval such as `7 days`. With `horizon` every interval must reach
     at least that far back, so that a feature is known when the forecast is made. Each row sends its value forward to the
     times that will ask for it, so all the lookups share one scan and one shuffle on (keys, time).
-    The rows must be unique per (keys, time).
+    A second row of the same keys and time is an error. Rows without a time all stay, with nulls for the lookups.
     """
     if horizon is not None:
         for name, back in lookups.items():
@@ -56,13 +59,14 @@ def with_time_lookups(
 
     copies = [copy(F.col(ts), None)]
     copies += [copy(F.col(ts) + F.expr(f"INTERVAL {back}"), name) for name, back in lookups.items()]
-    sent = df.select(*keys, F.inline(F.array(*copies)))
-    return (
-        sent.groupBy(*keys, ts)
-        .agg(*[F.max(c).alias(c) for c in (*own, *names, "_here")])
-        .filter("_here")
-        .select(*df.columns, *names)
+    # A number of its own keeps a row without a time apart from others.
+    alone = F.when(F.col(ts).isNull(), F.monotonically_increasing_id()).otherwise(-1).alias("_alone")
+    sent = df.select("*", alone).select(*keys, "_alone", F.inline(F.array(*copies))).filter(F.col("_here") | F.col(ts).isNotNull())
+    met = sent.groupBy(*keys, ts, "_alone").agg(
+        *[F.max(c).alias(c) for c in (*own, *names)], F.sum(F.col("_here").cast("int")).alias("_here")
     )
+    twice = F.raise_error(F.concat(F.lit("more than one row at "), F.col(ts).cast("string")))
+    return met.filter(F.when(F.col("_here") > 1, twice.cast("boolean")).otherwise(F.col("_here") == 1)).select(*df.columns, *names)
 
 
 def _hours(interval: str) -> int:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foreband.functions.dates import parse_day_and_hour
 from foreband.operators import evaluate as E
 from foreband.operators import frames as R
 from foreband.operators import ordered as O
@@ -102,6 +103,28 @@ def test_time_lookup_is_keyed_by_time(spark):
         G.with_time_lookups(px, ["series_id"], {"back": "2 days"}, ts="date", value="price", horizon="3 days")
 
 
+def test_time_lookup_refuses_duplicates_and_keeps_rows_without_a_time(spark):
+    rows = [("a", dt.date(2024, 1, 1), 1.0), ("a", None, 2.0), ("a", None, 3.0), ("a", dt.date(2024, 1, 8), None)]
+    df = spark.createDataFrame(rows, "series_id string, date date, price double")
+    got = G.with_time_lookups(df, ["series_id"], {"back": "7 days"}, ts="date", value="price")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(*r, 1.0 if r[1] == dt.date(2024, 1, 8) else None) for r in rows], key=str)
+    with pytest.raises(Exception, match="more than one row"):
+        G.with_time_lookups(df.union(df), ["series_id"], {"back": "7 days"}, ts="date", value="price").collect()
+
+
+def test_hours_and_parsing_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        texts = spark.createDataFrame([("31.03.2024", "02:30"), ("31.03.2024", "03:10"), ("31.03.2024", None)], "d string, h string")
+        parsed = texts.select(F.lit("a").alias("series_id"), parse_day_and_hour(F.col("d"), F.col("h")).alias("ts"), F.lit(2.0).alias("value"))
+        assert [r[0] for r in parsed.select(F.col("ts").cast("string")).collect()] == ["2024-03-31 02:30:00", "2024-03-31 03:10:00", None]
+        sums = G.hourly_sums(parsed, ["series_id"]).select(F.col("ts").cast("string"), "value").orderBy("ts").collect()
+        assert [tuple(r) for r in sums] == [("2024-03-31 02:00:00", 2.0), ("2024-03-31 03:00:00", 2.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_levels_there_and_back(spark):
     df = spark.createDataFrame([("s", [1.0, 5.0, 4.0, 6.0, 7.0])], "k string, q array<double>")
     wide = R.levels_to_columns(R.explode_levels(df, "q"), ["k"])
