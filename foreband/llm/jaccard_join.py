@@ -31,6 +31,8 @@ from foreband.llm.words import mix, shingles, word_hashes
 TINY_COST = 200.0
 # Members of a bucket that the others are held against at a time.
 PIVOTS = 512
+# Pairs a task remembers, so that it does not give them out for each bucket they share; a full memory starts anew.
+REMEMBERED = 200_000
 
 
 @lru_cache
@@ -169,8 +171,11 @@ def _runs(batches):
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bit for each of some more buckets than there are tokens: whether the bucket holds an odd number of them."""
-    width = 1 << max(6, len(tokens).bit_length())
+    """A bit for each of at least four times as many buckets as there are tokens: whether the bucket holds an odd number of them.
+
+    So many that two tokens seldom meet in a bucket and cancel out: pairs a little below the threshold are ruled out as well.
+    """
+    width = 1 << max(6, len(tokens).bit_length() + 2)
     counts = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
@@ -221,7 +226,7 @@ def _meet(num: int, den: int, skip: int, every: bool):
     """
 
     def run(batches):
-        key, seen, pivots = None, 0, {}
+        key, seen, pivots, given = None, 0, {}, set()
         for b in batches:
             out = []
             rows = zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", "parity", "g")), strict=True)
@@ -243,7 +248,11 @@ def _meet(num: int, den: int, skip: int, every: bool):
                     for i in np.flatnonzero((den + num) * apart <= (den - num) * (np.array(sizes) + n)):
                         if groups[i] != g and (every or groups[i] not in met):
                             met.add(groups[i])
-                            out.append((classes[i], cls))
+                            if (classes[i], cls) not in given:
+                                given.add((classes[i], cls))
+                                out.append((classes[i], cls))
+                if len(given) > REMEMBERED:
+                    given = set()
                 if seen <= skip + PIVOTS:
                     held = pivots.setdefault(len(bits), ([], [], [], np.zeros((PIVOTS, len(bits)), np.uint8)))
                     held[3][len(held[0])] = bits
