@@ -33,6 +33,8 @@ TINY_COST = 200.0
 PIVOTS = 512
 # Pairs a task remembers, so that it does not give them out for each bucket they share; a full memory starts anew.
 REMEMBERED = 200_000
+# Bucket rows to each new pair from which on all possible pairs are given out.
+FEW_LEFT = 16
 
 
 @lru_cache
@@ -221,14 +223,14 @@ def _possible(num: int, den: int):
 def _meet(num: int, den: int, skip: int, every: bool):
     """Of rows (key, cls, n, parity, g) sorted by key and class: pairs of different groups in one bucket that may link.
 
-    The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member and the pivots of
-    another group only the first possible pair is given out, or with `every` each of them.
+    The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member's possible pairs
+    only the likeliest is given out, so at most one per row, or with `every` each of them.
     """
 
     def run(batches):
         key, seen, pivots, given = None, 0, {}, set()
         for b in batches:
-            out = []
+            found = set()
             rows = zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", "parity", "g")), strict=True)
             for k, cls, n, bits, g in rows:
                 if k != key:
@@ -237,7 +239,7 @@ def _meet(num: int, den: int, skip: int, every: bool):
                 if seen <= skip:
                     continue
                 bits = np.frombuffer(bits, np.uint8)
-                met = set()
+                likely = (math.inf, None)
                 for classes, groups, sizes, table in pivots.values():
                     one, many = bits, table[: len(classes)]
                     while len(one) > many.shape[1]:
@@ -245,22 +247,29 @@ def _meet(num: int, den: int, skip: int, every: bool):
                     while many.shape[1] > len(one):
                         many = many[:, : many.shape[1] // 2] ^ many[:, many.shape[1] // 2 :]
                     apart = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
-                    for i in np.flatnonzero((den + num) * apart <= (den - num) * (np.array(sizes) + n)):
-                        if groups[i] != g and (every or groups[i] not in met):
-                            met.add(groups[i])
-                            if (classes[i], cls) not in given:
-                                given.add((classes[i], cls))
-                                out.append((classes[i], cls))
-                if len(given) > REMEMBERED:
-                    given = set()
+                    both = np.array(sizes) + n
+                    possible = np.flatnonzero((den + num) * apart <= (den - num) * both)
+                    others = [i for i in possible if groups[i] != g]
+                    if every:
+                        found.update((classes[i], cls) for i in others)
+                    elif others:
+                        shares = apart[others] / both[others]
+                        best = int(shares.argmin())
+                        likely = min(likely, (shares[best], classes[others[best]]))
+                if likely[1] is not None:
+                    found.add((likely[1], cls))
                 if seen <= skip + PIVOTS:
                     held = pivots.setdefault(len(bits), ([], [], [], np.zeros((PIVOTS, len(bits)), np.uint8)))
                     held[3][len(held[0])] = bits
                     held[0].append(cls)
                     held[1].append(g)
                     held[2].append(n)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            found -= given
+            if len(given) > REMEMBERED:
+                given = set()
+            given.update(found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -336,19 +345,22 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         largest = live.agg(F.max("members")).first()[0]
         if not largest:
             break
-        ordered = live.join(sets.select("cls", "n", "parity"), "cls").select("key", "cls", "n", "parity", "g")
-        ordered = ordered.repartition("key").sortWithinPartitions("key", "cls")
-        pairs = [ordered.mapInArrow(_meet(num, den, at, every), "a long, b long") for at in range(0, largest, PIVOTS)]
+        pairs = []
+        for at in range(0, largest - 1, PIVOTS):
+            rest = live.where(F.col("members") > at + 1).join(sets.select("cls", "n", "parity"), "cls").select("key", "cls", "n", "parity", "g")
+            ordered = rest.repartition("key").sortWithinPartitions("key", "cls")
+            pairs.append(ordered.mapInArrow(_meet(num, den, at, every), "a long, b long"))
         fresh = cut(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"))
         more = _links(fresh, sets, num, den)
         done = done.union(fresh)
-        if more.limit(1).count():
-            links, every = links.union(more), False
+        linked = more.limit(1).count()
+        if linked:
+            links = links.union(more)
             groups = cut(grouped(links))
         elif every:
             break
-        else:
-            every = True
+        # The likeliest pair of each row comes first; all pairs, which must link nothing new in the end, when those have become few.
+        every = not linked or FEW_LEFT * fresh.count() <= live.count()
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     lowest = member.groupBy("g").agg(F.min("first").alias("lowest"))
