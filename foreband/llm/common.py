@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreband.core import cut, ship
 
-__all__ = ["ID_LIMIT", "cut", "grouped", "prepare", "table"]
+__all__ = ["ID_LIMIT", "cut", "gathered", "grouped", "prepare", "table"]
 
 # Ids (16 bytes each) are broadcast only after a count has shown at most this many; beyond, they are joined by shuffle.
 ID_LIMIT = 500_000
@@ -20,6 +22,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def gathered(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in no more partitions than `each` rows a task need, so that a small frame doesn't leave a file for every shuffle partition."""
+    return df.coalesce(max(1, math.ceil(rows / each)))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
@@ -30,23 +37,17 @@ def grouped(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels go to neighbours and are then replaced by their own label (pointer jumping), so that chains halve each round.
     Every label move is a combining aggregate; nothing but a count of changes reaches the driver.
     """
-    both = cut(
-        links.select(F.col(a).alias("id"), F.col(b).alias("to"))
-        .union(links.select(F.col(b), F.col(a)))
-        .where("id != to")
-        .distinct()
-    )
-    labels = cut(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")))
+    rows = 2 * links.count()
+    both = links.select(F.col(a).alias("id"), F.col(b).alias("to")).union(links.select(F.col(b), F.col(a))).where("id != to")
+    both = cut(gathered(gathered(both, rows).distinct(), rows))
+    labels = cut(gathered(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), rows))
     while True:
         near = (
             both.join(labels.select(F.col("id").alias("to"), F.col("component").alias("m")), "to").groupBy("id").agg(F.min("m").alias("m"))
         )
         moved = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        jumped = cut(
-            moved.join(labels.select(F.col("id").alias("mid"), F.col("component").alias("far")), "mid").select(
-                "id", "old", F.least("mid", "far").alias("component")
-            )
-        )
+        jumped = moved.join(labels.select(F.col("id").alias("mid"), F.col("component").alias("far")), "mid")
+        jumped = cut(gathered(jumped.select("id", "old", F.least("mid", "far").alias("component")), rows))
         changed = jumped.where("old != component").limit(1).count()
         labels = jumped.select("id", "component")
         if not changed:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreband.llm.common import ID_LIMIT, cut, grouped, prepare
+from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, prepare
 from foreband.llm.words import mix, shingles, word_hashes
 
 # Costs in index rows: a segment of at most one shingle that is not left out meets very many strangers.
@@ -303,10 +303,12 @@ def _few(ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that link: parities, a small part of the sets' size, leave few pairs for which whole sets are moved."""
-    possible = cut(_met(pairs, sets, "parity").mapInArrow(_possible(num, den), "a long, b long"))
-    wanted = cut(possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct())
+    rows = pairs.count()
+    possible = cut(gathered(_met(pairs, sets, "parity"), rows, 5000).mapInArrow(_possible(num, den), "a long, b long"))
+    rows = possible.count()
+    wanted = cut(gathered(possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct(), 2 * rows))
     some = sets.join(_few(wanted), "cls", "left_semi")
-    return cut(_met(possible, some, "tokens").mapInArrow(_linked(num, den), "a long, b long"))
+    return cut(gathered(_met(possible, some, "tokens"), rows, 1000).mapInArrow(_linked(num, den), "a long, b long"))
 
 
 def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -325,7 +327,7 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         sets = cut(sets.dropDuplicates(["cls"]))  # rows that share an id
 
     links = _links(done, sets, num, den)
-    groups = cut(grouped(links))
+    groups = grouped(links)
 
     def named(df: DataFrame, column: str, name: str) -> DataFrame:
         """df with the group of a class; a class without links is a group of its own."""
@@ -350,13 +352,13 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
             rest = live.where(F.col("members") > at + 1).join(sets.select("cls", "n", "parity"), "cls").select("key", "cls", "n", "parity", "g")
             ordered = rest.repartition("key").sortWithinPartitions("key", "cls")
             pairs.append(ordered.mapInArrow(_meet(num, den, at, every), "a long, b long"))
-        fresh = cut(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"))
+        fresh = cut(gathered(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"), live.count()))
         more = _links(fresh, sets, num, den)
         done = done.union(fresh)
         linked = more.limit(1).count()
         if linked:
             links = links.union(more)
-            groups = cut(grouped(links))
+            groups = grouped(links)
         elif every:
             break
         # The likeliest pair of each row comes first; all pairs, which must link nothing new in the end, when those have become few.
