@@ -32,3 +32,26 @@ def test_stages_on_odd_rows(spark, root):
     single = corpus_pipeline.drop_near_copies(spark, odd, root)
     assert single.where("doc_id = 90").count() == 1 and single.where("doc_id in (80, 81, 82)").count() == 3
     assert corpus_pipeline.keep_good(spark, odd, root).columns == odd.columns
+
+
+def test_dedupe_takes_near_copies_from_four_fifths_on(spark, root):
+    """Copies between 0.80 and 0.85: appended and removed tails, an inserted passage, scattered edits. One below 0.80 stays."""
+    texts = {}
+    for i in range(5):
+        base = [f"a{i}x{j}" for j in range(600)]
+        more = [f"b{i}x{j}" for j in range(600)]
+        edited = [more[j] if j % 46 == 20 else w for j, w in enumerate(base)]
+        texts[10 * i] = base
+        texts[10 * i + 1] = [base + more[:140], base[:490], base[:300] + more[:135] + base[300:], edited, base + more[:180]][i]
+    for i in range(5):
+        five, four = (similarity(texts[10 * i], texts[10 * i + 1], k) for k in (5, 4))
+        assert 0.80 <= five < 0.85 and four < 0.85 or i == 4 and five < 0.80
+    rows = [(i, " ".join(t), "en", "s", 1, "k", 1, 0.5, -1) for i, t in texts.items()]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), root)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 41]
+
+
+def similarity(a, b, k):
+    """Jaccard similarity of two word lists over k-word shingles."""
+    x, y = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
