@@ -27,7 +27,10 @@ KINDS = {
 }
 BLOCKS = set(KINDS) - {"a", "button", "label", "select", "option"} | {"hr"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript textarea svg math iframe object canvas audio video".split())
+RAW = set("script style textarea iframe".split())
+# Embedded elements, and all within a drawing or a formula: a slash closes them at once, and without text they say nothing about their page.
+EMBEDDED = set("template noscript svg math object canvas audio video".split())
+FOREIGN = {"svg", "math"}
 # An opening tag ends an open element of these, up to one of those.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PARAGRAPH_STOP = {"button", "table", "td", "th", "caption", "article", "section", "div", "body", "html", "li", "blockquote"}
@@ -53,6 +56,12 @@ class Node:
     chars: int = 0
     linked: int = 0
     label: bool | None = None
+    embedded: bool = False
+    foreign: bool = False
+
+    @property
+    def silent(self) -> bool:
+        return self.embedded and not self.chars
 
 
 @dataclass
@@ -64,7 +73,7 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """Elements and texts of a page, however broken. Raw elements (scripts, styles, drawings and the like) hold nothing."""
+    """Elements and texts of a page, however broken. Raw elements (scripts, styles, text areas, inner frames) hold nothing."""
     page = Page([Node("html", -1, "")])
     stack, at, n = [0], 0, len(source)
 
@@ -86,9 +95,8 @@ def parse(source: str) -> Page:
             if tag in stop:
                 return
 
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
-            continue
+    # Each search begins where the last token or raw element ended, so nothing inside a raw element reaches beyond it.
+    while m := TOKEN.search(source, at):
         text(source[at : m.start()])
         at = m.end()
         if m[0].startswith("<![CDATA["):
@@ -108,6 +116,8 @@ def parse(source: str) -> Page:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else n
+        elif m[3].rstrip().endswith("/") and (tag in EMBEDDED or page.nodes[stack[-1]].foreign):
+            continue
         elif tag in VOID:
             if tag == "hr":
                 page.parts.append(None)
@@ -121,7 +131,8 @@ def parse(source: str) -> Page:
                 page.parts.append(None)
             if tag in CLOSES:
                 close_open(*CLOSES[tag])
-            page.nodes.append(Node(tag, stack[-1], m[3]))
+            foreign = tag in FOREIGN or page.nodes[stack[-1]].foreign
+            page.nodes.append(Node(tag, stack[-1], m[3], embedded=foreign or tag in EMBEDDED, foreign=foreign))
             stack.append(len(page.nodes) - 1)
     text(source[at:])
     return page
@@ -174,7 +185,7 @@ class Model:
         for i, x in enumerate(nodes):
             kind, *seen = looks(x)
             a = b = 1.0
-            for s in seen:
+            for s in () if x.silent else seen:
                 p, q = self.looks.get(s, (1.0, 1.0))
                 a, b = a * p, b * q
             here[i] = [a / (a + b), b / (a + b)]
@@ -213,6 +224,9 @@ def train(pages: list[str], smooth: float = 0.05) -> Model:
         measure(page)
         for x in page.nodes:
             above = page.nodes[x.parent].label if x.parent >= 0 else False
+            if x.silent:
+                x.label = above
+                continue
             x.label = True if "x-main" in x.attributes else False if "x-not" in x.attributes else above
             kind, *found = looks(x)
             states[x.label] += 1

@@ -220,6 +220,25 @@ def test_extract_page():
     assert extraction.extract(None, model) == extraction.extract("", model) == extraction.extract("<", model) == ""
 
 
+BETWEEN = [
+    "<script>for (i = 0; i<n; i++) {} // don't stop</script>", "<script><!-- hide\nrun()</script>", "<style><!-- p{}</style>", "<textarea>a<b don't</textarea>",
+    "<iframe src=x><!-- none</iframe>", "<video src=x>", "<audio controls>", "<canvas>", "<object data=x>", "<svg viewBox='0 0 1 1'/>",
+    "<svg><path d='M0'/><circle r=1 /><g></g></svg>", "<video src=x></video>", "<canvas class=ad></canvas>", "<video src=x />",
+]
+
+
+def test_articles_after_raw_and_embedded_elements_stay():
+    model = extraction.train(extraction.labelled_pages())
+    body = "<article><h1>Title here</h1><p>First paragraph of it.</p>{}<p>Second, it's the last.</p></article>"
+    want = "Title here\nFirst paragraph of it.\nSecond, it's the last."
+    page = "<html><body>{}{}<footer>&copy; me</footer></body></html>"
+    for x in BETWEEN:
+        assert extraction.extract(page.format(x, body.format("")), model) == want, x
+        assert extraction.extract(page.format("", body.format(x)), model) == want, x
+    inner = "<article><p>Before it.</p><noscript><p>Plain words.</p></noscript><p>Here <math><mi>x</mi></math> is.</p></article>"
+    assert extraction.extract(page.format("", inner), model) == "Before it.\nPlain words.\nHere x is."
+
+
 def test_marginals_are_exact():
     """Message passing against the sum over all states of a small tree."""
     model = extraction.train(extraction.labelled_pages(60))
