@@ -3,7 +3,7 @@
 Documents are encoded and only those longer than a sequence are cut, so that every piece but the first is a whole sequence. Pieces shorter
 than that are dealt into small groups; each group packs best-fit, longest first, and gives out its nearly full bins. The underfull
 bins of several groups meet as items in the next round, and so on up the tree, with less and less room tolerated. A round that no longer lowers
-the number of bins is the last. Groups are sized from counts, so none grows with the data.
+the number of bins is the last. Groups are sized from counts and dealt by a row number, so none grows with the data or with equal rows.
 """
 
 from __future__ import annotations
@@ -71,8 +71,8 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _packed(level: int, room: int, tolerated: int):
-    """Bins of one group: done or to be packed on; members in place order."""
+def _packed(room: int, tolerated: int):
+    """Bins of one group, numbered in it: done or to be packed on; members in place order."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("tie", "ascending")])
@@ -83,7 +83,7 @@ def _packed(level: int, room: int, tolerated: int):
         return pa.table(
             {
                 "g": pa.array([group] * len(bins), pa.int64()),
-                "number": pa.array([level << 56 | group << 20 | i for i in range(len(bins))], pa.int64()),
+                "number": pa.array(range(len(bins)), pa.int64()),
                 "size": pa.array(total, pa.int64()),
                 "members": pa.array(merged, table.schema.field("members").type),
                 "done": pa.array([room - t <= tolerated for t in total], pa.bool_()),
@@ -111,13 +111,15 @@ def pack(docs: DataFrame, path: str | None = None, room: int = 1024, end_id: int
     if not count:
         return full
     groups = math.ceil(count / GROUP)
-    tie = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # The checkpointed row's number is hashed too: equal rows would else fall into one group, however many they are.
+    open_ = open_.withColumn("row", F.monotonically_increasing_id())
+    tie = F.xxhash64("doc_id", "piece", "ids_crc32", "row")
     items = open_.select(F.pmod(tie, F.lit(groups)).alias("g"), F.col("length").alias("size"), tie.alias("tie"), F.array(F.struct(*cols)).cast(f"array<{MEMBER}>").alias("members"))
     bins, level = None, 0
     out = f"g long, number long, size long, members array<{MEMBER}>, done boolean"
     while True:
         last_room = ROOM[min(level, len(ROOM) - 1)]
-        packed = cut(items.groupBy("g").applyInArrow(_packed(level, room, last_room), out))
+        packed = cut(items.groupBy("g").applyInArrow(_packed(room, last_room), out))
         left = packed.where(~F.col("done")).count()
         # One group has met everything that is left; and bins that no longer merge won't merge higher up.
         final = groups == 1 or left > 0.98 * count and level > 0
@@ -128,13 +130,15 @@ def pack(docs: DataFrame, path: str | None = None, room: int = 1024, end_id: int
         before, count, level = groups, left, level + 1
         groups = 1 if left <= TOP_GROUP else min(before, math.ceil(left / GROUP))
         # Neighbouring groups meet; with as many groups as before they are dealt anew.
-        meet = F.floor(F.col("g") * groups / before).cast("long") if groups < before else F.pmod(F.xxhash64("number"), F.lit(groups))
-        items = packed.where(~F.col("done")).select(meet.alias("g"), "size", F.col("number").alias("tie"), "members")
+        meet = F.floor(F.col("g") * groups / before).cast("long") if groups < before else F.pmod(F.xxhash64("g", "number"), F.lit(groups))
+        items = packed.where(~F.col("done")).select(meet.alias("g"), "size", F.xxhash64("g", "number").alias("tie"), "members")
     # Offsets are running sums inside a bin.
     sums = F.aggregate(
         "members",
         F.array().cast("array<bigint>"),
         lambda s, m: F.concat(s, F.array(F.when(F.size(s) == 0, m["length"]).otherwise(F.element_at(s, -1) + m["length"]))),
     )
-    placed = bins.select(F.col("number").alias("sequence_id"), F.explode(F.arrays_zip("members", sums.alias("sums"))).alias("m"))
+    # Bins of all rounds are checkpointed, so their row numbers are sequence ids that no two share.
+    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    placed = numbered.select("sequence_id", F.explode(F.arrays_zip("members", sums.alias("sums"))).alias("m"))
     return placed.select(*[F.col(f"m.members.{c}").alias(c) for c in cols], "sequence_id", (F.col("m.sums") - F.col("m.members.length")).alias("offset")).union(full)

@@ -361,6 +361,38 @@ def test_packing_goes_up_the_tree(spark, monkeypatch):
     assert len({r.sequence_id for r in out}) <= 1.03 * sum(r.length for r in out) / 1024 + 1 and len(out) == 400
 
 
+def test_packing_deals_repeated_rows_over_groups(spark, monkeypatch):
+    """No task gets all copies of one row, whether it has an id or not, and no two sequences share an id."""
+    monkeypatch.setattr(packing, "GROUP", 50)
+    monkeypatch.setattr(packing, "TOP_GROUP", 60)
+    dealt, packed = [], packing._packed
+
+    def watched(*args):
+        run = packed(*args)
+
+        def checked(table):
+            assert table.num_rows <= 200, f"{table.num_rows} rows in one group"
+            return run(table)
+
+        dealt.append(args)
+        return checked
+
+    monkeypatch.setattr(packing, "_packed", watched)
+    copies = [(7, "one text again and again")] * 500 + [(None, "lost words here")] * 500
+    rows = copies + [(1000 + i, "w " * (1 + i % 300)) for i in range(500)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert dealt and sum(r.doc_id == 7 for r in out) == sum(r.doc_id is None for r in out) == 500 and len(out) == 1500
+    places = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 # 7: top k
 
 
