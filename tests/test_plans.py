@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from foreband.plans import model_queries, series_queries
 from foreband.plans.baseline import seasonal_forecasts, weekly_origins
 from foreband.plans.load_forecast import trend_frame
 
@@ -38,3 +39,10 @@ def test_trend_knows_nothing_after_the_origin(spark):
     changed = load.withColumn("value", F.when(F.to_date("ts") > origins[0], 0.0).otherwise(F.col("value")))
     pick = lambda t: [r["trend"] for r in t.filter(F.col("origin") == origins[0]).orderBy("date").collect()]
     assert pick(trend) == pick(trend_frame(changed, origins))
+
+
+def test_f3_forecasts_for_every_weekly_origin(spark, root, monkeypatch):
+    asked = []
+    monkeypatch.setattr(model_queries.I, "arma_garch_forecasts", lambda prices, origins, *a, **b: asked.append(origins))
+    model_queries.f3(spark, root)
+    assert asked == [series_queries.price_origins(spark, root)] and len(asked[0]) > 12
