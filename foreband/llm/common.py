@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foreband.core import cut, ship
 
-__all__ = ["ID_LIMIT", "cut", "gathered", "grouped", "prepare", "table"]
+__all__ = ["ID_LIMIT", "cut", "gathered", "grouped", "joined_hot", "prepare", "table"]
 
 # Ids (16 bytes each) are broadcast only after a count has shown at most this many; beyond, they are joined by shuffle.
 ID_LIMIT = 500_000
@@ -52,3 +52,13 @@ def grouped(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = jumped.select("id", "component")
         if not changed:
             return labels
+
+
+def joined_hot(rows: DataFrame, info: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows left-joined with info, which has one row per key; info[size]: how many of the `total` rows hold the key.
+
+    A key of more than a thousandth of the rows, so one of under a thousand keys, reaches its rows by broadcast; the others by shuffle.
+    """
+    hot = F.broadcast(info.where(F.col(size) * 1000 > total))
+    rest = info.where(F.col(size) * 1000 <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, "left"))

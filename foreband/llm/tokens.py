@@ -1,13 +1,15 @@
-"""Token ids of many texts under a byte-level BPE tokenizer of the tokenizers library.
+"""Token ids of many texts under a tokenizer of the tokenizers library (.json) or of sentencepiece (.model).
 
-Such a tokenizer first splits a text into pieces (contractions, words, numbers, signs, white space) and encodes each piece by itself. Here the
+A byte-level BPE tokenizer first splits a text into pieces (contractions, words, numbers, signs, white space) and encodes each piece by itself. Here the
 split is done in numpy for texts whose characters leave no doubt about their class, and the library encodes each distinct piece
-once per worker and cache filling. Every other text (other scripts, rare signs, special strings) goes to the library whole. Pieces
-are told apart by 64-bit hashes.
+once per worker and cache filling. Every other text (other scripts, rare signs, special strings) goes to the library whole. A
+sentencepiece BPE model without normalisation, none of whose pieces goes on with a blank after another character, encodes each word with the
+blanks before it by itself. Pieces are told apart by 64-bit hashes. Any other tokenizer gets every text whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -76,28 +78,59 @@ def _starts(data: np.ndarray, kind: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate((start[keep], extra, np.array(more, np.int64))))
 
 
+# What a tokenizer file says if its split is the one of `_starts`.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
 class Encoder:
-    """Encodes texts given as UTF-8 bytes."""
+    """Encodes texts given as UTF-8 bytes by a tokenizer file of the tokenizers library.
 
-    def __init__(self, path: str):
+    plain: special strings inside texts are ordinary text; else they are handled as by the library's default.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         # One thread for each task, which Spark counts on.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
+        self.specials = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        says = json.loads(self.tokenizer.to_str())
+        before = says["pre_tokenizer"] or {}
+        self.splits = not says["normalizer"] and says["model"]["type"] == "BPE" and all(before.get(k) == v for k, v in _BYTE_LEVEL.items())
         self.clear()
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes each id stands for, by the byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on."""
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        out = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
+        added = self.tokenizer.get_added_tokens_decoder()
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            out[i] = token.encode() if i in added else bytes(byte_of[c] for c in token)
+        return out
+
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.at, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         """The library itself."""
-        return [np.array(e.ids, np.uint32) for e in self._library(texts)]
+        return [np.array(ids, np.uint32) for ids in self._library(texts)]
+
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def _library(self, texts: list[bytes]):
-        return self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of distinct pieces of texts."""
+        return self._library(pieces)
+
+    def _starts(self, data: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        return _starts(data, _classes(data), docs)
 
     def _numbers(self, hashes: np.ndarray, pieces) -> np.ndarray:
         """Places of distinct pieces in the cache; pieces(i) gives the bytes of those that are not there yet."""
@@ -106,7 +139,7 @@ class Encoder:
         places = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
         missing = np.flatnonzero(places < 0)
         if len(missing):
-            encoded = [e.ids for e in self._library([pieces(i) for i in missing])]
+            encoded = self._pieces([pieces(i) for i in missing])
             n, sizes = len(self.known), np.array([len(e) for e in encoded])
             while n + len(missing) > len(self.at):
                 self.at, self.size = np.append(self.at, self.at), np.append(self.size, self.size)
@@ -126,7 +159,7 @@ class Encoder:
         """Ids or counts of texts that are not empty, each of characters of sure class."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         docs = np.cumsum([0] + [len(t) for t in texts])[:-1]
-        starts = _starts(data, _classes(data), docs)
+        starts = self._starts(data, docs)
         sizes = np.diff(starts, append=len(data))
         place = np.arange(len(data)) - np.repeat(starts, sizes)
         hashes = mix(np.add.reduceat(_VALUE[data] * powers(int(sizes.max()))[place], starts) + sizes.astype(np.uint64))
@@ -143,7 +176,7 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _sure(self, text: bytes) -> bool:
-        if any(s in text for s in self.specials):
+        if not self.splits or any(s in text for s in self.specials):
             return False
         return text.isascii() or not (_classes(np.frombuffer(text, np.uint8)) == UNSURE).any()
 
@@ -175,9 +208,65 @@ class Encoder:
                     done += 1
 
 
+_MARK = "\u2581"
+
+
+class PieceEncoder(Encoder):
+    """Encodes texts by a sentencepiece model; special strings inside texts are handled as by the library's default."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.processor = SentencePieceProcessor(model_file=path)
+        pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
+        self.blank = pieces.index(_MARK) if _MARK in pieces else -1
+        inner = any(_MARK in p.lstrip(_MARK) for p in pieces)
+        self.splits = self.blank >= 0 and not inner and self._simple(path)
+        self.clear()
+
+    @staticmethod
+    def _simple(path: str) -> bool:
+        """Whether the model is a BPE that puts a blank first and leaves texts as they are otherwise."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:
+            return False  # without its reader, texts go whole
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        spec, trained = model.normalizer_spec, model.trainer_spec
+        kept = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
+        return bool(kept and trained.model_type == 2 and not trained.treat_whitespace_as_suffix and not any(p.type == 4 for p in model.pieces))
+
+    def token_bytes(self) -> list[bytes]:
+        sp = self.processor
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        return [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(names)]
+
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return self.processor.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
+
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        # The library puts the first blank itself, but not before an empty text.
+        return [ids or [self.blank] for ids in self._library([p[1:] for p in pieces])]
+
+    def _starts(self, data: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        blank = data == 32
+        new = blank & ~np.append(False, blank[:-1])
+        new[docs] = True
+        return np.flatnonzero(new)
+
+    def _block(self, texts: list[bytes], want_ids: bool) -> list:
+        return super()._block([b" " + t for t in texts], want_ids)
+
+    def _sure(self, text: bytes) -> bool:
+        return self.splits and _MARK.encode() not in text
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """The encoder of a tokenizer file; plain: see Encoder."""
+    return PieceEncoder(path) if path.endswith(".model") else Encoder(path, plain)
 
 
 def default_path() -> str:
