@@ -1,14 +1,19 @@
-"""Gradient-boosted trees for many quantile levels, settings, folds and series in shared passes.
+"""Gradient-boosted trees for many quantile levels, settings, folds and series.
 
-Features are coded into at most `BINS` classes once. Growing one level of all trees is one pass: each task
-sums the pinball gradients per (node, feature, class) over its blocks, the sums are added per series, and the
-best split of every node follows from them. A further pass finds the leaf values, the level's quantile of
-the residuals in each leaf, from their histogram. No pass moves an observation; the running predictions lie in the blocks.
+Features are coded into at most `BINS` classes once. A split is found from counts: rows, and rows below the running prediction, per
+(node, feature, class); of two sibling nodes only the smaller one is counted, the other is what its parent leaves. A leaf's value is the level's
+quantile of its residuals.
+
+Series that a count shows to be short enough for one task are boosted there, a share of the models at a time, all rounds in one
+stage. A longer series stays in its blocks: each level of all trees is one pass whose counts travel as keyed rows (model, node,
+cell) and are added by Spark, and leaf values come from histograms of residuals that narrow around the wanted rank.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,18 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foreband.core import broadcast_if_small
+from foreband.core import broadcast_if_small, parallelism
 from foreband.functions.dates import wall_clock, wall_seconds
+from foreband.functions.scores import pinball
 from foreband.models import passes as P
 from foreband.operators.ordered import span_of
 
-BINS = 64
+BINS = 256
 LEAF_BINS = 1024
 LEAF_PASSES = 3
 RIDGE = 1.0
 MIN_ROWS = 2
-# Rounds between two rewrites of the running predictions.
+# Rounds between two rewrites of the running predictions of long series.
 SEGMENT = 5
+# Rows up to which a series is boosted in one task: some 10 MB with its features.
+LOCAL_ROWS = 200_000
+# Tree parameters, in bytes, that are sent to every task or added to a block at a time.
+TREE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -47,7 +57,7 @@ class Spec:
 def feature_edges(df: DataFrame, keys: list[str], features: list[Column], bins: int = BINS) -> DataFrame:
     """Inner class limits per key: array (features) of arrays, from a mergeable quantile sketch."""
     probs = [i / (bins - 1) for i in range(1, bins - 1)]
-    cols = [F.percentile_approx(f.cast("double"), probs, 1000) for f in features]
+    cols = [F.percentile_approx(f.cast("double"), probs, 10_000) for f in features]
     return df.groupBy(*keys).agg(F.array(*[F.coalesce(c, F.array().cast("array<double>")) for c in cols]).alias("edges"))
 
 
@@ -98,7 +108,7 @@ def encode(x: np.ndarray, edges) -> np.ndarray:
 
 
 class Shape:
-    """Layout of the trees of one segment in the state vector: (models, SEGMENT, width) after a header."""
+    """Layout of the trees of a batch of models."""
 
     def __init__(self, specs: list[Spec], features: int):
         self.specs, self.k = specs, features
@@ -107,17 +117,16 @@ class Shape:
         self.leaves = 2**self.depth
         self.width = 3 * self.inner + self.leaves
         self.m = len(specs)
-        self.tau = np.array([s.tau for s in specs])
-        # header: low, high end of the values
-        self.head = 2
 
     def empty(self) -> np.ndarray:
-        trees = np.zeros((self.m, SEGMENT, self.width))
-        trees[:, :, : self.inner] = -1
-        return trees
+        tree = np.zeros(self.width)
+        tree[: self.inner] = -1
+        return tree
 
-    def trees(self, p: np.ndarray) -> np.ndarray:
-        return p[self.head :].reshape(self.m, SEGMENT, self.width)
+    def put(self, tree: np.ndarray, depth: int, feature, cls, gain) -> None:
+        """Writes the splits of one level."""
+        at = slice(2**depth - 1, 2 ** (depth + 1) - 1)
+        tree[at], tree[self.inner :][at], tree[2 * self.inner :][at] = feature, cls, gain
 
     def node_of(self, codes: np.ndarray, tree: np.ndarray, depth: int) -> np.ndarray:
         """Place (from 0) of every row among the nodes of one level."""
@@ -133,163 +142,361 @@ class Shape:
     def leaf_values(self, codes: np.ndarray, tree: np.ndarray) -> np.ndarray:
         return tree[3 * self.inner + self.node_of(codes, tree, self.depth)]
 
+    @property
+    def state_width(self) -> int:
+        """Numbers of a model in the state of a long series: a segment's trees, a flag per inner node, a lower end per leaf."""
+        return SEGMENT * self.width + self.inner + self.leaves
+
+    def state_parts(self, p: np.ndarray):
+        """Views of the trees, flags and lower ends in the state of one model or several."""
+        a = SEGMENT * self.width
+        return p[..., :a].reshape(*p.shape[:-1], SEGMENT, self.width), p[..., a : a + self.inner], p[..., a + self.inner :]
+
     def codes(self, block: dict) -> np.ndarray:
         return np.frombuffer(block["codes"], dtype=np.uint8).reshape(-1, self.k)
 
-    def predictions(self, block: dict, p: np.ndarray, upto: int) -> np.ndarray:
-        """Running predictions (rows, models): those in the block plus the first `upto` trees of the segment."""
-        codes = self.codes(block)
-        f = np.array(block["f"], dtype=float).reshape(len(codes), -1) if len(block["f"]) else np.zeros((len(codes), self.m))
-        trees = self.trees(p)
-        for j in range(self.m):
-            for r in range(upto):
-                f[:, j] += self.leaf_values(codes, trees[j, r])
-        return f
-
-    def used(self, block: dict) -> np.ndarray:
-        """Rows each model may learn from (rows, models)."""
-        clock = np.asarray(block["clock"])
-        known = ~np.isnan(np.asarray(block["y"], dtype=float))
-        return (clock[:, None] <= np.array([s.train_upto for s in self.specs])) & known[:, None]
-
-
-def _split_pass(shape: Shape, r: int, d: int):
-    cells = 2**d * shape.k * BINS
-
-    def mapper(block, p):
-        codes = shape.codes(block)
-        y = np.asarray(block["y"], dtype=float)
-        f, used = shape.predictions(block, p, r), shape.used(block)
-        flat = np.arange(shape.k) * BINS + codes
-        out = np.zeros((shape.m, 2, cells))
-        for j in range(shape.m):
-            if d >= shape.specs[j].depth:
-                continue
-            rows = np.flatnonzero(used[:, j])
-            grad = shape.tau[j] - (y[rows] < f[rows, j])
-            node = shape.node_of(codes[rows], shape.trees(p)[j, r], d)
-            cell = (node[:, None] * (shape.k * BINS) + flat[rows]).ravel()
-            out[j, 0] = np.bincount(cell, weights=np.repeat(grad, shape.k), minlength=cells)
-            out[j, 1] = np.bincount(cell, minlength=cells)
-        return out.ravel()
-
-    def reducer(p, s):
-        p = p.copy()
-        trees = shape.trees(p)
-        sums = s.reshape(shape.m, 2, 2**d, shape.k, BINS)
-        left = np.cumsum(sums, axis=-1)
-        g, n = left[:, 0], left[:, 1]
-        g_all, n_all = g[..., -1:], n[..., -1:]
-        gain = g**2 / (n + RIDGE) + (g_all - g) ** 2 / (n_all - n + RIDGE) - g_all**2 / (n_all + RIDGE)
-        gain[(n < MIN_ROWS) | (n_all - n < MIN_ROWS)] = -np.inf
-        flat = gain.reshape(shape.m, 2**d, -1)
-        best = flat.argmax(axis=-1)
-        value = np.take_along_axis(flat, best[..., None], axis=-1)[..., 0]
-        at = slice(2**d - 1, 2 ** (d + 1) - 1)
-        good = (value > 1e-12) & (np.array([s.depth for s in shape.specs]) > d)[:, None]
-        trees[:, r, at] = np.where(good, best // BINS, -1)
-        trees[:, r, shape.inner :][:, at] = np.where(good, best % BINS, 0)
-        trees[:, r, 2 * shape.inner :][:, at] = np.where(good, value, 0.0)
-        return p
-
-    return mapper, reducer
-
-
-def _leaf_pass(shape: Shape, r: int, rates: np.ndarray, step: int, base: bool):
-    """One of LEAF_PASSES passes for the leaf values of tree r: the wanted rank's cell is cut into LEAF_BINS cells by the next pass.
-
-    Between passes a leaf's place holds the lower end of its cell. The base tree looks for values, the others for residuals.
-    """
-    last = step == LEAF_PASSES - 1
-
-    def span(p):
-        reach = max(p[1] - p[0], 1e-12)
-        # Residuals lie within one width of the values on either side.
-        low, width = (p[0], reach) if base else (-reach, 2 * reach)
-        return low, width / LEAF_BINS ** (step + 1)
-
-    def lows(p):
-        at = shape.trees(p)[:, r, 3 * shape.inner :]
-        return at if step else np.full_like(at, span(p)[0])
-
-    def mapper(block, p):
-        codes = shape.codes(block)
-        y = np.asarray(block["y"], dtype=float)
-        f, used = shape.predictions(block, p, r), shape.used(block)
-        low, cell_width = lows(p), span(p)[1]
-        # The first and the last cell hold what lies below and above.
-        cells = LEAF_BINS + 2
-        out = np.zeros((shape.m, shape.leaves, cells))
-        for j in range(shape.m):
-            rows = np.flatnonzero(used[:, j])
-            node = shape.node_of(codes[rows], shape.trees(p)[j, r], shape.depth)
-            place = np.floor((y[rows] - f[rows, j] - low[j, node]) / cell_width) + 1
-            cell = np.clip(place, 0, cells - 1).astype(np.int64)
-            out[j] = np.bincount(node * cells + cell, minlength=shape.leaves * cells).reshape(shape.leaves, cells)
-        return out.ravel()
-
-    def reducer(p, s):
-        p = p.copy()
-        counts = s.reshape(shape.m, shape.leaves, LEAF_BINS + 2)
-        cum = np.cumsum(counts, axis=-1)
-        n = cum[..., -1]
-        want = shape.tau[:, None] * n
-        cell = np.clip((cum < want[..., None]).sum(axis=-1), 1, LEAF_BINS)
-        inside = np.take_along_axis(counts, cell[..., None], axis=-1)[..., 0]
-        below = np.take_along_axis(cum, cell[..., None], axis=-1)[..., 0] - inside
-        share = np.where(inside > 0, np.clip((want - below) / np.maximum(inside, 1), 0, 1), 0.5) if last else 0.0
-        value = lows(p) + (cell - 1 + share) * span(p)[1]
-        shape.trees(p)[:, r, 3 * shape.inner :] = np.where(n > 0, value * rates[:, None], 0.0) if last else value
-        return p
-
-    return mapper, reducer
-
-
-def _bounds(blocks: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
-    ends = blocks.groupBy(*keys).agg(F.min(F.array_min("y")).alias("_lo"), F.max(F.array_max("y")).alias("_hi"))
-    return ends.select(*keys, F.array(F.coalesce("_lo", F.lit(0.0)), F.coalesce("_hi", F.lit(0.0))).alias("ends"))
-
-
-def _with_trees(ends: DataFrame, keys: list[str], shape: Shape, few: bool) -> DataFrame | P.Few:
-    """State of a new segment: the header and empty trees."""
-    if few:
-        rows = ends.collect()
-        return P.Few({tuple(r[k] for k in keys): np.concatenate([r["ends"], shape.empty().ravel()]) for r in rows})
-    schema = T.StructType([*P.key_fields(ends, keys), P.vector("p")])
+    def running(self, block: dict) -> np.ndarray:
+        """Running predictions of a block (models, rows)."""
+        n = len(block["y"])
+        return np.array(block["f"], dtype=float).reshape(self.m, n) if len(block["f"]) else np.zeros((self.m, n))
 
-    def apply(batches):
-        for pdf in batches:
-            out = pdf[keys].copy()
-            out["p"] = [np.concatenate([np.asarray(e, dtype=float), shape.empty().ravel()]) for e in pdf["ends"]]
-            yield out
 
-    return ends.mapInPandas(apply, schema)
+def best_splits(n: np.ndarray, below: np.ndarray, tau: float, starts: np.ndarray):
+    """Per node the feature (-1: none), the last class that goes left and the gain; also whether the right child has fewer rows.
+
+    n, below: rows and rows under the prediction per (node, cell), the cells of feature j from starts[j] on. The gradient of a
+    row is tau, less one if it is below. Counts are whole numbers, so equal gains are equal in any order of adding.
+    """
+    size = np.diff(starts, append=n.shape[1])
+    n_left, b_left = (np.cumsum(x, axis=1) for x in (n, below))
+    n_left, b_left = (x - np.repeat(np.append(np.zeros((len(x), 1), x.dtype), x[:, starts[1:] - 1], axis=1), size, axis=1) for x in (n_left, b_left))
+    n_all, b_all = n_left[:, size[0] - 1, None], b_left[:, size[0] - 1, None]
+    g_left, g_all = tau * n_left - b_left, tau * n_all - b_all
+    gain = g_left**2 / (n_left + RIDGE) + (g_all - g_left) ** 2 / (n_all - n_left + RIDGE) - g_all**2 / (n_all + RIDGE)
+    gain[(n_left < MIN_ROWS) | (n_all - n_left < MIN_ROWS)] = -np.inf
+    best = gain.argmax(axis=1)
+    rows = np.arange(len(n))
+    value = gain[rows, best]
+    good = value > 1e-12
+    feature = np.searchsorted(starts, best, "right") - 1
+    right_small = np.where(good, 2 * n_left[rows, best] >= n_all[:, 0], True)
+    return np.where(good, feature, -1), np.where(good, best - starts[feature], 0), np.where(good, value, 0.0), right_small
+
+
+def children(parent: np.ndarray, counted: np.ndarray, right_small: np.ndarray) -> np.ndarray:
+    """Counts of all children (2 x nodes, cells) from their parents' and those of the smaller child of each."""
+    out = np.empty((2 * len(parent), parent.shape[1]), parent.dtype)
+    small = 2 * np.arange(len(parent)) + right_small
+    out[small], out[small ^ 1] = counted, parent - counted
+    return out
+
+
+def rank_value(residuals: np.ndarray, tau: float) -> float:
+    """The smallest residual that at least a share tau of them don't exceed."""
+    n = len(residuals)
+    if not n:
+        return 0.0
+    rank = min(n - 1, max(0, math.ceil(tau * n - 1e-9) - 1))
+    return float(np.partition(residuals, rank)[rank])
+
+
+# ---- short series: all rounds of a model in one task
+
+
+def boost_whole(shape: Shape, spec: Spec, codes: np.ndarray, y: np.ndarray, clock: np.ndarray, rounds: int, keep_at: tuple[int, ...]):
+    """Trees (rounds + 1, width) of one model of one series, the level's quantile first, and its predictions after each round of keep_at."""
+    used = np.flatnonzero((clock <= spec.train_upto) & ~np.isnan(y))
+    starts = np.cumsum(codes.max(axis=0, initial=0).astype(np.int64) + 1)
+    cells = int(starts[-1])
+    starts = np.append(0, starts[:-1])
+    flat, own, known = (codes + starts)[used], codes[used], y[used]
+    trees = np.tile(shape.empty(), (rounds + 1, 1))
+    trees[0, 3 * shape.inner] = rank_value(known, spec.tau)
+    f = np.full(len(y), trees[0, 3 * shape.inner])
+    kept = {0: f.copy()} if 0 in keep_at else {}
+
+    def counts(rows, node, nodes, under):
+        place = node[:, None] * cells + flat[rows]
+        n = np.bincount(place.ravel(), minlength=nodes * cells)
+        return np.stack((n, np.bincount(place[under[rows]].ravel(), minlength=nodes * cells))).reshape(2, nodes, cells)
+
+    for r in range(1, rounds + 1):
+        tree, under = trees[r], known < f[used]
+        node, every = np.zeros(len(used), np.int64), np.arange(len(used))
+        for d in range(spec.depth):
+            if d == 0:
+                sums = counts(every, node, 1, under)
+            else:
+                rows = np.flatnonzero((node & 1) == right_small[node >> 1])
+                small = counts(rows, node[rows] >> 1, 2 ** (d - 1), under)
+                sums = np.stack([children(p, c, right_small) for p, c in zip(sums, small)])
+            feature, cls, gain, right_small = best_splits(sums[0], sums[1], spec.tau, starts)
+            shape.put(tree, d, feature, cls, gain)
+            node = 2 * node + ((feature[node] >= 0) & (own[every, np.maximum(feature[node], 0)] > cls[node]))
+        node <<= shape.depth - spec.depth  # levels below the model's depth don't split
+        residuals = known - f[used]
+        for leaf in np.unique(node):
+            tree[3 * shape.inner + leaf] = spec.rate * rank_value(residuals[node == leaf], spec.tau)
+        f = f + shape.leaf_values(codes, tree)
+        if r in keep_at:
+            kept[r] = f.copy()
+    return trees, kept
+
+
+def _fit_short(blocks: DataFrame, keys: list[str], shape: Shape, rounds: int, keep_at: tuple[int, ...], series: int) -> tuple[DataFrame, dict]:
+    """Trees, and the predictions per block after each round of keep_at."""
+    # As many shares of the models as keep all tasks busy; a share gets a copy of its series' codes.
+    shares = max(1, min(shape.m, math.ceil(3 * parallelism(blocks.sparkSession) / max(1, series))))
+    dealt = blocks.select(*keys, "block", "y", "clock", "codes").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    names = [("block", T.LongType()), ("model_no", T.IntegerType()), ("round", T.IntegerType()), ("tree", T.ArrayType(T.DoubleType())), ("f", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*P.key_fields(blocks, keys), *[T.StructField(n, t) for n, t in names]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        key, share = [pdf[k].iloc[0] for k in keys], int(pdf["share"].iloc[0])
+        codes = np.concatenate([np.frombuffer(c, np.uint8) for c in pdf["codes"]]).reshape(-1, shape.k)
+        y, clock = (np.concatenate([np.asarray(v, dtype=float) for v in pdf[c]]) for c in ("y", "clock"))
+        ends = np.cumsum([len(v) for v in pdf["y"]])
+        rows = []
+        for j in range(share, shape.m, shares):
+            trees, kept = boost_whole(shape, shape.specs[j], codes, y, clock, rounds, keep_at)
+            rows += [(*key, None, j, r, t, None) for r, t in enumerate(trees)]
+            for r, f in kept.items():
+                rows += [(*key, b, j, r, None, f[e - len(v) : e]) for b, v, e in zip(pdf["block"], pdf["y"], ends)]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    found = P.run(dealt.groupBy(*keys, "share").applyInPandas(run, schema))
+    held = found.filter("f IS NOT NULL").groupBy(*keys, "block", "round").agg(F.flatten(F.array_sort(F.collect_list(F.struct("model_no", "f"))).getField("f")).alias("f"))
+    rest = blocks.drop("f")
+    snapshots = {r: rest.join(held.filter(F.col("round") == r).drop("round"), [*keys, "block"]) for r in keep_at}
+    return found.filter("tree IS NOT NULL").select(*keys, "model_no", "round", "tree"), snapshots
+
+
+# ---- long series: passes over blocks
+
+
+CELLS = {"model_no": T.IntegerType(), "node": T.IntegerType(), "cell": T.IntegerType(), "n": T.LongType(), "below": T.LongType(), "least": T.DoubleType()}
+
+
+def _cell_rows(keys: list[str], key: tuple, parts: list[tuple], width: int) -> pd.DataFrame:
+    """Non-zero cells of one key as rows; parts: (model, rows per node and cell, those below the prediction, least residual)."""
+    out = []
+    for j, n, below, least in parts:
+        at = np.flatnonzero(n)
+        out.append((np.full(len(at), j, np.int32), (at // width).astype(np.int32), (at % width).astype(np.int32), n[at].astype(np.int64), below[at].astype(np.int64), least[at]))
+    pdf = pd.DataFrame(dict(zip(CELLS, [np.concatenate(c) for c in zip(*out)])))
+    for i, k in enumerate(keys):
+        pdf.insert(i, k, key[i])
+    return pdf
+
+
+class _Long:
+    """Boosting of long series. A state row per (keys, model): `p` holds a segment's trees, a flag per node for the smaller child and the
+    lower ends of leaf cells; `sums` the counts of the level just split."""
+
+    def __init__(self, blocks: DataFrame, keys: list[str], shape: Shape):
+        self.keys, self.shape = keys, shape
+        ends = P.run(blocks.groupBy(*keys).agg(F.min(F.array_min("y")).alias("_lo"), F.max(F.array_max("y")).alias("_hi")))
+        self.ends = ends.select(*keys, F.coalesce("_lo", F.lit(0.0)).alias("lo"), F.coalesce("_hi", F.lit(0.0)).alias("hi"))
+        self.cells = T.StructType([*P.key_fields(blocks, keys), *[T.StructField(n, t) for n, t in CELLS.items()]])
+        self.held = T.StructType(
+            [*P.key_fields(blocks, keys), *[T.StructField(n, t) for n, t in (("lo", T.DoubleType()), ("hi", T.DoubleType()), ("model_no", T.IntegerType()))], P.vector("p"), P.vector("sums")]
+        )
+
+    def start(self) -> DataFrame:
+        """State of a new segment."""
+        p = np.concatenate([np.tile(self.shape.empty(), SEGMENT), np.zeros(self.shape.inner + self.shape.leaves)]).tolist()
+        models = self.ends.withColumn("model_no", F.explode(F.sequence(F.lit(0), F.lit(self.shape.m - 1))))
+        return models.withColumn("p", F.array(*[F.lit(v) for v in p])).withColumn("sums", F.array().cast("array<double>"))
+
+    def attached(self, blocks: DataFrame, state: DataFrame) -> DataFrame:
+        """Blocks with the parameters of all models of their key, by broadcast if a count shows that they are few."""
+        packed = state.groupBy(*self.keys, "lo", "hi").agg(F.flatten(F.array_sort(F.collect_list(F.struct("model_no", "p"))).getField("p")).alias("p"))
+        return blocks.join(broadcast_if_small(packed, max(1, TREE_BYTES // (8 * self.shape.m * self.shape.state_width))), self.keys)
+
+    def counted(self, blocks: DataFrame, state: DataFrame, slot: int, count) -> DataFrame:
+        """Cells (keys, model_no, node, cell) with their counts, added within a batch, then by Spark. count(codes, residual, tree, flags, lower
+        ends, spec, reach) gives (rows, rows below, least residuals, cells per node)."""
+        shape, keys = self.shape, self.keys
+
+        def run(batches):
+            for pdf in batches:
+                held: dict = {}
+                for key, block in P.block_rows_of(pdf, keys):
+                    held.setdefault(key, []).append(block)
+                for key, own in held.items():
+                    p = np.asarray(own[0]["p"], dtype=float).reshape(shape.m, shape.state_width)
+                    trees, flags, lows = shape.state_parts(p)
+                    codes = np.concatenate([shape.codes(b) for b in own])
+                    y, clock = (np.concatenate([np.asarray(b[c], dtype=float) for b in own]) for c in ("y", "clock"))
+                    f = np.concatenate([shape.running(b) for b in own], axis=1)
+                    reach = (own[0]["lo"], own[0]["hi"])
+                    parts, width = [], 1
+                    for j, spec in enumerate(shape.specs):
+                        rows = np.flatnonzero((clock <= spec.train_upto) & ~np.isnan(y))
+                        mine = f[j, rows]
+                        for r in range(slot):
+                            mine = mine + shape.leaf_values(codes[rows], trees[j, r])
+                        found = count(codes[rows], y[rows] - mine, trees[j, slot], flags[j], lows[j], spec, reach)
+                        if found is not None:
+                            *sums, width = found
+                            parts.append((j, *sums))
+                    if parts:
+                        yield _cell_rows(keys, key, parts, width)
+
+        cells = self.attached(blocks, state).mapInPandas(run, self.cells)
+        added = cells.groupBy(*keys, "model_no", "node", "cell").agg(F.sum("n").alias("n"), F.sum("below").alias("below"), F.min("least").alias("least"))
+        return added.groupBy(*keys, "model_no").agg(F.collect_list(F.struct("node", "cell", "n", "below", "least")).alias("got"))
+
+    def solved(self, state: DataFrame, counts: DataFrame, solve) -> DataFrame:
+        """State after solve(p, sums, node, cell, n, below, least, spec, (lo, hi)) on each of its rows."""
+        shape, names = self.shape, self.held.names
+
+        def run(batches):
+            for pdf in batches:
+                rows = []
+                for _, row in P.block_rows_of(pdf, []):
+                    got = [] if row["got"] is None else list(row["got"])
+                    columns = [np.array([g[c] for g in got], dtype=t) for c, t in (("node", int), ("cell", int), ("n", int), ("below", int), ("least", float))]
+                    p, sums = np.array(row["p"], dtype=float), np.array(row["sums"], dtype=float)
+                    row["p"], row["sums"] = solve(p, sums, *columns, shape.specs[row["model_no"]], (row["lo"], row["hi"]))
+                    rows.append([row[n] for n in names])
+                yield pd.DataFrame(rows, columns=names)
+
+        return P.run(state.join(counts, [*self.keys, "model_no"], "left").mapInPandas(run, self.held))
+
+    def split(self, blocks: DataFrame, state: DataFrame, slot: int, d: int) -> DataFrame:
+        """Splits the nodes of one level."""
+        shape, cells = self.shape, self.shape.k * BINS
+        starts = np.arange(shape.k) * BINS
+
+        def count(codes, residual, tree, flags, lows, spec, reach):
+            if d >= spec.depth:
+                return None
+            node = shape.node_of(codes, tree, d)
+            if d:
+                small = flags[2 ** (d - 1) - 1 :][node >> 1] > 0
+                rows = np.flatnonzero((node & 1) == small)
+                node, codes, residual = node[rows] >> 1, codes[rows], residual[rows]
+            place = node[:, None] * cells + (codes + starts)
+            size = max(1, 2 ** (d - 1)) * cells if d else cells
+            return np.bincount(place.ravel(), minlength=size), np.bincount(place[residual < 0].ravel(), minlength=size), np.zeros(size), cells
+
+        def solve(p, sums, node, cell, n, below, least, spec, reach):
+            if d >= spec.depth:
+                return p, sums
+            nodes = 2 ** (d - 1) if d else 1
+            both = np.zeros((2, nodes * cells))
+            both[:, node * cells + cell] = n, below
+            both = both.reshape(2, nodes, cells)
+            trees, flags, _ = shape.state_parts(p)
+            if d:
+                parent = sums.reshape(2, nodes, cells)
+                small = flags[2 ** (d - 1) - 1 : 2**d - 1] > 0
+                both = np.stack([children(a, b, small) for a, b in zip(parent, both)])
+            feature, cls, gain, right_small = best_splits(both[0], both[1], spec.tau, starts)
+            shape.put(trees[slot], d, feature, cls, gain)
+            flags[2**d - 1 : 2 ** (d + 1) - 1] = right_small
+            return p, both.ravel() if d + 1 < spec.depth else np.zeros(0)
+
+        return self.solved(state, self.counted(blocks, state, slot, count), solve)
+
+    def leaves(self, blocks: DataFrame, state: DataFrame, slot: int, step: int, base: bool) -> DataFrame:
+        """One of LEAF_PASSES passes: the wanted rank's cell is cut into LEAF_BINS cells by the next. The base tree looks for values, the others
+        for residuals, which lie within one width of the values on either side."""
+        shape, last, cells = self.shape, step == LEAF_PASSES - 1, LEAF_BINS + 2
+
+        def span(reach):
+            width = max(reach[1] - reach[0], 1e-12)
+            low, width = (reach[0], width) if base else (-width, 2 * width)
+            return low, width / LEAF_BINS ** (step + 1)
+
+        def count(codes, residual, tree, flags, lows, spec, reach):
+            low, cell_width = span(reach)
+            node = shape.node_of(codes, tree, shape.depth)
+            place = np.floor((residual - (lows[node] if step else low)) / cell_width) + 1
+            # The first and the last cell hold what lies below and above.
+            at = node * cells + np.clip(place, 0, cells - 1).astype(np.int64)
+            n, least = np.bincount(at, minlength=shape.leaves * cells), np.full(shape.leaves * cells, np.inf)
+            np.minimum.at(least, at, residual)
+            return n, n, least, cells
+
+        def solve(p, sums, node, cell, n, below, least, spec, reach):
+            low, cell_width = span(reach)
+            counts, lowest = np.zeros((shape.leaves, cells)), np.zeros((shape.leaves, cells))
+            counts[node, cell], lowest[node, cell] = n, least
+            trees, _, lows = shape.state_parts(p)
+            cum = np.cumsum(counts, axis=1)
+            total = cum[:, -1]
+            want = np.maximum(np.ceil(spec.tau * total - 1e-9), 1)
+            found = np.clip((cum < want[:, None]).sum(axis=1), 1, LEAF_BINS)
+            if last:
+                value = lowest[np.arange(shape.leaves), found]
+                trees[slot, 3 * shape.inner :] = np.where(total > 0, value * (1.0 if base else spec.rate), 0.0)
+            lows[:] = (lows if step else low) + (found - 1) * cell_width
+            return p, np.zeros(0)
+
+        return self.solved(state, self.counted(blocks, state, slot, count), solve)
+
+    def tree_rows(self, state: DataFrame, slots: int, first_round: int) -> DataFrame:
+        width = self.shape.width
+        trees = [F.struct(F.lit(first_round + i).alias("round"), F.slice("p", i * width + 1, width).alias("tree")) for i in range(slots)]
+        return state.select(*self.keys, "model_no", F.inline(F.array(*trees)))
+
+
+def _fit_long(blocks: DataFrame, keys: list[str], shape: Shape, rounds: int, keep_at: tuple[int, ...]) -> tuple[DataFrame, dict]:
+    work = _Long(blocks, keys, shape)
+    trees, snapshots = [], {}
+    done = -1  # round 0 is the level's quantile
+    while done < rounds:
+        stop = min([SEGMENT, rounds - done, *[k - done for k in keep_at if k > done]])
+        state, seen = P.run(work.start()), blocks.drop("at")
+        for slot in range(stop):
+            base = done < 0 and slot == 0
+            for d in range(0 if base else shape.depth):
+                state = work.split(seen, state, slot, d)
+            for step in range(LEAF_PASSES):
+                state = work.leaves(seen, state, slot, step, base)
+        added = work.tree_rows(state, stop, done + 1)
+        blocks = P.run(_advance(blocks, added, keys, shape, stop))
+        trees.append(added)
+        done += stop
+        if done in keep_at:
+            snapshots[done] = blocks
+    return reduce(DataFrame.unionByName, trees), snapshots
 
 
-def _advance(blocks: DataFrame, state: DataFrame, keys: list[str], shape: Shape, upto: int) -> DataFrame:
-    """Blocks with the trees of a segment added to the running predictions."""
+def _advance(blocks: DataFrame, trees: DataFrame, keys: list[str], shape: Shape, rounds: int) -> DataFrame:
+    """Blocks with so many rounds of tree rows added to the running predictions."""
     fields = blocks.schema.fields
     names = [f.name for f in fields]
+    packed = trees.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(F.struct("model_no", "round", "tree"))).getField("tree")).alias("p"))
 
     def apply(batches):
         for pdf in batches:
             out = pdf[names].copy()
-            out["f"] = [
-                shape.predictions(block, np.asarray(block["p"], dtype=float), upto).ravel() for _, block in P.block_rows_of(pdf, keys)
-            ]
+            added = []
+            for _, block in P.block_rows_of(pdf, keys):
+                f, codes = shape.running(block), shape.codes(block)
+                for j, own in enumerate(np.asarray(block["p"], dtype=float).reshape(shape.m, rounds, shape.width)):
+                    for tree in own:
+                        f[j] += shape.leaf_values(codes, tree)
+                added.append(f.ravel())
+            out["f"] = added
             yield out
 
-    return blocks.join(state, keys).mapInPandas(apply, T.StructType(fields))
+    few = broadcast_if_small(packed, max(1, TREE_BYTES // (8 * shape.m * rounds * shape.width)))
+    return blocks.join(few, keys).mapInPandas(apply, T.StructType(fields))
 
 
 @dataclass
 class Boosted:
-    """A fitted batch of models: one frame of trees per segment, and the blocks with their predictions."""
+    """A fitted batch of models: a row per tree (keys, model_no, round, tree), and the blocks with their predictions, model after model."""
 
     keys: list[str]
     specs: list[Spec]
     features: list[str]
-    segments: list[DataFrame]
+    trees: DataFrame
     blocks: DataFrame
     snapshots: dict[int, DataFrame]
 
@@ -299,110 +506,65 @@ class Boosted:
 
 
 def fit(blocks: DataFrame, keys: list[str], features: list[str], specs: list[Spec], rounds: int, keep_at: tuple[int, ...] = ()) -> Boosted:
-    """Boosts all models of all keys together for `rounds` rounds.
+    """Boosts all models of all keys for `rounds` rounds.
 
-    `keep_at` names rounds whose predictions are kept as well, so that one run serves several tree counts.
-    Leaf quantiles are refined to a 2^29th of the residual range; the tree of round 0 is the level's quantile itself.
+    `keep_at` names rounds whose predictions are kept as well, so that one run serves several tree counts. The tree of round 0 is the
+    level's quantile itself. Leaf values are observed residuals; in long series two residuals within a 2^30th of their range are one.
     """
-    shape = Shape(specs, len(features))
-    ends = P.run(_bounds(blocks, keys, shape))
-    attach, few = P.state_hint(blocks, keys), P.few_models(blocks, keys)
-    rates = np.array([s.rate for s in specs])
-    segments, snapshots = [], {}
-    done, first = 0, True
-    while done < rounds or first:
-        state = _with_trees(ends, keys, shape, few)
-        seen = blocks.drop("at")
-        stop = min([SEGMENT - first, rounds - done, *[k - done for k in keep_at if k > done]])
-        slot = 0
-        if first:
-            for step in range(LEAF_PASSES):
-                state = P.step(seen, attach(state), keys, *_leaf_pass(shape, 0, np.ones(shape.m), step, True))
-            slot, first = 1, False
-        for _ in range(stop):
-            for d in range(shape.depth):
-                state = P.step(seen, attach(state), keys, *_split_pass(shape, slot, d))
-            for step in range(LEAF_PASSES):
-                state = P.step(seen, attach(state), keys, *_leaf_pass(shape, slot, rates, step, False))
-            state = P.run(state)
-            slot += 1
-        done += stop
-        state = P.as_frame(P.run(state) if stop == 0 else state, blocks, keys)
-        blocks = P.run(_advance(blocks, attach(state), keys, shape, slot))
-        segments.append(state)
-        if done in keep_at:
-            snapshots[done] = blocks
-    return Boosted(keys, specs, features, segments, blocks, snapshots)
+    shape, keep = Shape(specs, len(features)), tuple(sorted({*keep_at, rounds}))
+    sizes = P.run(blocks.groupBy(*keys).agg(F.sum(F.size("y")).alias("_n")))
+    long = sizes.filter(F.col("_n") > LOCAL_ROWS).select(*keys)
+    n_long, n_all = long.count(), sizes.count()
+    parts = []
+    if n_long < n_all or not n_all:
+        short = blocks.join(broadcast_if_small(long), keys, "left_anti") if n_long else blocks
+        parts.append(_fit_short(short, keys, shape, rounds, keep, n_all - n_long))
+    if n_long:
+        parts.append(_fit_long(blocks.join(broadcast_if_small(long), keys, "left_semi"), keys, shape, rounds, keep))
+    trees = reduce(DataFrame.unionByName, [t for t, _ in parts])
+    snapshots = {r: reduce(DataFrame.unionByName, [s[r] for _, s in parts]) for r in keep}
+    return Boosted(keys, specs, features, trees, snapshots[rounds], snapshots)
 
 
 def predict(model: Boosted, blocks: DataFrame) -> DataFrame:
     """Adds the predictions of all trees to freshly coded blocks."""
-    for state in model.segments:
-        blocks = _advance(blocks, broadcast_if_small(state), model.keys, model.shape, SEGMENT)
+    shape, count = model.shape, model.trees.agg(F.max("round")).first()[0] + 1
+    at_once = max(1, TREE_BYTES // (8 * shape.m * shape.width))
+    for at in range(0, count, at_once):
+        to = min(at + at_once, count)
+        blocks = _advance(blocks, model.trees.filter(F.col("round").between(at, to - 1)), model.keys, shape, to - at)
     return blocks
 
 
 def prediction_rows(blocks: DataFrame, keys: list[str], specs: list[Spec], test_only: bool = True) -> DataFrame:
     """One row per (keys, model, ts): `model_no`, tau, y, q."""
-    m = len(specs)
-    rows = blocks.select(
-        *keys,
-        F.posexplode(F.arrays_zip("at", "y", "clock")).alias("_i", "_r"),
-        "f",
-    ).select(*keys, wall_clock(F.col("_r.at")).alias("ts"), F.col("_r.y").alias("y"), F.col("_r.clock").alias("clock"), F.slice("f", F.col("_i") * m + 1, m).alias("_f"))
     models = F.array(
         *[F.struct(F.lit(j).alias("model_no"), F.lit(s.tau).alias("tau"), F.lit(s.train_upto).alias("_a"), F.lit(s.test_upto).alias("_b")) for j, s in enumerate(specs)]
     )
-    flat = rows.select(*keys, "ts", "y", "clock", F.inline(F.arrays_zip(models.alias("m"), F.col("_f").alias("q"))))
-    flat = flat.select(*keys, F.col("m.model_no").alias("model_no"), F.col("m.tau").alias("tau"), "ts", "y", "q", "clock", "m._a", "m._b")
+    n = F.size("y")
+    each = blocks.select(*keys, "at", "y", "clock", "f", F.inline(models))
+    rows = F.arrays_zip("at", "y", "clock", F.slice("f", F.col("model_no") * n + 1, n).alias("q"))
     if test_only:
-        flat = flat.filter((F.col("clock") > F.col("_a")) & (F.col("clock") <= F.col("_b")))
-    return flat.drop("clock", "_a", "_b")
+        rows = F.filter(rows, lambda r: (r["clock"] > F.col("_a")) & (r["clock"] <= F.col("_b")))
+    flat = each.select(*keys, "model_no", "tau", F.inline(rows))
+    return flat.select(*keys, "model_no", "tau", wall_clock(F.col("at")).alias("ts"), "y", "q")
 
 
 def test_losses(blocks: DataFrame, keys: list[str], specs: list[Spec]) -> DataFrame:
     """Doubled pinball score on each model's test rows: keys, model_no, loss, n."""
-    shape_m = len(specs)
-    tau = np.array([s.tau for s in specs])
-    a, b = np.array([s.train_upto for s in specs]), np.array([s.test_upto for s in specs])
-
-    def mapper(block, p):
-        y, clock = np.asarray(block["y"], dtype=float), np.asarray(block["clock"])
-        f = np.array(block["f"], dtype=float).reshape(len(y), shape_m)
-        test = (clock[:, None] > a) & (clock[:, None] <= b) & ~np.isnan(y)[:, None]
-        r = y[:, None] - f
-        loss = 2 * np.maximum(tau * r, (tau - 1) * r)
-        return np.concatenate([np.where(test, loss, 0.0).sum(axis=0), test.sum(axis=0)])
-
-    blocks = blocks.select(*keys, "block", "y", "clock", "f")
-    total = P.as_frame(P.run(P.step(blocks, [], keys, mapper, lambda p, s: s)), blocks, keys)
-    pairs = F.arrays_zip(F.slice("p", 1, shape_m).alias("loss"), F.slice("p", shape_m + 1, shape_m).alias("n"))
-    rows = total.select(*keys, F.posexplode(pairs).alias("model_no", "_r"))
-    return rows.filter("_r.n > 0").select(*keys, "model_no", (F.col("_r.loss") / F.col("_r.n")).alias("loss"), F.col("_r.n").cast("long").alias("n"))
+    rows = prediction_rows(blocks, keys, specs).filter("y IS NOT NULL")
+    loss = 2 * pinball(F.col("y"), F.col("q"), F.col("tau"))
+    return rows.groupBy(*keys, "model_no").agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
 def importance(model: Boosted) -> DataFrame:
-    """Mean gain per split of each feature, scaled to sum to one: keys, model_no, feature, importance."""
-    shape, keys, names = model.shape, model.keys, model.features
-    schema = T.StructType(
-        [*P.key_fields(model.blocks, keys), *[T.StructField(n, t) for n, t in (("model_no", T.IntegerType()), ("feature", T.StringType()), ("gain", T.DoubleType()))]]
-    )
-
-    def splits(batches):
-        for pdf in batches:
-            rows = []
-            for key, row in P.block_rows_of(pdf, keys):
-                trees = shape.trees(np.asarray(row["p"], dtype=float))
-                for j in range(shape.m):
-                    feature = trees[j, :, : shape.inner].ravel().astype(int)
-                    gain = trees[j, :, 2 * shape.inner : 3 * shape.inner].ravel()
-                    rows += [(*key, j, names[f], float(g)) for f, g in zip(feature, gain) if f >= 0]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    found = model.segments[0]
-    for s in model.segments[1:]:
-        found = found.unionByName(s)
-    gains = found.mapInPandas(splits, schema).groupBy(*keys, "model_no", "feature").agg(F.avg("gain").alias("gain"), F.count("gain").alias("splits"))
+    """Mean gain per split of each feature, scaled to sum to one: keys, model_no, feature, importance, splits."""
+    shape, keys = model.shape, model.keys
+    names = F.array(*[F.lit(n) for n in model.features])
+    splits = F.arrays_zip(F.slice("tree", 1, shape.inner).alias("j"), F.slice("tree", 2 * shape.inner + 1, shape.inner).alias("gain"))
+    found = model.trees.select(*keys, "model_no", F.inline(splits)).filter("j >= 0")
+    found = found.withColumn("feature", F.element_at(names, (F.col("j") + 1).cast("int")))
+    gains = found.groupBy(*keys, "model_no", "feature").agg(F.avg("gain").alias("gain"), F.count("gain").alias("splits"))
     total = gains.groupBy(*keys, "model_no").agg(F.sum("gain").alias("_t"))
     return gains.join(total, [*keys, "model_no"]).select(*keys, "model_no", "feature", (F.col("gain") / F.col("_t")).alias("importance"), "splits")
 
@@ -411,12 +573,8 @@ def importance(model: Boosted) -> DataFrame:
 
 
 def save(model: Boosted, path: str) -> None:
-    """Trees of all segments as one table; settings are columns of a second one."""
-    trees = None
-    for i, s in enumerate(model.segments):
-        part = s.withColumn("segment", F.lit(i))
-        trees = part if trees is None else trees.unionByName(part)
-    trees.write.parquet(f"{path}/trees")
+    """All trees as one table; settings and features are rows of two small ones."""
+    model.trees.write.parquet(f"{path}/trees")
     spark = model.blocks.sparkSession
     rows = [(i, s.tau, s.depth, s.rate, s.train_upto, s.test_upto) for i, s in enumerate(model.specs)]
     spark.createDataFrame(rows, "model_no int, tau double, depth int, rate double, train_upto double, test_upto double").write.parquet(f"{path}/specs")
@@ -427,7 +585,4 @@ def load(blocks: DataFrame, keys: list[str], path: str) -> Boosted:
     spark = blocks.sparkSession
     specs = [Spec(*r[1:]) for r in spark.read.parquet(f"{path}/specs").orderBy("model_no").collect()]
     names = [r[1] for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
-    trees = spark.read.parquet(f"{path}/trees")
-    count = trees.agg(F.max("segment")).first()[0] + 1
-    segments = [trees.filter(F.col("segment") == i).drop("segment") for i in range(count)]
-    return Boosted(keys, specs, names, segments, blocks, {})
+    return Boosted(keys, specs, names, spark.read.parquet(f"{path}/trees"), blocks, {})

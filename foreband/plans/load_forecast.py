@@ -135,6 +135,12 @@ def boosted_forecasts(spark: SparkSession, load: DataFrame, origins: list, level
 # ---- search over settings with expanding folds
 
 
+def folds_within(load: DataFrame, folds: int, test_rows: int) -> int:
+    """`folds`, or as many test stretches as leave the shortest series one stretch at least to learn from."""
+    shortest = load.groupBy(*SERIES).count().agg(F.min("count")).first()[0] or 0
+    return max(1, min(folds, shortest // test_rows - 1))
+
+
 def grid_search(
     spark: SparkSession,
     load: DataFrame,

@@ -259,30 +259,50 @@ def f14(spark, root):
 
 @query("f15_quantile_boost")
 def f15(spark, root):
-    """Forecasts of ten rounds for every origin and level."""
-    return LF.boosted_forecasts(spark, hourly_load(spark, root), load_origins(spark, root), rounds=10)
+    """Forecasts of 200 rounds for every origin and level."""
+    return LF.boosted_forecasts(spark, hourly_load(spark, root), load_origins(spark, root))
 
 
-def short_boost(spark, root, rounds: int = 4):
-    specs = LF.origin_specs(load_origins(spark, root)[-1:])
+@query(
+    "f15_saturated_boost",
+    with_(C.LOAD)
+    + """, levels AS (SELECT unnest([0.025, 0.25, 0.5, 0.75, 0.975]::DOUBLE[]) AS tau),
+g AS (SELECT series_id, isodow(ts) > 5 AS weekend, quantile_disc(value, [0.025, 0.25, 0.5, 0.75, 0.975]) AS p FROM load_h GROUP BY 1, 2)
+SELECT series_id, tau, CAST(weekend AS INTEGER) AS weekend,
+  round(CASE tau WHEN 0.025 THEN p[1] WHEN 0.25 THEN p[2] WHEN 0.5 THEN p[3] WHEN 0.75 THEN p[4] ELSE p[5] END, 6) AS q FROM g, levels""",
+)
+def f15_saturated(spark, root):
+    """One full step with a leaf for weekdays and one for weekends gives the quantiles of both."""
+    load = P.cut(hourly_load(spark, root))
+    weekend = (F.weekday("ts") > 4).cast("int")
+    edges = load.groupBy(*SERIES).agg(F.array(F.array(F.lit(0.5))).alias("edges"))
+    blocks = B.coded_blocks(load, SERIES, "ts", "value", F.lit(0), [weekend], edges, 32)
+    specs = [B.Spec(t, 1, 1.0) for t in LEVELS]
+    rows = B.prediction_rows(B.fit(blocks, SERIES, ["weekend"], specs, 1).blocks, SERIES, specs, test_only=False)
+    return rows.groupBy(*SERIES, "tau", weekend.alias("weekend")).agg(F.round(F.max("q"), 6).alias("q"))
+
+
+def full_boost(spark, root, rounds: int = 200):
+    specs = LF.origin_specs(load_origins(spark, root))
     return B.fit(LF.boost_blocks(spark, hourly_load(spark, root)), SERIES, list(LF.BOOST_FEATURES), specs, rounds)
 
 
 @query("f17_importance")
 def f17(spark, root):
-    return B.importance(short_boost(spark, root))
+    return B.importance(full_boost(spark, root))
 
 
 @query("f18_grid_search")
 def f18(spark, root):
-    scores = LF.grid_search(spark, hourly_load(spark, root), 3, 72, trees=(2, 5), rates=(0.1, 0.3))
-    return E.fold_summary(scores, ["depth", "rate", "trees"], within=["series_id", "tau"])
+    """All settings of the search, on folds of 168 rows: 50, or as many as the shortest series has room for."""
+    load = P.cut(hourly_load(spark, root))
+    return E.fold_summary(LF.grid_search(spark, load, LF.folds_within(load, 50, 168), 168), ["depth", "rate", "trees"], within=["series_id", "tau"])
 
 
 @query("f19_model_roundtrip")
 def f19(spark, root):
     """Saves a model, reads it back and predicts with it; `worst` is the largest change in any prediction."""
-    model = short_boost(spark, root, 3)
+    model = full_boost(spark, root)
     path = os.path.join(checkpoint_dir(spark), f"boosted-{uuid.uuid4().hex}")
     B.save(model, path)
     blank = model.blocks.withColumn("f", F.array().cast("array<double>"))
@@ -311,6 +331,6 @@ def f20(spark, root):
     forecasts = (
         seasonal_forecasts(load, origins)
         .unionByName(LF.regression_forecasts(spark, load, origins))
-        .unionByName(LF.boosted_forecasts(spark, load, origins, LEVELS, rounds=5))
+        .unionByName(LF.boosted_forecasts(spark, load, origins))
     )
     return E.leaderboard(E.wide_scores(E.score(forecasts.filter(in_target_hours(F.col("ts"))))), ["model"])

@@ -207,6 +207,44 @@ def test_boosted_predictions_cover_and_survive_saving(spark, boosted, tmp_path):
         assert np.asarray(a) == pytest.approx(np.asarray(b))
 
 
+def test_long_series_in_passes_grow_the_trees_of_whole_ones(spark, boosted, monkeypatch):
+    blocks, _, _ = boosted
+    specs = [B.Spec(t, d, 0.3, u, 19020.0) for t in (0.1, 0.5) for d, u in ((1, 19008.0), (3, 19006.0))]
+    fit = lambda: B.fit(blocks, ["series_id"], ["x", "g"], specs, 7, keep_at=(2,))
+    whole = fit()
+    monkeypatch.setattr(B, "LOCAL_ROWS", 0)
+    passes = fit()
+    order = ["series_id", "model_no", "round"]
+    one, two = (m.trees.orderBy(*order).toPandas() for m in (whole, passes))
+    assert len(one) == len(two) == 8 * 4 * one.series_id.nunique() and (one[order] == two[order]).all(axis=None)
+    assert np.allclose(np.stack(one.tree), np.stack(two.tree), atol=1e-5)
+    for r in (2, 7):
+        a, b = (m.snapshots[r].orderBy("series_id", "block").toPandas().f for m in (whole, passes))
+        assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(a, b))
+
+
+def test_siblings_follow_from_their_parent():
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, 9, (4, 6)), rng.integers(0, 9, (4, 6))
+    small = np.array([False, True, True, False])
+    every = B.children(left + right, np.where(small[:, None], right, left), small)
+    assert (every[::2] == left).all() and (every[1::2] == right).all()
+
+
+def test_best_split_against_all_splits():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        codes, under, tau = rng.integers(0, 5, (40, 3)), rng.random(40) < 0.4, float(rng.choice([0.025, 0.5, 0.75]))
+        n = np.stack([np.bincount(c, minlength=5) for c in codes.T]).ravel()
+        below = np.stack([np.bincount(c[under], minlength=5) for c in codes.T]).ravel()
+        feature, cls, gain, right_small = B.best_splits(n[None], below[None], tau, np.array([0, 5, 10]))
+        g = tau - under
+        score = lambda rows: g[rows].sum() ** 2 / (rows.sum() + B.RIDGE)
+        gains = {(j, c): score(codes[:, j] <= c) + score(codes[:, j] > c) - score(codes[:, j] >= 0) for j in range(3) for c in range(4) if min((codes[:, j] <= c).sum(), (codes[:, j] > c).sum()) >= B.MIN_ROWS}
+        assert gain[0] == pytest.approx(max(gains.values())) and gains[feature[0], cls[0]] == pytest.approx(gain[0])
+        assert right_small[0] == ((codes[:, feature[0]] > cls[0]).sum() <= 20)
+
+
 def test_codes_put_missing_values_first():
     codes = B.encode(np.array([[np.nan], [0.5], [1.5], [9.0]]), [[1.0, 2.0]])
     assert codes[:, 0].tolist() == [0, 1, 2, 3]
