@@ -101,19 +101,18 @@ def _buckets(planes: int, tables: int, single: bool, whole: bool):
     return run
 
 
-def linked(x: np.ndarray, codes: np.ndarray, n: np.ndarray, table: int, part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(x: np.ndarray, codes: np.ndarray, n: np.ndarray, table: int, part: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """For a cell's members: the weight of the partners each links to for the first time in this table, and the place of the first member
-    that it hangs together with. part: the members' chunks; with two chunks, only pairs across count."""
+    that it hangs together with. part: in a cell of two chunks the members' chunks, so that only pairs across count."""
     m = len(x)
     weight, root = np.zeros(m, np.int64), np.arange(m)
-    across = part.min() != part.max()
     for at in range(0, m, ROWS):
         cosine = x[at : at + ROWS] @ x[at:].T
         rows, cols = np.nonzero(cosine >= least - CLOSE)
         exact = cosine[rows, cols]
         rows, cols = rows + at, cols + at
         keep = cols > rows
-        if across:
+        if part is not None:
             keep &= part[rows] != part[cols]
         unsure = np.flatnonzero(keep & (exact < least + CLOSE))
         if len(unsure):
@@ -139,7 +138,8 @@ def _cell(least: float, single: bool):
         dim, slot = table.column("dim")[0].as_py(), table.column("slot")[0].as_py()
         x = units(table.column("raw").to_pylist(), dim, single)
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int32).reshape(len(x), -1)
-        cls, n, part = (table.column(c).to_numpy() for c in ("cls", "n", "chunk"))
+        cls, n = (table.column(c).to_numpy() for c in ("cls", "n"))
+        part = None if table.column("low")[0] == table.column("high")[0] else table.column("chunk").to_numpy()
         weight, root = linked(x, codes, n, slot >> 40, part, least)
         found = np.flatnonzero(weight)
         return pa.table({"cls": cls[found], "links": weight[found], "root": cls[root[found]]})
