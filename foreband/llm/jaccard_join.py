@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, prepare
+from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, joined_hot, prepare
 from foreband.llm.words import mix, shingles, word_hashes
 
 # Costs in index rows: a segment of at most one shingle that is not left out meets very many strangers.
@@ -33,6 +33,8 @@ TINY_COST = 200.0
 PIVOTS = 512
 # Pairs a task remembers, so that it does not give them out for each bucket they share; a full memory starts anew.
 REMEMBERED = 200_000
+# Members of a bucket that a task holds to name it by them.
+HELD = 1_000_000
 # Bucket rows to each new pair from which on all possible pairs are given out.
 FEW_LEFT = 16
 
@@ -144,32 +146,55 @@ def _keys(size: int, num: int, den: int):
 
 
 def _runs(batches):
-    """Of index rows sorted by key: those whose key has several classes, with the bucket's smallest class as pivot."""
-    held_key = held_pivot = None
-    held_out = False
+    """Of index rows sorted by key and class: the members of buckets that hold several classes, as (bucket, class, smallest class of the bucket).
+
+    A bucket is named by its members, so that buckets with equal members are one: a task gives them out once, and rows that several tasks
+    give out are equal. A bucket too long to be held is named by its key.
+    """
+    key, cls, given, long = np.zeros(0, np.int64), np.zeros(0, np.int64), set(), None
+
+    def rows(names, classes, pivots):
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(classes), pa.array(pivots)], ["key", "cls", "pivot"])
+
+    def whole(key, cls):
+        """Rows of complete buckets."""
+        firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(firsts, append=len(key))
+        names = mix(np.add.reduceat(mix(cls.view(np.uint64)), firsts) + sizes.astype(np.uint64)).view(np.int64)
+        shared = np.flatnonzero(sizes > 1)
+        shared = shared[np.unique(names[shared], return_index=True)[1]]
+        fresh = np.array([i for i, name in zip(shared, names[shared].tolist(), strict=True) if name not in given], np.int64)
+        if len(given) > REMEMBERED:
+            given.clear()
+        given.update(names[fresh].tolist())
+        if len(fresh):
+            at = np.repeat(firsts[fresh], sizes[fresh])
+            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes[fresh]) - sizes[fresh], sizes[fresh])
+            yield rows(np.repeat(names[fresh], sizes[fresh]), cls[at + place], cls[at])
+
     for b in batches:
-        if not b.num_rows:
+        key, cls = np.append(key, b.column("key").to_numpy()), np.append(cls, b.column("cls").to_numpy())
+        if not len(key):
             continue
-        key, cls = b.column("key").to_numpy(), b.column("cls").to_numpy()
-        new = np.concatenate(([held_key is None or key[0] != held_key], key[1:] != key[:-1]))
-        firsts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        pivot = np.where(run < 0, held_pivot if held_key is not None else 0, cls[firsts[np.maximum(run, 0)]] if len(firsts) else 0)
-        other = cls != pivot
-        shared = np.zeros(len(firsts) + 1, bool)
-        shared[run[other] + 1] = True
-        out = shared[run + 1]
-        extra = held_key is not None and not held_out and shared[0]
-        ks, cs, ps = key[out], cls[out], pivot[out]
-        if extra:
-            ks, cs, ps = np.append(ks, held_key), np.append(cs, held_pivot), np.append(ps, held_pivot)
-        if len(ks):
-            yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(cs), pa.array(ps)], ["key", "cls", "pivot"])
-        if len(firsts):
-            last = firsts[-1]
-            held_key, held_pivot, held_out = key[last], cls[last], bool(shared[-1])
-        else:
-            held_out = held_out or bool(shared[0])
+        new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
+        key, cls = key[new], cls[new]
+        last = int(np.searchsorted(key, key[-1]))
+        if long is not None:
+            # Goes on with the bucket that was too long to be held.
+            own = int(np.searchsorted(key, long[0], "right"))
+            if own:
+                yield rows(key[:own], cls[:own], np.full(own, long[1]))
+            key, cls, last = key[own:], cls[own:], max(0, last - own)
+            long = long if not len(key) else None
+        if last:
+            yield from whole(key[:last], cls[:last])
+            key, cls = key[last:], cls[last:]
+        if len(key) > HELD:
+            long = (key[0], cls[0])
+            yield rows(key, cls, np.full(len(key), cls[0]))
+            key, cls = key[:0], cls[:0]
+    if len(key):
+        yield from whole(key, cls)
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -311,6 +336,12 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return cut(gathered(_met(possible, some, "tokens"), rows, 1000).mapInArrow(_linked(num, den), "a long, b long"))
 
 
+def shared_buckets(index: DataFrame) -> DataFrame:
+    """Buckets of index rows (key, cls) that hold several classes, each set of members once: rows (key, cls, pivot)."""
+    found = index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "key long, cls long, pivot long")
+    return cut(found.dropDuplicates(["key", "cls"]))
+
+
 def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Groups of classes of equal sets, given index rows (key, cls, pivot): rows (digest, lowest, n_class).
 
@@ -385,8 +416,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only the first document of each class is indexed.
     first = rows.join(_few(classes.select("first")), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
     index = first.mapInArrow(_keys(size, num, den), "key long, cls long")
-    shared = cut(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "key long, cls long, pivot long"))
+    shared = shared_buckets(index)
     named = resolve(rows, classes, shared, size, num, den)
-    return narrow.join(named, "digest", "left").select(
+    none = narrow.where("digest is null").withColumns({"lowest": F.lit(None).cast("long"), "n_class": F.lit(None).cast("long")})
+    joined = joined_hot(narrow.where("digest is not null"), named, "digest", "n_class", narrow.count()).unionByName(none)
+    return joined.select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("lowest")).alias("component_id"), "n_class"
     )

@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreband.llm.common import cut, prepare
-from foreband.llm.jaccard_join import _runs, class_of, digest_of, resolve
+from foreband.llm.common import cut, joined_hot, prepare
+from foreband.llm.jaccard_join import class_of, digest_of, resolve, shared_buckets
 from foreband.llm.words import mix, shingles, word_hashes
 
 BANDS, ROWS = 21, 6
@@ -173,9 +173,10 @@ def fingerprints(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     described = whole.where("digest is not null")
     classes = cut(described.groupBy("digest", "cls").agg(F.min("id").alias("first"), F.count("*").alias("n_class"), F.min("sig").alias("sig")))
     index = classes.select("digest", "sig").mapInArrow(_bands, "key long, cls long")
-    shared = cut(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "key long, cls long, pivot long"))
-    groups = resolve(rows, classes.select("digest", "cls", "first", "n_class"), shared, size, num, den)
-    return whole.join(groups, "digest", "left").select(
+    groups = resolve(rows, classes.select("digest", "cls", "first", "n_class"), shared_buckets(index), size, num, den)
+    none = whole.where("digest is null").withColumns({"lowest": F.lit(None).cast("long"), "n_class": F.lit(None).cast("long")})
+    joined = joined_hot(described, groups, "digest", "n_class", described.count()).unionByName(none)
+    return joined.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", F.lower(F.hex("sig")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"),
         "near_edited", "near_next", F.coalesce("lowest", "id").alias("class_id"), F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"),
     )
