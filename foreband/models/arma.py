@@ -157,7 +157,7 @@ def residual_blocks(blocks: DataFrame, fits: DataFrame, keys: list[str]) -> Data
     """Blocks with the residuals `e` of the ARMA filter, next to `y`; `e` starts with the last values before the block."""
     state = P.state_hint(blocks, keys)(fits.select(*keys, "p"))
     blocks = blocks.select(*keys, "block", "lead", "day", "y")
-    ready = R.with_starts(blocks, state, keys, arma_inputs, zero_start, MAX_ORDER, R.single_block(blocks))
+    ready = R.with_starts(blocks, state, keys, arma_inputs, zero_start, MAX_ORDER, R.last_block(blocks))
     keep = [blocks.schema[c] for c in ("block", "day")]
     schema = T.StructType(
         [*P.key_fields(blocks, keys), *keep, T.StructField("lead", T.IntegerType()), P.vector("y"), P.vector("e"), P.vector("y_last"), P.vector("mean_p")]

@@ -114,7 +114,7 @@ def _zero(p):
 def forecast(blocks: DataFrame, fits: DataFrame, keys: list[str], n_ahead: int = 3) -> DataFrame:
     """Forecasts from the level and trend after the last row: keys, step, value."""
     state = P.state_hint(blocks, keys)(fits.select(*keys, "p"))
-    ready = R.with_starts(blocks, state, keys, _given_inputs, _zero, 2, R.single_block(blocks)).join(state, keys)
+    ready = R.with_starts(blocks, state, keys, _given_inputs, _zero, 2, R.last_block(blocks)).join(state, keys)
     last = blocks.groupBy(*keys).agg(F.max("block").alias("block"))
     schema = T.StructType([*P.key_fields(blocks, keys), T.StructField("step", T.IntegerType()), T.StructField("value", T.DoubleType())])
 

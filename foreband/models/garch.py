@@ -1,9 +1,7 @@
 """GARCH order search, volatility paths, n-ahead forecasts and their quantiles.
 
-The variance follows sigma2_t = omega + sum alpha_i e_(t-i)^2 + sum beta_j sigma2_(t-j), with omega set so that the long-run variance is
-the sample variance. Within an order the weights fall geometrically over the lags, so any order has five
-parameters: persistence, share of alpha, degrees of freedom and two rates of decay. Orders and parameters are
-searched together: one pass evaluates the likelihood of all candidates of all series.
+The variance follows sigma2_t = omega + sum alpha_i e_(t-i)^2 + sum beta_j sigma2_(t-j) with every weight free. Orders and parameters are
+searched together: one pass evaluates the likelihood and the scores of all orders of all series.
 """
 
 from __future__ import annotations
@@ -23,27 +21,35 @@ from foreband.models import recursion as R
 
 # decoded parameters: omega, nu, alpha (6), beta (6)
 ALPHA, BETA = 2, 2 + A.MAX_ORDER
-START = np.array([3.0, -2.0, 1.0, 0.0, 0.0])
+# Alpha and beta together stay below it.
+PERSISTENCE = 0.9999
 
 
-def _expit(v):
-    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+def layout(orders: np.ndarray) -> np.ndarray:
+    """Which coordinates each order uses: log omega, degrees of freedom, alpha (6), beta (6)."""
+    lag = np.arange(A.MAX_ORDER)
+    ones = np.ones((len(orders), 2), bool)
+    return np.concatenate([ones, lag < orders[:, :1], lag < orders[:, 1:]], axis=1)
 
 
-def decode(theta: np.ndarray, order: np.ndarray, var: float) -> tuple[np.ndarray, ...]:
-    """Search coordinates (C, 5) and orders (C, 2) to omega, nu, alpha (C, 6), beta (C, 6)."""
-    persistence = 0.999 * _expit(theta[:, 0])
-    share = _expit(theta[:, 1])
-    nu = 2.05 + np.exp(np.clip(theta[:, 2], -5, 6))
-    lag = np.arange(A.MAX_ORDER)[None]
+def decode(theta: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Coordinates (C, 14) to omega, nu, alpha (C, 6), beta (C, 6). The weights and what they leave to 1 are shares, so they are positive and stationary."""
+    w = np.where(used[:, 2:], np.exp(np.clip(theta[:, 2:], -30, 30)), 0.0)
+    w = PERSISTENCE * w / (1 + w.sum(axis=1, keepdims=True))
+    return np.exp(np.clip(theta[:, 0], -60, 60)), 2.05 + np.exp(np.clip(theta[:, 1], -8, 7)), w[:, : A.MAX_ORDER], w[:, A.MAX_ORDER :]
 
-    def weights(rate, size):
-        w = np.where(lag < size[:, None], _expit(rate)[:, None] ** lag, 0.0)
-        return w / w.sum(axis=1, keepdims=True)
 
-    alpha = (persistence * share)[:, None] * weights(theta[:, 3], order[:, 0])
-    beta = (persistence * (1 - share))[:, None] * weights(theta[:, 4], order[:, 1])
-    return var * (1 - persistence), nu, alpha, beta
+def encode(omega, nu, alpha, beta) -> np.ndarray:
+    """Coordinates of given parameters; a weight of zero becomes a very small one."""
+    w = np.maximum(np.concatenate([alpha, beta], axis=-1) / PERSISTENCE, 1e-6)
+    rest = np.maximum(1 - w.sum(axis=-1, keepdims=True), 1e-6)
+    return np.concatenate([np.log(omega)[..., None], np.log(np.maximum(nu - 2.05, 1e-3))[..., None], np.log(w / rest)], axis=-1)
+
+
+def first_guess(orders: np.ndarray, var: float) -> np.ndarray:
+    lag = np.arange(A.MAX_ORDER)
+    alpha, beta = (np.where(lag < orders[:, i : i + 1], total / orders[:, i : i + 1], 0.0) for i, total in ((0, 0.07), (1, 0.85)))
+    return encode(np.full(len(orders), 0.08 * var), np.full(len(orders), 8.0), alpha, beta)
 
 
 def variance_inputs(e: np.ndarray, lead: int, omega, alpha, var: float) -> np.ndarray:
@@ -53,83 +59,100 @@ def variance_inputs(e: np.ndarray, lead: int, omega, alpha, var: float) -> np.nd
     return omega[None, :] + A.lag_matrix(sq, first, A.MAX_ORDER) @ alpha.T
 
 
-def log_likelihood(e: np.ndarray, sigma2: np.ndarray, nu: np.ndarray | None) -> np.ndarray:
-    """Sum over rows per candidate; innovations have variance one, Student-t or (nu None) normal."""
+def log_likelihoods(e: np.ndarray, sigma2: np.ndarray, nu: np.ndarray | None) -> np.ndarray:
+    """Log-likelihood (rows, candidates); innovations have variance one, Student-t or (nu None) normal."""
     sigma2 = np.maximum(sigma2, 1e-12)
     sq = (e * e)[:, None] / sigma2
     if nu is None:
-        return -0.5 * (np.log(2 * np.pi * sigma2) + sq).sum(axis=0)
+        return -0.5 * (np.log(2 * np.pi * sigma2) + sq)
     const = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2)) for v in nu])
-    return (const - 0.5 * np.log(sigma2) - (nu + 1) / 2 * np.log1p(sq / (nu - 2))).sum(axis=0)
+    return const - 0.5 * np.log(sigma2) - (nu + 1) / 2 * np.log1p(sq / (nu - 2))
+
+
+def nested_best(orders: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each order the order inside it (itself included) with the highest value; the largest of equal ones."""
+    inside = (orders[None, :, :] <= orders[:, None, :]).all(axis=2)
+    own = np.eye(len(orders), dtype=bool)
+    held = np.where(inside, value[None, :], -np.inf)
+    return np.where((held > value[:, None]).any(axis=1), held.argmax(axis=1), own.argmax(axis=1))
 
 
 def search_orders(
-    residuals: DataFrame, keys: list[str], max_p: int, max_q: int, innovations: str = "t", rounds: int = 14
+    residuals: DataFrame, keys: list[str], max_p: int, max_q: int, innovations: str = "t", limit: int = 120
 ) -> DataFrame:
-    """Every GARCH order with its likelihood, BIC and parameters: keys, P, Q, loglik, bic, `g`.
+    """Every GARCH order with its likelihood, AIC, BIC and parameters: keys, garch_p, garch_q, loglik, aic, bic, converged, rounds, `g`.
 
-    `g` is omega, degrees of freedom, alpha (6), beta (6). The number of observations and the sample variance come
-    from a first pass.
+    All parameters are free: omega, degrees of freedom, alpha and beta. All orders of all keys climb together, one pass a step, until
+    each has converged or `limit` passes are over (then converged is false). Orders that end below one nested in them climb again from
+    there, and at last take over its parameters if those are still better, so the likelihood never falls with the order. `g` is omega,
+    degrees of freedom, alpha (6), beta (6). Variances before the first row count as the sample variance.
     """
     residuals = residuals.select(*keys, "block", "lead", "e")
     orders = np.array([(p, q) for p in range(1, max_p + 1) for q in range(1, max_q + 1)])
-    compass = R.Compass(len(orders), 5, START)
-    per_order = len(compass.moves)
-    each = np.repeat(orders, per_order, axis=0)
     student = innovations == "t"
+    used = layout(orders)
+    used[:, 1] &= student
+    climber = R.Climber(used)
+    each = np.repeat(used, climber.n + 1, axis=0)
 
     def moments(block, p):
         e = np.asarray(block["e"])[block["lead"] :]
         return np.array([len(e), e @ e])
 
-    state = P.run(
-        P.step(
-            residuals,
-            [],
-            keys,
-            moments,
-            lambda p, s: np.concatenate([[s[0], s[1] / s[0]], compass.initial()]),
-        )
-    )
+    def begin(p, s):
+        var = max(s[1] / max(s[0], 1), 1e-12)
+        return np.concatenate([[s[0], var], climber.at(first_guess(orders, var))])
 
     def inputs(block, p):
-        omega, _, alpha, beta = decode(compass.candidates(p[2:]), each, p[1])
+        omega, _, alpha, beta = decode(climber.candidates(p[2:]), each)
         return beta, variance_inputs(np.asarray(block["e"]), block["lead"], omega, alpha, p[1])
 
     def initial(p):
         return np.full((len(each), A.MAX_ORDER), p[1])
 
     def mapper(block, p, sigma2):
-        nu = decode(compass.candidates(p[2:]), each, p[1])[1]
-        return log_likelihood(np.asarray(block["e"])[block["lead"] :], sigma2, nu if student else None)
+        nu = decode(climber.candidates(p[2:]), each)[1]
+        return climber.scores(log_likelihoods(np.asarray(block["e"])[block["lead"] :], sigma2, nu if student else None))
 
     def reducer(p, s):
-        return np.concatenate([p[:2], compass.update(p[2:], s)])
-
-    fitted = R.search(residuals, state, keys, inputs, initial, A.MAX_ORDER, mapper, reducer, rounds)
-    schema = T.StructType(
-        [
-            *P.key_fields(residuals, keys),
-            T.StructField("garch_p", T.IntegerType()),
-            T.StructField("garch_q", T.IntegerType()),
-            T.StructField("loglik", T.DoubleType()),
-            T.StructField("bic", T.DoubleType()),
-            P.vector("g"),
-        ]
-    )
+        return np.concatenate([p[:2], climber.update(p[2:], s)])
+
+    def again(p):
+        """Starts orders anew that one nested in them beats."""
+        p = p.copy()
+        v = climber.view(p[2:])
+        best = nested_best(orders, v["best"])
+        held = encode(*(x[best] for x in decode(v["centre"], used)))
+        for i in np.flatnonzero(best != np.arange(len(orders))):
+            fresh = climber.view(climber.at(np.tile(held[i], (len(orders), 1))))
+            for name in ("centre", "trial", "best", "damp", "done", "g", "h"):
+                v[name][i] = fresh[name][i]
+        return p
+
+    done = lambda p: climber.finished(p[2:])
+    climb = lambda state: R.climb(residuals, state, keys, inputs, initial, A.MAX_ORDER, mapper, reducer, done, limit)
+    state = climb(P.run(P.step(residuals, [], keys, moments, begin)))
+    if len(orders) > 1:
+        state = climb(P.changed(state, again))
+    fitted = P.as_frame(state, residuals, keys)
+    names = ["garch_p", "garch_q", "loglik", "aic", "bic", "converged", "rounds"]
+    kinds = [T.IntegerType(), T.IntegerType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.BooleanType(), T.IntegerType()]
+    schema = T.StructType([*P.key_fields(residuals, keys), *[T.StructField(n, k) for n, k in zip(names, kinds)], P.vector("g")])
 
     def unpack(batches):
         for pdf in batches:
             rows = []
             for key, row in P.block_rows_of(pdf, keys):
                 p = np.asarray(row["p"], dtype=float)
-                s = p[2:].reshape(len(orders), -1)
-                omega, nu, alpha, beta = decode(s[:, :5], orders, p[1])
+                v = climber.view(p[2:])
+                omega, nu, alpha, beta = decode(v["centre"], used)
+                best = nested_best(orders, v["best"])
                 for i, (po, qo) in enumerate(orders):
-                    loglik = float(s[i, -1])
-                    bic = (po + qo + (2 if student else 1)) * math.log(p[0]) - 2 * loglik
-                    g = np.concatenate([[omega[i], nu[i] if student else np.inf], alpha[i], beta[i]])
-                    rows.append((*key, int(po), int(qo), loglik, float(bic), g))
+                    j = best[i]
+                    loglik, free = float(v["best"][j]), po + qo + (2 if student else 1)
+                    g = np.concatenate([[omega[j], nu[j] if student else np.inf], alpha[j], beta[j]])
+                    criteria = (2 * free - 2 * loglik, free * math.log(p[0]) - 2 * loglik)
+                    rows.append((*key, int(po), int(qo), loglik, *map(float, criteria), bool(v["done"][i]), int(v["rounds"][i]), g))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return fitted.mapInPandas(unpack, schema)
@@ -157,7 +180,7 @@ def _sigma_start(g: np.ndarray) -> np.ndarray:
 
 def with_variance_starts(residuals: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     state = P.state_hint(residuals, keys)(fits.select(*keys, F.col("g").alias("p")))
-    ready = R.with_starts(residuals, state, keys, _sigma_inputs, _sigma_start, A.MAX_ORDER, R.single_block(residuals))
+    ready = R.with_starts(residuals, state, keys, _sigma_inputs, _sigma_start, A.MAX_ORDER, R.last_block(residuals))
     return ready.join(state, keys)
 
 

@@ -248,6 +248,14 @@ def _step_few(blocks: DataFrame, state: Few, keys: list[str], mapper: Mapper, re
     return Few({key: reducer(old(key), total) for key, total in totals.items()})
 
 
+def changed(state: DataFrame | Few, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame | Few:
+    """The state with a function applied to every key's parameters."""
+    if isinstance(state, Few):
+        return Few({key: change(p) for key, p in state.values.items()}, state.default)
+    apply = lambda batches: (pdf.assign(p=[change(np.asarray(p, dtype=float)) for p in pdf["p"]]) for pdf in batches)
+    return run(state.mapInPandas(apply, state.schema))
+
+
 def iterate(
     blocks: DataFrame, state: State, keys: list[str], mapper: Mapper, reducer: Reducer, rounds: int, cut_every: int = 4
 ) -> DataFrame:

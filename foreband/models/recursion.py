@@ -21,6 +21,8 @@ from foreband.models import passes as P
 
 # inputs(block, p) -> a (candidates, depth), u (own rows, candidates)
 Inputs = Callable[[dict, np.ndarray], tuple[np.ndarray, np.ndarray]]
+# Blocks whose maps are combined at a time.
+FAN = 32
 # initial(p) -> starting values (candidates, depth), latest first
 Initial = Callable[[np.ndarray], np.ndarray]
 
@@ -51,15 +53,22 @@ def transition(a: np.ndarray, steps: int) -> np.ndarray:
     return np.linalg.matrix_power(m, steps)
 
 
-def single_block(blocks: DataFrame) -> bool:
-    return blocks.filter(F.col("block") > 0).isEmpty()
+def last_block(blocks: DataFrame) -> int:
+    """Number of the last block of the longest series."""
+    return blocks.agg(F.max("block")).first()[0] or 0
 
 
-def starts(blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int) -> DataFrame:
-    """Starting values `s0` per (keys, block)."""
-    ends = T.StructType(
-        [*P.key_fields(blocks, keys), blocks.schema["block"], P.vector("p"), P.vector("m"), P.vector("f")]
-    )
+def _rows_of(blocks: DataFrame, keys: list[str], *columns: str) -> T.StructType:
+    return T.StructType([*P.key_fields(blocks, keys), blocks.schema["block"], *[P.vector(c) for c in columns]])
+
+
+def starts(blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int, last: int) -> DataFrame:
+    """Starting values `s0` per (keys, block).
+
+    A block acts on starting values as an affine map. Maps of up to FAN neighbours are combined at a time, level by level, until one is left per
+    series; the starting values then go down the same tree. So no group holds more than FAN maps, however long a series is.
+    """
+    nodes = _rows_of(blocks, keys, "p", "m", "f")
 
     def summarise(batches):
         for pdf in batches:
@@ -67,36 +76,64 @@ def starts(blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs,
             for key, block in P.block_rows_of(pdf, keys):
                 p = np.asarray(block["p"], dtype=float)
                 a, u = inputs(block, p)
-                _, last = scan(a, u, np.zeros((len(a), depth)))
-                # the chain reads the parameters once, from the first block
+                _, end = scan(a, u, np.zeros((len(a), depth)))
+                # the parameters are read once, from the first block
                 first = p if block["block"] == 0 else np.zeros(0)
-                rows.append((*key, block["block"], first, transition(a, len(u)).ravel(), last.ravel()))
-            yield pd.DataFrame(rows, columns=ends.names)
+                rows.append((*key, block["block"], first, transition(a, len(u)).ravel(), end.ravel()))
+            yield pd.DataFrame(rows, columns=nodes.names)
 
-    summaries = P.attach_state(blocks, state, keys).mapInPandas(summarise, ends)
+    def maps(pdf: pd.DataFrame):
+        """The maps of the rows in order: (matrix, offset) with one matrix per candidate."""
+        for m, f in zip(pdf["m"], pdf["f"]):
+            f = np.asarray(f).reshape(-1, depth)
+            yield np.asarray(m).reshape(len(f), depth, depth), f
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        total = None
+        for m, f in maps(pdf):
+            total = (m, f) if total is None else (m @ total[0], np.einsum("cij,cj->ci", m, total[1]) + f)
+        out = pdf[[*keys, "block"]].iloc[:1].copy()
+        out["block"] //= FAN
+        out["p"], out["m"], out["f"] = [pdf["p"].iloc[0]], [total[0].ravel()], [total[1].ravel()]
+        return out[nodes.names]
+
+    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        now = initial(np.asarray(pdf["p"].iloc[0], dtype=float))
+        start = pdf["up"].iloc[0]
+        now = initial(np.asarray(pdf["p"].iloc[0], dtype=float)) if start is None else np.asarray(start, dtype=float).reshape(-1, depth)
         found = []
-        for m, f in zip(pdf["m"], pdf["f"]):
+        for m, f in maps(pdf):
             found.append(now.ravel())
-            m = np.asarray(m).reshape(len(now), depth, depth)
-            now = np.einsum("cij,cj->ci", m, now) + np.asarray(f).reshape(len(now), depth)
+            now = np.einsum("cij,cj->ci", m, now) + f
         out = pdf[[*keys, "block"]].copy()
         out["s0"] = found
         return out
 
-    schema = T.StructType([*P.key_fields(blocks, keys), blocks.schema["block"], P.vector("s0")])
-    return summaries.groupBy(*keys).applyInPandas(chain, schema)
+    parent = F.floor(F.col("block") / F.lit(FAN)).cast("int")
+    levels = [P.run(P.attach_state(blocks, state, keys).mapInPandas(summarise, nodes))]
+    while last >= FAN:
+        last //= FAN
+        levels.append(P.run(levels[-1].groupBy(*keys, parent.alias("_up")).applyInPandas(combine, nodes)))
+    schema = _rows_of(blocks, keys, "s0")
+    found = None
+    for level in reversed(levels):
+        if found is None:
+            below = level.withColumn("up", F.lit(None).cast("array<double>"))
+        else:
+            above = found.select(*keys, F.col("block").alias("_up"), F.col("s0").alias("up"))
+            below = level.withColumn("_up", parent).join(above, [*keys, "_up"]).drop("_up")
+        found = below.groupBy(*keys, parent.alias("_up")).applyInPandas(descend, schema)
+    return found
 
 
 def with_starts(
-    blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int, single: bool
+    blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int, last: int
 ) -> DataFrame:
-    if single:
+    """Blocks with their starting values; series of one block start from the initial ones."""
+    if not last:
         return blocks.withColumn("s0", F.lit(None).cast("array<double>"))
-    found = P.run(starts(blocks, state, keys, inputs, initial, depth))
+    found = P.run(starts(blocks, state, keys, inputs, initial, depth, last))
     return blocks.join(broadcast_if_small(found), [*keys, "block"])
 
 
@@ -109,11 +146,11 @@ def run_block(block: dict, p: np.ndarray, inputs: Inputs, initial: Initial) -> t
 
 
 def filtered_sums(
-    blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int, mapper, reducer, single: bool
+    blocks: DataFrame, state: DataFrame, keys: list[str], inputs: Inputs, initial: Initial, depth: int, mapper, reducer, last: int
 ) -> DataFrame:
     """One pass whose mapper sees the filtered values: mapper(block, p, values) -> vector."""
-    known = state if single or isinstance(state, list) else P.state_hint(blocks, keys)(P.as_frame(state, blocks, keys))
-    ready = with_starts(blocks, known, keys, inputs, initial, depth, single)
+    known = state if not last or isinstance(state, list) else P.state_hint(blocks, keys)(P.as_frame(state, blocks, keys))
+    ready = with_starts(blocks, known, keys, inputs, initial, depth, last)
     return P.step(
         ready, state, keys, lambda block, p: mapper(block, p, run_block(block, p, inputs, initial)[0]), reducer
     )
@@ -132,15 +169,97 @@ def search(
     cut_every: int = 3,
 ) -> DataFrame:
     """Repeats a filtered pass, the reducer moving the candidates in `p`."""
-    single = single_block(blocks)
+    last = last_block(blocks)
     hint = P.state_hint(blocks, keys)
     for i in range(rounds):
-        state = filtered_sums(blocks, hint(state), keys, inputs, initial, depth, mapper, reducer, single)
-        if (i + 1) % cut_every == 0 or i + 1 == rounds or not single:
+        state = filtered_sums(blocks, hint(state), keys, inputs, initial, depth, mapper, reducer, last)
+        if (i + 1) % cut_every == 0 or i + 1 == rounds or last:
             state = P.run(state)
     return P.as_frame(state, blocks, keys)
 
 
+def climb(
+    blocks: DataFrame, state: DataFrame | P.Few, keys: list[str], inputs: Inputs, initial: Initial, depth: int, mapper, reducer, done: Callable, limit: int
+) -> DataFrame | P.Few:
+    """Repeats a filtered pass until done(p) holds for every key, or `limit` passes are over, which is left for the caller to see."""
+    last = last_block(blocks)
+    hint = P.state_hint(blocks, keys)
+    for _ in range(limit):
+        state = P.run(filtered_sums(blocks, hint(state), keys, inputs, initial, depth, mapper, reducer, last))
+        if isinstance(state, P.Few):
+            left = not all(done(p) for p in state.values.values())
+        else:
+            open_ = state.select("p").mapInPandas(lambda it: (pdf[[not done(np.asarray(p, dtype=float)) for p in pdf["p"]]].assign(p=1) for pdf in it), "p int")
+            left = open_.limit(1).count() > 0
+        if not left:
+            break
+    return state
+
+
+class Climber:
+    """Maximises `m` log-likelihoods of up to `n` parameters each that share a pass, by damped scoring.
+
+    A pass evaluates every trial point and, for its scores, a small step along each axis. The summed outer product of an observation's scores
+    stands for the Hessian (Berndt, Hall, Hall and Hausman). A trial that raises the likelihood becomes the centre; else the damping grows. An order is done
+    when the gain that its quadratic model promises is below `tol`, or no step raises the likelihood any more.
+    State per problem: centre, trial, best value, damping, rounds, done, gradient and outer product at the centre.
+    """
+
+    H = 1e-5
+
+    def __init__(self, used: np.ndarray, tol: float = 1e-5):
+        self.used, self.tol = used, tol
+        self.m, self.n = used.shape
+        self.size = 2 * self.n + 4 + self.n + self.n**2
+        self.moves = np.concatenate([np.zeros((1, self.n)), self.H * np.eye(self.n)])
+
+    def view(self, p: np.ndarray) -> dict[str, np.ndarray]:
+        s, n = p.reshape(self.m, self.size), self.n
+        names = {"centre": slice(0, n), "trial": slice(n, 2 * n), "best": 2 * n, "damp": 2 * n + 1, "rounds": 2 * n + 2, "done": 2 * n + 3, "g": slice(2 * n + 4, 3 * n + 4)}
+        return {k: s[:, v] for k, v in names.items()} | {"h": s[:, 3 * n + 4 :].reshape(self.m, n, n)}
+
+    def at(self, points: np.ndarray) -> np.ndarray:
+        """A state that starts from the given points."""
+        p = np.zeros(self.m * self.size)
+        v = self.view(p)
+        v["centre"][:], v["trial"][:], v["best"][:], v["damp"][:] = points, points, -np.inf, 1e-2
+        return p
+
+    def candidates(self, p: np.ndarray) -> np.ndarray:
+        """(m * (n + 1), n): each trial and its neighbours."""
+        return (self.view(p)["trial"][:, None, :] + self.moves).reshape(-1, self.n)
+
+    def scores(self, values: np.ndarray) -> np.ndarray:
+        """Sums of one block from its log-likelihoods (rows, m * (n + 1))."""
+        v = values.reshape(len(values), self.m, self.n + 1)
+        s = np.where(self.used, (v[:, :, 1:] - v[:, :, :1]) / self.H, 0.0)
+        outer = np.einsum("tmi,tmj->mij", s, s)
+        return np.concatenate([v[:, :, 0].sum(axis=0)[:, None], s.sum(axis=0), outer.reshape(self.m, -1)], axis=1).ravel()
+
+    def update(self, p: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        p = p.copy()
+        v, s = self.view(p), sums.reshape(self.m, -1)
+        open_ = v["done"] == 0
+        better = open_ & np.isfinite(s).all(axis=1) & (s[:, 0] > v["best"])
+        v["rounds"][open_] += 1
+        v["centre"][better], v["best"][better] = v["trial"][better], s[better, 0]
+        v["g"][better], v["h"][better] = s[better, 1 : self.n + 1], s[better, self.n + 1 :].reshape(-1, self.n, self.n)
+        v["damp"][:] = np.where(better, np.maximum(v["damp"] / 4, 1e-8), v["damp"] * 6)
+        for i in np.flatnonzero(open_):
+            use = self.used[i]
+            g, h = v["g"][i, use], v["h"][i][np.ix_(use, use)]
+            scale = np.maximum(np.diag(h), 1e-8)
+            gain = 0.5 * g @ np.linalg.pinv(h + np.diag(1e-10 * scale), hermitian=True) @ g
+            step = np.linalg.solve(h + np.diag(v["damp"][i] * scale + 1e-10), g)
+            v["trial"][i] = v["centre"][i]
+            v["trial"][i, use] += np.clip(step, -2, 2)
+            v["done"][i] = float(np.isfinite(v["best"][i]) and (gain < self.tol or v["damp"][i] > 1e8))
+        return p
+
+    def finished(self, p: np.ndarray) -> bool:
+        return bool((self.view(p)["done"] > 0).all())
+
+
 # ---- compass search over several starting points at once
 
 

@@ -36,11 +36,11 @@ def chosen_orders(blocks: DataFrame, keys: list[str], max_p: int = 6, max_q: int
 
 
 def volatility(
-    blocks: DataFrame, keys: list[str], means: DataFrame, max_p: int = 1, max_q: int = 1, innovations: str = "t", rounds: int = 14
+    blocks: DataFrame, keys: list[str], means: DataFrame, max_p: int = 1, max_q: int = 1, innovations: str = "t"
 ) -> tuple[DataFrame, DataFrame]:
     """Residual blocks and, per key, the volatility order with the smallest BIC."""
     residuals = P.run(A.residual_blocks(blocks, means, keys))
-    found = G.search_orders(residuals, keys, max_p, max_q, innovations, rounds)
+    found = G.search_orders(residuals, keys, max_p, max_q, innovations)
     return residuals, P.run(best_by(found, keys, "bic", ties=("garch_p", "garch_q")))
 
 
@@ -60,12 +60,12 @@ def with_actual_returns(cases: DataFrame, returns: DataFrame, origins: list) ->
 
 
 def arma_garch_forecasts(
-    prices: DataFrame, origins: list, levels=LEVELS, max_p: int = 1, max_q: int = 1, standardized: bool = False, rounds: int = 14
+    prices: DataFrame, origins: list, levels=LEVELS, max_p: int = 1, max_q: int = 1, standardized: bool = False
 ) -> DataFrame:
     """Long forecasts: model, series_id, origin, date, horizon, tau, y, q."""
     returns = P.cut(returns_of(prices))
     blocks = A.return_blocks(returns, SERIES, STEPS, origins)
-    residuals, fits = volatility(blocks, KEYS, chosen_orders(blocks, KEYS), max_p, max_q, "t", rounds)
+    residuals, fits = volatility(blocks, KEYS, chosen_orders(blocks, KEYS), max_p, max_q)
     steps = G.diagonal(G.forecast(residuals, fits, KEYS, max(STEPS)))
     cases = G.quantile_forecasts(steps, levels, standardized).join(future_days(prices, origins), ["series_id", "origin", "step"])
     rows = with_actual_returns(cases, returns, origins).select(
@@ -74,13 +74,13 @@ def arma_garch_forecasts(
     return explode_levels(rows, "q", levels)
 
 
-def volatility_frame(prices: DataFrame, origins: list, rounds: int = 10) -> DataFrame:
+def volatility_frame(prices: DataFrame, origins: list) -> DataFrame:
     """Fitted mean and deviation of the fixed (1,1)-(1,1) model: history, then the forecast steps.
 
     Columns series_id, h, origin, date, step (null in history), fitted, sigma.
     """
     blocks = A.return_blocks(returns_of(prices), SERIES, STEPS, origins)
-    residuals, fits = volatility(blocks, KEYS, fixed_orders(blocks, KEYS), 1, 1, "normal", rounds)
+    residuals, fits = volatility(blocks, KEYS, fixed_orders(blocks, KEYS), 1, 1, "normal")
     past = G.paths(residuals, fits, KEYS).select(*KEYS, "date", "fitted", "sigma")
     ahead = G.forecast(residuals, fits, KEYS, max(STEPS)).join(future_days(prices, origins), ["series_id", "origin", "step"])
     return past.unionByName(
@@ -89,7 +89,7 @@ def volatility_frame(prices: DataFrame, origins: list, rounds: int = 10) -> Data
 
 
 def regression_forecasts(
-    spark: SparkSession, prices: DataFrame, origins: list, levels=LEVELS, rounds: int = 20, search_rounds: int = 10
+    spark: SparkSession, prices: DataFrame, origins: list, levels=LEVELS, rounds: int = 20
 ) -> DataFrame:
     """h-step return on its squared-return lag, weekday, holiday and volatility, for every h and origin."""
     returns = P.cut(returns_of(prices))
@@ -97,7 +97,7 @@ def regression_forecasts(
     lagged = with_squared_lags(returns, SERIES)
     names = [F.struct(F.lit(h).alias("h"), F.col(f"ret{h}").alias("ret"), F.col(f"ret_sqrd_lag{h}").alias("sq")) for h in STEPS]
     known = lagged.select("series_id", "date", F.inline(F.array(*names)))
-    volatile = P.run(volatility_frame(prices, origins, search_rounds))
+    volatile = P.run(volatility_frame(prices, origins))
     # For the day h rows after the origin, the squared return h rows earlier is the origin's own.
     latest = returns.select("series_id", "date", "ret1").withColumn("origin", F.explode(F.array(*[F.lit(o) for o in origins])))
     latest = (

@@ -202,7 +202,7 @@ def f11(spark, root):
 def f8(spark, root):
     blocks = A.return_blocks(price_returns(spark, root), SERIES, (1, 2, 3, 4, 5))
     residuals = P.run(A.residual_blocks(blocks, I.chosen_orders(blocks, HKEYS), HKEYS))
-    found = G.search_orders(residuals, HKEYS, 3, 3)
+    found = G.search_orders(residuals, HKEYS, 6, 6)
     return E.with_rank(found.withColumn("_neg", -F.col("bic")), "_neg", HKEYS).drop("_neg", "g")
 
 

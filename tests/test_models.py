@@ -87,23 +87,96 @@ def test_garch_finds_the_process_at_any_block_size(spark):
         blocks = A.return_blocks(simulated_returns(spark), ["series_id"], (1,), block_rows=size)
         fits = P.run(A.fit_orders(A.orders(blocks, keys), keys, [1], [1]))
         residuals = P.run(A.residual_blocks(blocks, fits, keys))
-        vol = P.run(G.search_orders(residuals, keys, 1, 1, rounds=10))
+        vol = P.run(G.search_orders(residuals, keys, 1, 1))
         results.append((fits.first()["p"], vol.first(), G.forecast(residuals, vol, keys).orderBy("step").toPandas(), G.paths(residuals, vol, keys)))
     p = results[0][0]
     assert p[A.PHI] == pytest.approx(0.4, abs=0.12) and p[A.THETA] == pytest.approx(0.2, abs=0.15)
     g = results[0][1]["g"]
     assert g[G.ALPHA] + g[G.BETA] == pytest.approx(0.95, abs=0.05) and 4 < g[1] < 30
-    assert results[1][0] == pytest.approx(p) and results[1][1]["g"] == pytest.approx(g)
+    assert results[1][0] == pytest.approx(p) and results[1][1]["g"] == pytest.approx(g, rel=1e-4)
     for c in ("mean", "sigma"):
-        assert results[0][2][c].to_numpy() == pytest.approx(results[1][2][c].to_numpy(), abs=1e-9)
+        assert results[0][2][c].to_numpy() == pytest.approx(results[1][2][c].to_numpy(), abs=1e-4)
     path = [r[3].orderBy("date").toPandas() for r in results]
-    assert path[0].sigma.to_numpy() == pytest.approx(path[1].sigma.to_numpy(), abs=1e-9)
+    assert path[0].sigma.to_numpy() == pytest.approx(path[1].sigma.to_numpy(), abs=1e-4)
     z = (path[0].y - path[0].fitted) / path[0].sigma
     assert z.std() == pytest.approx(1, abs=0.1)
     fc = G.quantile_forecasts(spark.createDataFrame([(0.0, 1.0, 5.0)], "mean double, sigma double, shape double"), standardized=True)
     assert fc.first()["q"][4] == pytest.approx(2.5705818 * math.sqrt(3 / 5), abs=1e-5)
 
 
+@pytest.fixture(scope="module")
+def second_order(spark):
+    """Residual blocks of a GARCH(2,1) process whose second lag counts most, and of one without any volatility."""
+    rng, rows = np.random.default_rng(8), []
+    for name, a1, a2, b in (("garch21", 0.05, 0.45, 0.3), ("none", 0.0, 0.0, 0.0)):
+        e, e1, s2 = 0.0, 0.0, 1.0
+        for i in range(1500):
+            s2 = 0.2 + a1 * e * e + a2 * e1 * e1 + b * s2
+            e1, e = e, math.sqrt(s2) * rng.standard_t(9) * math.sqrt(7 / 9)
+            rows.append((name, (START + dt.timedelta(days=i)).date(), e))
+    keys = ["series_id", "h"]
+    blocks = A.return_blocks(spark.createDataFrame(rows, "series_id string, date date, ret1 double"), ["series_id"], (1,))
+    return P.run(A.residual_blocks(blocks, A.given_parameters(blocks, keys, 0.0, 0.0, 0.0), keys)), keys
+
+
+def test_volatility_orders_are_nested_and_chosen(second_order):
+    residuals, keys = second_order
+    found = G.search_orders(residuals, keys, 3, 2).toPandas()
+    for name, part in found.groupby("series_id"):
+        at = {(r.garch_p, r.garch_q): r for r in part.itertuples()}
+        assert all(r.converged and r.rounds > 1 for r in at.values())
+        for (p, q), r in at.items():
+            assert all(r.loglik >= o.loglik for (a, b), o in at.items() if a <= p and b <= q)
+            free = p + q + 2
+            assert r.bic - r.aic == pytest.approx(free * (math.log(1500) - 2))
+        best = part.loc[part.bic.idxmin()]
+        if name == "garch21":
+            assert (best.garch_p, best.garch_q) == (2, 1) and best.g[G.ALPHA + 1] == pytest.approx(0.45, abs=0.2)
+            assert at[2, 1].loglik > at[1, 1].loglik + 10
+
+
+def test_volatility_fits_are_at_their_maximum(second_order):
+    """No nearby point of a fine grid around the estimate is more likely, by a likelihood written out in a loop."""
+    residuals, keys = second_order
+    e = np.asarray(residuals.filter("series_id = 'garch21'").first()["e"])
+    fit = G.search_orders(residuals, keys, 1, 1).filter("series_id = 'garch21'").first()
+
+    def loglik(omega, nu, alpha, beta):
+        s2, past, total = np.var(e) + np.mean(e) ** 2, np.var(e) + np.mean(e) ** 2, 0.0
+        c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
+        for x in e:
+            s2 = omega + alpha * past + beta * s2
+            total += c - 0.5 * math.log(s2) - (nu + 1) / 2 * math.log1p(x * x / s2 / (nu - 2))
+            past = x * x
+        return total
+
+    g = fit["g"]
+    at = [g[0], g[1], g[G.ALPHA], g[G.BETA]]
+    best = loglik(*at)
+    assert best == pytest.approx(fit["loglik"], abs=1e-6)
+    for i in range(4):
+        for f in (0.97, 0.995, 1.005, 1.03):
+            assert loglik(*[v * (f if j == i else 1) for j, v in enumerate(at)]) < best + 1e-3
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_starts_go_down_a_tree_of_any_width(spark, monkeypatch, fan):
+    """Starting values of every block, against one run over the whole series."""
+    monkeypatch.setattr(R, "FAN", fan)
+    rng = np.random.default_rng(6)
+    a, values = np.array([[0.5, 0.2], [0.9, -0.3]]), rng.normal(size=(2, 90))
+    rows = [(s, b, v[9 * b : 9 * b + 9].tolist()) for s, v in zip("xy", values) for b in range(10)] + [("short", 0, [1.0, 2.0])]
+    blocks = spark.createDataFrame(rows, "series_id string, block int, u array<double>").repartition(4)
+    inputs = lambda block, p: (a * p[0], np.repeat(np.asarray(block["u"])[:, None], 2, axis=1))
+    initial = lambda p: np.full((2, 2), p[0])
+    got = {(r.series_id, r.block): r.s0 for r in R.starts(blocks, [0.8], ["series_id"], inputs, initial, 2, R.last_block(blocks)).collect()}
+    assert len(got) == 21 and got["short", 0] == [0.8] * 4
+    for s, v in zip("xy", values):
+        out, _ = R.scan(a * 0.8, np.repeat(v[:, None], 2, axis=1), initial([0.8]))
+        for b in range(1, 10):
+            assert got[s, b] == pytest.approx(out[[9 * b - 1, 9 * b - 2]].T.ravel())
+
+
 def test_t_quantiles_match_closed_forms():
     p = np.array([0.025, 0.25, 0.5, 0.75, 0.975])
     assert G.t_quantile(1, p) == pytest.approx(np.tan(np.pi * (p - 0.5)), abs=1e-5)
