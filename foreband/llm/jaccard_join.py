@@ -35,6 +35,8 @@ PIVOTS = 512
 REMEMBERED = 200_000
 # Members of a bucket that a task holds to name it by them.
 HELD = 1_000_000
+# Sets of this many bytes are broadcast at most.
+BROADCAST_BYTES = 16 << 20
 # Bucket rows to each new pair from which on all possible pairs are given out.
 FEW_LEFT = 16
 
@@ -197,12 +199,13 @@ def _runs(batches):
         yield from whole(key, cls)
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """A bit for each of at least four times as many buckets as there are tokens: whether the bucket holds an odd number of them.
+def parity(tokens: np.ndarray, finer: int = 2) -> bytes:
+    """A bit for each bucket: whether it holds an odd number of tokens.
 
-    So many that two tokens seldom meet in a bucket and cancel out: pairs a little below the threshold are ruled out as well.
+    finer=2: four to eight buckets a token, so that two tokens seldom meet in one and cancel out: pairs a little below the threshold are ruled
+    out as well. finer=-1: half to one bucket a token, which takes an eighth of the space and still rules out sets that have little in common.
     """
-    width = 1 << max(6, len(tokens).bit_length() + 2)
+    width = 1 << max(6, len(tokens).bit_length() + finer)
     counts = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
@@ -216,7 +219,9 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets(size: int):
+def _sketches(size: int):
+    """Parities of each document's set."""
+
     def run(batches):
         for b in batches:
             sets = [s for s in sets_of(b.column("text"), size) if len(s)]
@@ -224,15 +229,25 @@ def _sets(size: int):
                 [
                     pa.array([class_of(digest_of(s)) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([parity(s, -1) for s in sets], pa.binary()),
                     pa.array([parity(s) for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["cls", "n", "parity", "tokens"],
+                ["cls", "n", "coarse", "fine"],
             )
 
     return run
 
 
+def _tokens(size: int):
+    def run(batches):
+        for b in batches:
+            sets = [s for s in sets_of(b.column("text"), size) if len(s)]
+            columns = [pa.array([class_of(digest_of(s)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "tokens"])
+
+    return run
+
+
 def _possible(num: int, den: int):
     """Pairs that their parities don't rule out."""
 
@@ -246,7 +261,7 @@ def _possible(num: int, den: int):
 
 
 def _meet(num: int, den: int, skip: int, every: bool):
-    """Of rows (key, cls, n, parity, g) sorted by key and class: pairs of different groups in one bucket that may link.
+    """Of rows (key, cls, n, coarse, g) sorted by key and class: pairs of different groups in one bucket that may link.
 
     The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member's possible pairs
     only the likeliest is given out, so at most one per row, or with `every` each of them.
@@ -256,7 +271,7 @@ def _meet(num: int, den: int, skip: int, every: bool):
         key, seen, pivots, given = None, 0, {}, set()
         for b in batches:
             found = set()
-            rows = zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", "parity", "g")), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", "coarse", "g")), strict=True)
             for k, cls, n, bits, g in rows:
                 if k != key:
                     key, seen, pivots = k, 0, {}
@@ -316,24 +331,47 @@ def _linked(num: int, den: int):
     return run
 
 
-def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    one = pairs.join(sets.select(F.col("cls").alias("b"), F.col(column).alias("y"), F.col("n").alias("m")), "b")
-    return one.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("x"), "n"), "a").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("sizes"))
-
-
 def _few(ids: DataFrame) -> DataFrame:
     """Broadcast only if a count has shown the ids to be few; else they are joined by shuffle."""
     return F.broadcast(ids) if ids.count() <= ID_LIMIT else ids
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that link: parities, a small part of the sets' size, leave few pairs for which whole sets are moved."""
-    rows = pairs.count()
-    possible = cut(gathered(_met(pairs, sets, "parity"), rows, 5000).mapInArrow(_possible(num, den), "a long, b long"))
-    rows = possible.count()
-    wanted = cut(gathered(possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct(), 2 * rows))
-    some = sets.join(_few(wanted), "cls", "left_semi")
-    return cut(gathered(_met(possible, some, "tokens"), rows, 1000).mapInArrow(_linked(num, den), "a long, b long"))
+def _classes_of(pairs: DataFrame, rows: int) -> DataFrame:
+    return cut(gathered(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), 2 * rows))
+
+
+def _met(pairs: DataFrame, ids: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs with a column of both of their sets; ids: the pairs' classes. Sets of known few bytes are broadcast, others joined by shuffle."""
+    held = sets.join(_few(ids), "cls", "left_semi").select("cls", "n", column)
+    size = held.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
+    hint = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+    one = pairs.join(hint(held.select(F.col("cls").alias("b"), F.col(column).alias("y"), F.col("n").alias("m"))), "b")
+    return one.join(hint(held.select(F.col("cls").alias("a"), F.col(column).alias("x"), "n")), "a").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("sizes"))
+
+
+class _Sets:
+    """The sets of classes of equal documents: sketches of those that share a key, and tokens, made from the texts when they are asked for."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, alike: DataFrame, size: int, num: int, den: int):
+        self.rows, self.classes, self.size, self.num, self.den = rows, classes.select("cls", "first"), size, num, den
+        self.sketches = self._made(alike, _sketches, "cls long, n long, coarse binary, fine binary")
+
+    def _made(self, ids: DataFrame, make, schema: str) -> DataFrame:
+        wanted = cut(self.classes.join(_few(ids), "cls", "left_semi").select("first").distinct())
+        found = self.rows.join(_few(wanted), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
+        made = cut(found.mapInArrow(make(self.size), schema))
+        if made.groupBy("cls").count().where("count > 1").limit(1).count():
+            made = cut(made.dropDuplicates(["cls"]))  # rows that share an id
+        return made
+
+    def links(self, pairs: DataFrame, columns=("coarse", "fine")) -> DataFrame:
+        """Pairs that link. Sketches, a small part of the sets' size, leave few pairs for which whole sets are moved."""
+        for column in columns:
+            rows = pairs.count()
+            pairs = cut(gathered(_met(pairs, _classes_of(pairs, rows), self.sketches, column).mapInArrow(_possible(self.num, self.den), "a long, b long"), rows))
+        ids = _classes_of(pairs, pairs.count())
+        tokens = self._made(ids, _tokens, "cls long, n long, tokens binary")
+        return cut(_met(pairs, ids, tokens, "tokens").mapInArrow(_linked(self.num, self.den), "a long, b long"))
 
 
 def shared_buckets(index: DataFrame) -> DataFrame:
@@ -349,20 +387,14 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     """
     done = cut(shared.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
 
-    # Sets of the classes that share a key at all; ids are broadcast only if a count has shown them to be few.
-    alike = done.select(F.col("a").alias("cls")).union(done.select("b")).distinct()
-    wanted = cut(alike.join(classes, "cls").select("first").distinct())
-    found = rows.join(_few(wanted), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
-    sets = cut(found.mapInArrow(_sets(size), "cls long, n long, parity binary, tokens binary"))
-    if sets.groupBy("cls").count().where("count > 1").limit(1).count():
-        sets = cut(sets.dropDuplicates(["cls"]))  # rows that share an id
-
-    links = _links(done, sets, num, den)
+    alike = _classes_of(done, done.count())
+    sets = _Sets(rows, classes, alike, size, num, den)
+    links = sets.links(done)
     groups = grouped(links)
 
     def named(df: DataFrame, column: str, name: str) -> DataFrame:
         """df with the group of a class; a class without links is a group of its own."""
-        found = df.join(groups.select(F.col("id").alias(column), F.col("component").alias("c_")), column, "left")
+        found = df.join(_few(groups.select(F.col("id").alias(column), F.col("component").alias("c_"))), column, "left")
         return found.withColumn(name, F.coalesce("c_", column)).drop("c_")
 
     # Only buckets with a member outside their pivot's group go on, if they have pairs that were not compared.
@@ -380,11 +412,11 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
             break
         pairs = []
         for at in range(0, largest - 1, PIVOTS):
-            rest = live.where(F.col("members") > at + 1).join(sets.select("cls", "n", "parity"), "cls").select("key", "cls", "n", "parity", "g")
+            rest = live.where(F.col("members") > at + 1).join(sets.sketches.select("cls", "n", "coarse"), "cls").select("key", "cls", "n", "coarse", "g")
             ordered = rest.repartition("key").sortWithinPartitions("key", "cls")
             pairs.append(ordered.mapInArrow(_meet(num, den, at, every), "a long, b long"))
         fresh = cut(gathered(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"), live.count()))
-        more = _links(fresh, sets, num, den)
+        more = sets.links(fresh, ("fine",))
         done = done.union(fresh)
         linked = more.limit(1).count()
         if linked:
