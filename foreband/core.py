@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever storage it names."""
+    fs, at = _file_system(spark, path)
+    return bool(fs.exists(at))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A new folder in the shared one, removed in the end."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 _SHIPPED: set[str] = set()
 
 

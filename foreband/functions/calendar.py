@@ -77,3 +77,26 @@ def daylight_hours(day: Column, latitude: Column | float = GERMANY_LATITUDE) ->
     cos_hour = (altitude - F.sin(lat) * F.sin(decl)) / (F.cos(lat) * F.cos(decl))
     clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos_hour))
     return F.acos(clipped) * F.lit(24 / math.pi)
+
+
+def trading_days(spark: SparkSession, first, last, closed: DataFrame | None = None) -> DataFrame:
+    """The trading calendar of [first, last] as one row with the array `days`: Mondays to Fridays without the dates of `closed`."""
+    days = F.filter(F.sequence(F.lit(first), F.lit(last)), lambda d: F.weekday(d) < 5)
+    calendar = spark.range(1).select(days.alias("days"))
+    if closed is not None:
+        shut = closed.filter(F.col("date").between(F.lit(first), F.lit(last))).agg(F.collect_set("date").alias("_c"))
+        calendar = calendar.crossJoin(shut).select(F.array_except("days", "_c").alias("days"))
+    return calendar
+
+
+def trading_targets(calendar: DataFrame, origins: list, steps: int) -> DataFrame:
+    """The next trading days after each origin by their position in the calendar: origin, step (from 1), date, horizon (calendar days)."""
+    seen = F.size(F.filter("days", lambda d: d <= F.col("origin")))
+    each = calendar.select("days", F.explode(F.array(*[F.lit(o) for o in origins])).alias("origin"))
+    ahead = each.select("origin", F.posexplode(F.slice("days", seen + 1, F.lit(steps))).alias("_i", "date"))
+    return ahead.select("origin", (F.col("_i") + 1).alias("step"), "date", F.datediff("date", "origin").alias("horizon"))
+
+
+def on_trading_days(df: DataFrame, calendar: DataFrame, day: str = "date") -> DataFrame:
+    """Rows whose day is in the calendar."""
+    return df.join(broadcast_if_small(calendar.select(F.explode("days").alias(day))), day, "left_semi")

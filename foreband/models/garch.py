@@ -65,7 +65,7 @@ def log_likelihoods(e: np.ndarray, sigma2: np.ndarray, nu: np.ndarray | None) ->
     sq = (e * e)[:, None] / sigma2
     if nu is None:
         return -0.5 * (np.log(2 * np.pi * sigma2) + sq)
-    const = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2)) for v in nu])
+    const = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2)) for v in nu], dtype=float)
     return const - 0.5 * np.log(sigma2) - (nu + 1) / 2 * np.log1p(sq / (nu - 2))
 
 
@@ -78,7 +78,7 @@ def nested_best(orders: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def search_orders(
-    residuals: DataFrame, keys: list[str], max_p: int, max_q: int, innovations: str = "t", limit: int = 120
+    residuals: DataFrame, keys: list[str], max_p: int, max_q: int, innovations: str = "t", limit: int = 100
 ) -> DataFrame:
     """Every GARCH order with its likelihood, AIC, BIC and parameters: keys, garch_p, garch_q, loglik, aic, bic, converged, rounds, `g`.
 
@@ -93,7 +93,6 @@ def search_orders(
     used = layout(orders)
     used[:, 1] &= student
     climber = R.Climber(used)
-    each = np.repeat(used, climber.n + 1, axis=0)
 
     def moments(block, p):
         e = np.asarray(block["e"])[block["lead"] :]
@@ -104,15 +103,17 @@ def search_orders(
         return np.concatenate([[s[0], var], climber.at(first_guess(orders, var))])
 
     def inputs(block, p):
-        omega, _, alpha, beta = decode(climber.candidates(p[2:]), each)
+        points, which = climber.candidates(p[2:])
+        omega, _, alpha, beta = decode(points, used[which])
         return beta, variance_inputs(np.asarray(block["e"]), block["lead"], omega, alpha, p[1])
 
     def initial(p):
-        return np.full((len(each), A.MAX_ORDER), p[1])
+        return np.full((len(climber.candidates(p[2:])[1]), A.MAX_ORDER), p[1])
 
     def mapper(block, p, sigma2):
-        nu = decode(climber.candidates(p[2:]), each)[1]
-        return climber.scores(log_likelihoods(np.asarray(block["e"])[block["lead"] :], sigma2, nu if student else None))
+        points, which = climber.candidates(p[2:])
+        nu = decode(points, used[which])[1]
+        return climber.scores(p[2:], log_likelihoods(np.asarray(block["e"])[block["lead"] :], sigma2, nu if student else None))
 
     def reducer(p, s):
         return np.concatenate([p[:2], climber.update(p[2:], s)])

@@ -207,7 +207,7 @@ class Climber:
 
     H = 1e-5
 
-    def __init__(self, used: np.ndarray, tol: float = 1e-5):
+    def __init__(self, used: np.ndarray, tol: float = 1e-4):
         self.used, self.tol = used, tol
         self.m, self.n = used.shape
         self.size = 2 * self.n + 4 + self.n + self.n**2
@@ -225,16 +225,23 @@ class Climber:
         v["centre"][:], v["trial"][:], v["best"][:], v["damp"][:] = points, points, -np.inf, 1e-2
         return p
 
-    def candidates(self, p: np.ndarray) -> np.ndarray:
-        """(m * (n + 1), n): each trial and its neighbours."""
-        return (self.view(p)["trial"][:, None, :] + self.moves).reshape(-1, self.n)
-
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        """Sums of one block from its log-likelihoods (rows, m * (n + 1))."""
-        v = values.reshape(len(values), self.m, self.n + 1)
-        s = np.where(self.used, (v[:, :, 1:] - v[:, :, :1]) / self.H, 0.0)
-        outer = np.einsum("tmi,tmj->mij", s, s)
-        return np.concatenate([v[:, :, 0].sum(axis=0)[:, None], s.sum(axis=0), outer.reshape(self.m, -1)], axis=1).ravel()
+    def open(self, p: np.ndarray) -> np.ndarray:
+        """The problems that are not done."""
+        return np.flatnonzero(self.view(p)["done"] == 0)
+
+    def candidates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(open problems * (n + 1), n): each trial and its neighbours; and the problem of each."""
+        at = self.open(p)
+        return (self.view(p)["trial"][at, None, :] + self.moves).reshape(-1, self.n), np.repeat(at, self.n + 1)
+
+    def scores(self, p: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of one block from its log-likelihoods (rows, candidates)."""
+        at = self.open(p)
+        v = values.reshape(len(values), len(at), self.n + 1)
+        s = np.where(self.used[at], (v[:, :, 1:] - v[:, :, :1]) / self.H, 0.0).transpose(1, 0, 2)
+        out = np.zeros((self.m, 1 + self.n + self.n**2))
+        out[at] = np.concatenate([v[:, :, 0].sum(axis=0)[:, None], s.sum(axis=1), (s.transpose(0, 2, 1) @ s).reshape(len(at), self.n**2)], axis=1)
+        return out.ravel()
 
     def update(self, p: np.ndarray, sums: np.ndarray) -> np.ndarray:
         p = p.copy()

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from foreband.core import ship
+from foreband.functions.calendar import EASTER_OFFSETS, FIXED_HOLIDAYS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,7 +111,7 @@ price_origins AS (SELECT CAST(d AS DATE) AS origin
                                CAST(max(o_orderdate) AS DATE) - INTERVAL 7 DAY, INTERVAL 1 DAY)) AS d FROM orders)
                   WHERE isodow(d) = 3)"""
 
-HOLIDAYS = """
+HOLIDAYS = f"""
 years AS (SELECT unnest(generate_series(CAST(year(min(o_orderdate)) AS INTEGER), CAST(year(max(o_orderdate)) AS INTEGER) + 1)) AS y
           FROM orders),
 e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
@@ -118,10 +119,9 @@ e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
 e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2),
 e4 AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM e3),
 easter AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS e FROM e4),
-holidays AS (SELECT CAST(e + k AS DATE) AS date FROM easter, (SELECT unnest([-2, 1, 39, 50, 60]) AS k)
+holidays AS (SELECT CAST(e + k AS DATE) AS date FROM easter, (VALUES {", ".join(f"({k})" for k in EASTER_OFFSETS)}) AS o(k)
              UNION ALL
-             SELECT make_date(y, md // 100, md % 100)
-             FROM easter, (SELECT unnest([101, 106, 501, 1003, 1031, 1101, 1224, 1225, 1226]) AS md))"""
+             SELECT make_date(y, m, d) FROM easter, (VALUES {", ".join(f"({m}, {d})" for m, d in FIXED_HOLIDAYS)}) AS f(m, d))"""
 
 WEEKDAY_NAMES = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
 MONTH_NAMES = (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreband import LEVELS
 from foreband.core import broadcast_if_small
-from foreband.functions.calendar import holidays
+from foreband.functions.calendar import holidays, on_trading_days, trading_days, trading_targets
 from foreband.models import arma as A
 from foreband.models import garch as G
 from foreband.models import linear as L
@@ -44,13 +46,21 @@ def volatility(
     return residuals, P.run(best_by(found, keys, "bic", ties=("garch_p", "garch_q")))
 
 
+def price_calendar(spark: SparkSession, prices: DataFrame) -> DataFrame:
+    """Trading days from the first price to two weeks after the last."""
+    first, last = time_bounds(prices, "date")
+    last += dt.timedelta(days=14)
+    return P.cut(trading_days(spark, first, last, holidays(spark, first.year, last.year)))
+
+
 def future_days(prices: DataFrame, origins: list, n: int = 5) -> DataFrame:
-    """The next n rows' dates after each origin by calendar: series_id, origin, step, date."""
-    known = F.array(*[F.lit(o) for o in origins])
-    days = prices.select("series_id").distinct().select("series_id", F.explode(known).alias("origin"))
-    return days.select(
-        "series_id", "origin", F.posexplode(F.sequence(F.date_add("origin", 1), F.date_add("origin", n))).alias("_i", "date")
-    ).select("series_id", "origin", (F.col("_i") + 1).alias("step"), "date")
+    """The next n trading days after each origin: origin, step, date, horizon in calendar days."""
+    return F.broadcast(trading_targets(price_calendar(prices.sparkSession, prices), origins, n))
+
+
+def traded(prices: DataFrame) -> DataFrame:
+    """Prices of trading days."""
+    return on_trading_days(prices, price_calendar(prices.sparkSession, prices))
 
 
 def with_actual_returns(cases: DataFrame, returns: DataFrame, origins: list) -> DataFrame:
@@ -63,13 +73,14 @@ def arma_garch_forecasts(
     prices: DataFrame, origins: list, levels=LEVELS, max_p: int = 1, max_q: int = 1, standardized: bool = False
 ) -> DataFrame:
     """Long forecasts: model, series_id, origin, date, horizon, tau, y, q."""
+    prices = P.cut(traded(prices))
     returns = P.cut(returns_of(prices))
     blocks = A.return_blocks(returns, SERIES, STEPS, origins)
     residuals, fits = volatility(blocks, KEYS, chosen_orders(blocks, KEYS), max_p, max_q)
     steps = G.diagonal(G.forecast(residuals, fits, KEYS, max(STEPS)))
-    cases = G.quantile_forecasts(steps, levels, standardized).join(future_days(prices, origins), ["series_id", "origin", "step"])
+    cases = G.quantile_forecasts(steps, levels, standardized).join(future_days(prices, origins), ["origin", "step"])
     rows = with_actual_returns(cases, returns, origins).select(
-        F.lit("arma_garch").alias("model"), "series_id", "origin", "date", F.col("step").alias("horizon"), "y", "q"
+        F.lit("arma_garch").alias("model"), "series_id", "origin", "date", "horizon", "y", "q"
     )
     return explode_levels(rows, "q", levels)
 
@@ -77,14 +88,15 @@ def arma_garch_forecasts(
 def volatility_frame(prices: DataFrame, origins: list) -> DataFrame:
     """Fitted mean and deviation of the fixed (1,1)-(1,1) model: history, then the forecast steps.
 
-    Columns series_id, h, origin, date, step (null in history), fitted, sigma.
+    Columns series_id, h, origin, date, step and horizon (null in history), fitted, sigma.
     """
+    prices = P.cut(traded(prices))
     blocks = A.return_blocks(returns_of(prices), SERIES, STEPS, origins)
     residuals, fits = volatility(blocks, KEYS, fixed_orders(blocks, KEYS), 1, 1, "normal")
     past = G.paths(residuals, fits, KEYS).select(*KEYS, "date", "fitted", "sigma")
-    ahead = G.forecast(residuals, fits, KEYS, max(STEPS)).join(future_days(prices, origins), ["series_id", "origin", "step"])
+    ahead = G.forecast(residuals, fits, KEYS, max(STEPS)).join(future_days(prices, origins), ["origin", "step"])
     return past.unionByName(
-        ahead.select(*KEYS, "date", "step", F.col("mean").alias("fitted"), "sigma"), allowMissingColumns=True
+        ahead.select(*KEYS, "date", "step", "horizon", F.col("mean").alias("fitted"), "sigma"), allowMissingColumns=True
     )
 
 
@@ -92,6 +104,7 @@ def regression_forecasts(
     spark: SparkSession, prices: DataFrame, origins: list, levels=LEVELS, rounds: int = 20
 ) -> DataFrame:
     """h-step return on its squared-return lag, weekday, holiday and volatility, for every h and origin."""
+    prices = P.cut(traded(prices))
     returns = P.cut(returns_of(prices))
     first, last = time_bounds(prices, "date")
     lagged = with_squared_lags(returns, SERIES)
@@ -117,6 +130,6 @@ def regression_forecasts(
     coefs = L.quantile_regression(blocks, KEYS, len(columns), levels, rounds)
     ahead = frame.filter("step = h").drop("ret")
     cases = with_actual_returns(L.predict_levels(ahead, coefs, KEYS, columns, levels), returns, origins).select(
-        F.lit("quantile_regression").alias("model"), "series_id", "origin", "date", F.col("step").alias("horizon"), "y", "q"
+        F.lit("quantile_regression").alias("model"), "series_id", "origin", "date", "horizon", "y", "q"
     )
     return explode_levels(cases, "q", levels)

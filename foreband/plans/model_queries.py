@@ -213,12 +213,12 @@ def f3(spark, root):
 
 @query("f12_volatility_frame")
 def f12(spark, root):
-    return I.volatility_frame(daily_prices(spark, root), price_origins(spark, root)[-1:])
+    return I.volatility_frame(daily_prices(spark, root), price_origins(spark, root))
 
 
 @query("f1_index_regression_forecasts")
 def f1_index(spark, root):
-    return I.regression_forecasts(spark, daily_prices(spark, root), price_origins(spark, root)[-4:])
+    return I.regression_forecasts(spark, daily_prices(spark, root), price_origins(spark, root))
 
 
 # ---- trend
@@ -316,8 +316,8 @@ def f19(spark, root):
 
 @query("f20_index_backtest")
 def f20_index(spark, root):
-    """Scores of both price models by horizon over the last four origins, for days that have a price."""
-    prices, origins = P.cut(daily_prices(spark, root)), price_origins(spark, root)[-4:]
+    """Scores of both price models by horizon over all origins, for days that have a price."""
+    prices, origins = P.cut(daily_prices(spark, root)), price_origins(spark, root)
     forecasts = I.arma_garch_forecasts(prices, origins).unionByName(I.regression_forecasts(spark, prices, origins))
     cases = E.wide_scores(E.score(forecasts.filter("y IS NOT NULL")), ["model", "series_id", "origin", "date", "horizon"])
     return E.means_with_overall(cases, ["model"], "horizon", E.score_columns())

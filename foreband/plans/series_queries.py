@@ -15,6 +15,7 @@ from foreband.operators import timegrid as G
 from foreband.plans import catalog as C
 from foreband.plans.baseline import load_origins, weekly_origins
 from foreband.plans.catalog import query, with_
+from foreband.plans.index_forecast import future_days
 from foreband.sources.series import daily_prices, daily_volumes, hourly_load, raw_load, table
 
 SERIES = ["series_id"]
@@ -213,6 +214,23 @@ def d8(spark, root):
     return days.select("series_id", "origin", "date", "step", label.alias("horizon"))
 
 
+@query(
+    "d8_trading_targets",
+    with_(C.PRICES, C.PRICE_ORIGINS, C.HOLIDAYS)
+    + """, days AS (SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP + INTERVAL 14 DAY, INTERVAL 1 DAY)) AS d FROM px)
+          WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN (SELECT date FROM holidays)),
+ahead AS (SELECT origin, date, row_number() OVER (PARTITION BY origin ORDER BY date) AS step FROM price_origins JOIN days ON date > origin AND date <= origin + 21)
+SELECT a.origin, CAST(a.step AS INTEGER) AS step, a.date, CAST(a.date - a.origin AS INTEGER) AS horizon, count(p.price) AS n_prices
+FROM ahead a LEFT JOIN px p ON p.date = a.date WHERE step <= 5 GROUP BY 1, 2, 3, 4""",
+)
+def d8_targets(spark, root):
+    """The five trading days after every origin, 1, 2, 5, 6 and 7 days ahead unless holidays fall between, and the prices they have."""
+    prices = daily_prices(spark, root)
+    per_day = prices.groupBy("date").agg(F.count("price").alias("_n"))
+    targets = future_days(prices, price_origins(spark, root))
+    return targets.join(per_day, "date", "left").select("origin", "step", "date", "horizon", F.coalesce("_n", F.lit(0)).alias("n_prices"))
+
+
 @query(
     "d10_holidays",
     with_(C.HOLIDAYS)

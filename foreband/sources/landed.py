@@ -73,9 +73,9 @@ def read_actuals(spark: SparkSession, path: str, times: DataFrame) -> DataFrame:
 
 
 def read_weekly(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All weekly CSV files of a glob in one read, with the week taken from the file name."""
+    """All weekly CSV files of a glob in one read, with the week taken from the name of the file (`..._week3.csv`) or of its folder (`week=3`)."""
     rows = spark.read.csv(pattern, header=True, schema=schema)
-    week = F.regexp_extract(F.col("_metadata.file_path"), r"week(\d+)\.csv$", 1).cast("int")
+    week = F.regexp_extract(F.col("_metadata.file_path"), r"week=?(\d+)(?:\.csv$|/)", 1).cast("int")
     return rows.withColumn("week", week)
 
 

@@ -159,6 +159,15 @@ def test_volatility_fits_are_at_their_maximum(second_order):
             assert loglik(*[v * (f if j == i else 1) for j, v in enumerate(at)]) < best + 1e-3
 
 
+def test_volatility_parameters_in_a_frame_agree_with_those_on_the_driver(second_order, monkeypatch):
+    residuals, keys = second_order
+    order = [*keys, "garch_p"]
+    want = G.search_orders(residuals, keys, 2, 1).orderBy(*order).toPandas()
+    monkeypatch.setattr(P, "FEW_MODELS", 0)
+    got = G.search_orders(residuals, keys, 2, 1).orderBy(*order).toPandas()
+    assert got.converged.all() and got.loglik.to_numpy() == pytest.approx(want.loglik.to_numpy(), abs=1e-5)
+
+
 @pytest.mark.parametrize("fan", [2, 3, 32])
 def test_starts_go_down_a_tree_of_any_width(spark, monkeypatch, fan):
     """Starting values of every block, against one run over the whole series."""

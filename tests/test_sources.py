@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from foreband.functions.calendar import holidays
-from foreband.sources import landed, sinks
+from foreband.sources import landed, published, sinks
 
 
 def test_decimal_comma_file(spark, tmp_path):
@@ -53,3 +53,27 @@ def test_forecasts_survive_writing(spark, tmp_path):
     back = landed.read_forecasts(spark, str(tmp_path / "fc"))
     assert sorted(back.select(*df.columns).collect()) == sorted(df.collect())
     assert back.filter(F.col("origin") == dt.date(2024, 1, 10)).count() == 1
+
+
+def test_published_weeks_replace_each_other_and_hide_unfinished_runs(spark, tmp_path):
+    schema = "model string, origin date, q double"
+    path, days = str(tmp_path / "p"), [dt.date(2024, 1, 3), dt.date(2024, 1, 10)]
+    assert published.read_published(spark, path, schema).collect() == []
+    published.publish(spark.createDataFrame([("m", d, 1.0) for d in days] + [("n", days[0], 5.0)], schema), path)
+    published.publish(spark.createDataFrame([("m", days[1], 2.0)], schema), path)
+    rows = lambda: sorted((r.model, r.origin, r.q) for r in published.read_published(spark, path, schema).collect())
+    want = [("m", days[0], 1.0), ("m", days[1], 2.0), ("n", days[0], 5.0)]
+    assert rows() == want and published.prune(spark, path) == 0
+    # A run whose data are there but whose manifest row isn't.
+    spark.createDataFrame([("m", days[0], 9.0)], schema).write.partitionBy("model", "origin").parquet(f"{path}/data/run=lost")
+    assert rows() == want
+    published.publish(spark.createDataFrame([("m", d, 3.0) for d in days] + [("n", days[0], 3.0)], schema), path)
+    assert {q for _, _, q in rows()} == {3.0} and published.prune(spark, path) == 2 and len(rows()) == 3
+
+
+def test_weekly_files_by_name_and_by_folder(spark, tmp_path):
+    (tmp_path / "r_week12.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "week=3").mkdir()
+    (tmp_path / "week=3" / "part-0.csv").write_text("a,b\n2,y\n")
+    read = lambda p: [tuple(r) for r in landed.read_weekly(spark, str(tmp_path / p), "a int, b string").select("week", "a").collect()]
+    assert read("r_week*.csv") == [(12, 1)] and read("week=*") == [(3, 2)]
