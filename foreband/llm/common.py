@@ -38,15 +38,17 @@ def grouped(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every label move is a combining aggregate; nothing but a count of changes reaches the driver.
     """
     rows = 2 * links.count()
+    # A label takes 16 bytes; there are at most as many as link ends.
+    hint = F.broadcast if rows <= ID_LIMIT else (lambda df: df)
     both = links.select(F.col(a).alias("id"), F.col(b).alias("to")).union(links.select(F.col(b), F.col(a))).where("id != to")
     both = cut(gathered(gathered(both, rows).distinct(), rows))
     labels = cut(gathered(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), rows))
     while True:
         near = (
-            both.join(labels.select(F.col("id").alias("to"), F.col("component").alias("m")), "to").groupBy("id").agg(F.min("m").alias("m"))
+            both.join(hint(labels.select(F.col("id").alias("to"), F.col("component").alias("m"))), "to").groupBy("id").agg(F.min("m").alias("m"))
         )
-        moved = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        jumped = moved.join(labels.select(F.col("id").alias("mid"), F.col("component").alias("far")), "mid")
+        moved = near.join(hint(labels), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
+        jumped = moved.join(hint(labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))), "mid")
         jumped = cut(gathered(jumped.select("id", "old", F.least("mid", "far").alias("component")), rows))
         changed = jumped.where("old != component").limit(1).count()
         labels = jumped.select("id", "component")

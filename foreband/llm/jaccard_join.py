@@ -260,58 +260,99 @@ def _possible(num: int, den: int):
     return run
 
 
+def _near(bits: np.ndarray, n: int, g: int, held: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pivots (classes, groups, sizes, table of parities) those of other groups that may link, and the least difference of each as a share."""
+    classes, groups, sizes, table = held
+    one, many = bits, table[: len(classes)]
+    while len(one) > many.shape[1]:
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while many.shape[1] > len(one):
+        many = many[:, : many.shape[1] // 2] ^ many[:, many.shape[1] // 2 :]
+    apart = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
+    both = np.array(sizes) + n
+    found = np.flatnonzero(((den + num) * apart <= (den - num) * both) & (np.array(groups) != g))
+    return found, apart[found] / both[found]
+
+
+def _streamed(batches, column: str, skip: int):
+    """Rows (key, cls, n, parity, g) sorted by key and class, one at a time, with the bucket's pivots so far: of the members after the
+    first `skip`, PIVOTS at most, by width of their parities."""
+    key, seen, pivots = None, 0, {}
+    for b in batches:
+        for k, cls, n, bits, g in zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", column, "g")), strict=True):
+            if k != key:
+                key, seen, pivots = k, 0, {}
+            seen += 1
+            if seen <= skip:
+                continue
+            bits = np.frombuffer(bits, np.uint8)
+            yield k, cls, n, bits, g, pivots
+            if seen <= skip + PIVOTS:
+                held = pivots.setdefault(len(bits), ([], [], [], np.zeros((PIVOTS, len(bits)), np.uint8)))
+                held[3][len(held[0])] = bits
+                held[0].append(cls)
+                held[1].append(g)
+                held[2].append(n)
+
+
+def _batches_of(rows: Iterator[tuple[int, int]], names: list[str], size: int = 10_000):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names)
+
+
+def _promising(num: int, den: int, skip: int):
+    """Of the rows of a bucket those that their coarse parities let link with another group in it, each once: (key, cls)."""
+
+    def rows(batches):
+        given: set[int] = set()
+        last = None
+        for key, cls, n, bits, g, pivots in _streamed(batches, "coarse", skip):
+            if key != last:
+                given, last = set(), key
+            for held in pivots.values():
+                for i in _near(bits, n, g, held, num, den)[0]:
+                    for c in (held[0][i], cls):
+                        if c not in given:
+                            given.add(c)
+                            yield key, c
+
+    return lambda batches: _batches_of(rows(batches), ["key", "cls"])
+
+
 def _meet(num: int, den: int, skip: int, every: bool):
-    """Of rows (key, cls, n, coarse, g) sorted by key and class: pairs of different groups in one bucket that may link.
+    """Of rows sorted by key and class: pairs of different groups in one bucket that their fine parities let link.
 
     The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member's possible pairs
     only the likeliest is given out, so at most one per row, or with `every` each of them.
     """
 
-    def run(batches):
-        key, seen, pivots, given = None, 0, {}, set()
-        for b in batches:
-            found = set()
-            rows = zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", "coarse", "g")), strict=True)
-            for k, cls, n, bits, g in rows:
-                if k != key:
-                    key, seen, pivots = k, 0, {}
-                seen += 1
-                if seen <= skip:
-                    continue
-                bits = np.frombuffer(bits, np.uint8)
-                likely = (math.inf, None)
-                for classes, groups, sizes, table in pivots.values():
-                    one, many = bits, table[: len(classes)]
-                    while len(one) > many.shape[1]:
-                        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
-                    while many.shape[1] > len(one):
-                        many = many[:, : many.shape[1] // 2] ^ many[:, many.shape[1] // 2 :]
-                    apart = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
-                    both = np.array(sizes) + n
-                    possible = np.flatnonzero((den + num) * apart <= (den - num) * both)
-                    others = [i for i in possible if groups[i] != g]
-                    if every:
-                        found.update((classes[i], cls) for i in others)
-                    elif others:
-                        shares = apart[others] / both[others]
-                        best = int(shares.argmin())
-                        likely = min(likely, (shares[best], classes[others[best]]))
-                if likely[1] is not None:
-                    found.add((likely[1], cls))
-                if seen <= skip + PIVOTS:
-                    held = pivots.setdefault(len(bits), ([], [], [], np.zeros((PIVOTS, len(bits)), np.uint8)))
-                    held[3][len(held[0])] = bits
-                    held[0].append(cls)
-                    held[1].append(g)
-                    held[2].append(n)
-            found -= given
+    def pairs(batches):
+        given: set[tuple[int, int]] = set()
+        for _, cls, n, bits, g, pivots in _streamed(batches, "fine", skip):
+            met = []
+            for held in pivots.values():
+                found, share = _near(bits, n, g, held, num, den)
+                if every:
+                    met += [(held[0][i], cls) for i in found]
+                elif len(found):
+                    best = int(share.argmin())
+                    met.append((share[best], held[0][found[best]]))
+            if not every and met:
+                met = [(min(met)[1], cls)]
             if len(given) > REMEMBERED:
-                given = set()
-            given.update(found)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                given.clear()
+            for pair in met:
+                if pair not in given:
+                    given.add(pair)
+                    yield pair
 
-    return run
+    return lambda batches: _batches_of(pairs(batches), ["a", "b"])
 
 
 def _linked(num: int, den: int):
@@ -401,22 +442,33 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     apart = cut(named(named(done, "a", "ga"), "b", "gb").where("ga != gb").select(F.col("a").alias("pivot"), F.col("b").alias("cls")))
     keys = cut(shared.join(_few(apart), ["pivot", "cls"], "left_semi").select("key").distinct())
     live = cut(shared.join(_few(keys), "key", "left_semi").select("key", "cls"))
-    live = live.join(live.groupBy("key").count().where("count > 2").select("key"), "key")
+
+    def mixed(live: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several groups, with the group and the number of members."""
+        with_groups = named(live.select("key", "cls"), "cls", "g")
+        several = with_groups.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members")).where("low != high")
+        return cut(with_groups.join(several.select("key", "members"), "key").select("key", "cls", "g", "members"))
+
+    def streamed(live: DataFrame, column: str, make, schema: str) -> DataFrame:
+        """Every slice of pivots over all buckets that are longer than its start."""
+        largest, found = live.agg(F.max("members")).first()[0] or 0, []
+        for at in range(0, max(1, largest - 1), PIVOTS):
+            rest = live.where(F.col("members") > at + 1).join(sets.sketches.select("cls", "n", column), "cls").select("key", "cls", "n", column, "g")
+            found.append(rest.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(make(at), schema))
+        return reduce(DataFrame.union, found).distinct()
+
+    # Most members of a bucket share a passage and little else: one pass over coarse parities leaves those that may link at all.
+    live = mixed(live.join(live.groupBy("key").count().where("count > 2").select("key"), "key"))
+    live = cut(streamed(live, "coarse", lambda at: _promising(num, den, at), "key long, cls long"))
     every = False
     while True:
-        grouped_ = named(live.select("key", "cls"), "cls", "g")
-        mixed = grouped_.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members")).where("low != high")
-        live = cut(grouped_.join(mixed.select("key", "members"), "key").select("key", "cls", "g", "members"))
-        largest = live.agg(F.max("members")).first()[0]
-        if not largest:
+        live = mixed(live)
+        rows_left = live.count()
+        if not rows_left:
             break
-        pairs = []
-        for at in range(0, largest - 1, PIVOTS):
-            rest = live.where(F.col("members") > at + 1).join(sets.sketches.select("cls", "n", "coarse"), "cls").select("key", "cls", "n", "coarse", "g")
-            ordered = rest.repartition("key").sortWithinPartitions("key", "cls")
-            pairs.append(ordered.mapInArrow(_meet(num, den, at, every), "a long, b long"))
-        fresh = cut(gathered(reduce(DataFrame.union, pairs).distinct().join(done, ["a", "b"], "left_anti"), live.count()))
-        more = sets.links(fresh, ("fine",))
+        fresh = streamed(live, "fine", lambda at: _meet(num, den, at, every), "a long, b long")
+        fresh = cut(gathered(fresh.join(done, ["a", "b"], "left_anti"), rows_left))
+        more = sets.links(fresh, ())
         done = done.union(fresh)
         linked = more.limit(1).count()
         if linked:
@@ -425,7 +477,7 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         elif every:
             break
         # The likeliest pair of each row comes first; all pairs, which must link nothing new in the end, when those have become few.
-        every = not linked or FEW_LEFT * fresh.count() <= live.count()
+        every = not linked or FEW_LEFT * fresh.count() <= rows_left
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     lowest = member.groupBy("g").agg(F.min("first").alias("lowest"))
