@@ -33,8 +33,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+# Runs are possessive: none is read twice from one start.
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]++")
+PEM_HEAD = re.compile(r"-----BEGIN ((?:[A-Z]++ )*?PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "api_key": "assign", "apikey": "assign", "AKIA": "access",
@@ -72,21 +75,34 @@ def _automaton():
     return found
 
 
+def _pem(text: str, start: int) -> tuple[int, bool] | None:
+    """A private key block: head, white space, base64 up to the next dashes, and the matching end."""
+    head = PEM_HEAD.match(text, start)
+    if not head:
+        return None
+    body = PEM_BODY.match(text, head.end())
+    end = f"-----END {head[1]}-----"
+    if not body[0][:1].isspace() or not text.startswith(end, body.end()):
+        return body.end(), False  # no later block can begin within what was read
+    size = len("".join(body[0].split()))
+    return body.end() + len(end), size >= 64 and size % 4 == 0
+
+
 def _at(kind: str, text: str, start: int) -> tuple[int, bool] | None:
-    """End of the pattern's match anchored at a hit, and whether it is a secret."""
-    pattern = {"assign": ASSIGN, "access": ACCESS, "jwt": JWT, "pem": PEM}.get(kind, CHECKED)
+    """End of what the kind's pattern has read, anchored at a hit, and whether it is a secret. A failed token or key block also says
+    how far it was read, as no other can begin there; so a text is read a bounded number of times."""
+    if kind == "pem":
+        return _pem(text, start)
+    pattern = {"assign": ASSIGN, "access": ACCESS, "jwt": JWT}.get(kind, CHECKED)
     m = pattern.match(text, start)
     if not m:
-        return None
+        return (JWT_RUN.match(text, start).end(), False) if kind == "jwt" else None
     if kind == "assign":
         good = len(m[2]) >= ASSIGN_LEAST
     elif kind == "access":
         good = m.end() - start >= ACCESS_LEAST
     elif kind == "jwt":
         good = "alg" in (_decoded(m[1]) or {}) and _decoded(m[2]) is not None
-    elif kind == "pem":
-        body = "".join(m[2].split())
-        good = len(body) >= 64 and len(body) % 4 == 0
     else:
         good = base62_crc(m[1][:30]) == m[1][30:]
     return m.end(), good
