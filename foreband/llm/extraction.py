@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from foreband.llm.common import prepare
 
 KINDS = {
-    "html": "root", "body": "root", "head": "head", "title": "head", "nav": "nav", "menu": "nav", "aside": "aside", "header": "header", "footer": "footer",
+    "html": "root", "body": "body", "head": "head", "title": "head", "nav": "nav", "menu": "nav", "aside": "aside", "header": "header", "footer": "footer",
     "form": "form", "button": "form", "select": "form", "option": "form", "label": "form", "fieldset": "form", "dialog": "form", "article": "article", "main": "article",
     "section": "box", "div": "box", "p": "text", "pre": "text", "blockquote": "text", "figure": "text", "figcaption": "text", "address": "text", "details": "text", "summary": "text",
     "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list",
@@ -34,17 +35,24 @@ FOREIGN = {"svg", "math"}
 # An opening tag ends an open element of these, up to one of those.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PARAGRAPH_STOP = {"button", "table", "td", "th", "caption", "article", "section", "div", "body", "html", "li", "blockquote"}
-HINTS = (
-    ("comment", re.compile(r"comment|repl(y|ies)|discuss|disqus|respond")),
-    ("advert", re.compile(r"(^|[-_ ])ads?($|[-_ \d])|advert|promo|sponsor|banner|teaser|outbrain|taboola")),
-    ("notice", re.compile(r"cookie|consent|gdpr|notice|alert|popup|modal|newsletter|subscri|signup|paywall")),
-    ("menu", re.compile(r"nav|menu|breadcrumb|pagination|pager|toc|tabs|skip")),
-    ("side", re.compile(r"side|widget|related|recommend|popular|trending|more-|tags?($|[-_ ])|author-bio")),
-    ("frame", re.compile(r"foot|head(er)?($|[-_ ])|masthead|copyright|logo|brand")),
-    ("tool", re.compile(r"share|social|login|search|form|print|toolbar|rating|follow")),
-    ("content", re.compile(r"content|article|post|entry|story|main|body|text")),
+# Whole words of class, id and role; the first group that has one of an element's words counts.
+HINTS = {
+    "comment": "comment comments commentlist reply replies discuss discussion discussions disqus respond",
+    "advert": "ad ads adv advert adverts advertisement advertisements advertising promo promos promotion sponsor sponsored sponsors banner banners teaser teasers outbrain taboola",
+    "notice": "cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe subscription signup paywall",
+    "menu": "nav navbar navigation navigations menu menus menubar submenu breadcrumb breadcrumbs pagination pager toc tabs skip skiplink",
+    "side": "sidebar widget widgets related recommend recommended recommendations recommendation popular trending tag tags tagcloud bio",
+    "frame": "foot footer footers head header headers subheader masthead copyright logo brand branding",
+    "tool": "share sharing social login search searchbox searchform form print toolbar rating follow",
+    "content": "content contents article articles post posts entry story main body text prose",
+}
+HINT_OF = {word: name for name, words in HINTS.items() for word in words.split()}
+HINT_ORDER = {name: i for i, name in enumerate(HINTS)}
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# Quotes count after an equals sign only, so that an apostrophe elsewhere in a tag ends nothing. Every repetition is possessive: a byte is read once.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.DOTALL
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -75,18 +83,33 @@ class Page:
 def parse(source: str) -> Page:
     """Elements and texts of a page, however broken. Raw elements (scripts, styles, text areas, inner frames) hold nothing."""
     page = Page([Node("html", -1, "")])
-    stack, at, n = [0], 0, len(source)
+    stack, at, n, body = [0], 0, len(source), 0
+    # How many elements of each tag are open, so that a search through them starts only if it finds one.
+    opened: Counter[str] = Counter()
+
+    def into_body() -> None:
+        """What stands outside head and body belongs to the body, which need not be marked."""
+        nonlocal body
+        if not body:
+            body = len(page.nodes)
+            page.nodes.append(Node("body", 0, ""))
+        stack.append(body)
 
     def text(raw: str) -> None:
+        if len(stack) == 1 and not raw.isspace() and raw:
+            into_body()
         if raw:
             page.parts.append((stack[-1], html.unescape(raw)))
 
     def close(depth: int) -> None:
         if any(page.nodes[i].tag in BLOCKS for i in stack[depth:]):
             page.parts.append(None)
+        opened.subtract(page.nodes[i].tag for i in stack[depth:])
         del stack[depth:]
 
     def close_open(tags: set[str], stop: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = page.nodes[stack[depth]].tag
             if tag in tags:
@@ -105,7 +128,7 @@ def parse(source: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if page.nodes[stack[depth]].tag == tag:
                     close(depth)
                     break
@@ -121,11 +144,14 @@ def parse(source: str) -> Page:
         elif tag in VOID:
             if tag == "hr":
                 page.parts.append(None)
-        elif tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in page.nodes)):
+        elif tag in ("html", "body") and (tag == "html" or body):
             continue
         else:
             if tag == "body":
+                body = len(page.nodes)
                 close(1)
+            elif len(stack) == 1 and tag not in ("head", "title"):
+                into_body()
             if tag in BLOCKS:
                 close_open({"p"}, PARAGRAPH_STOP)
                 page.parts.append(None)
@@ -134,6 +160,7 @@ def parse(source: str) -> Page:
             foreign = tag in FOREIGN or page.nodes[stack[-1]].foreign
             page.nodes.append(Node(tag, stack[-1], m[3], embedded=foreign or tag in EMBEDDED, foreign=foreign))
             stack.append(len(page.nodes) - 1)
+            opened[tag] += 1
     text(source[at:])
     return page
 
@@ -159,14 +186,15 @@ def looks(x: Node) -> tuple[str, ...]:
     hint = "none"
     if x.attributes:
         named = [(k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(x.attributes)]
-        words = " ".join(v for k, v in named if k in ("class", "id", "role", "aria-label", "itemprop")).lower()
-        hint = next((name for name, pattern in HINTS if words and pattern.search(words)), "none")
+        names = " ".join(v for k, v in named if k in ("class", "id", "role", "aria-label", "itemprop"))
+        hints = {HINT_OF[w] for w in map(str.lower, NAME_WORDS.findall(names)) if w in HINT_OF}
+        hint = min(hints, key=HINT_ORDER.get, default="none")
         if any(k in ("hidden", "aria-hidden") and v != "false" for k, v in named):
             hint = "notice"
     share = x.linked / x.chars if x.chars else -1
     density = "void" if share < 0 else "free" if share == 0 else "some" if share < 0.35 else "many" if share < 0.7 else "all"
     length = next((str(c) for c in (0, 20, 80, 300) if x.chars <= c), "long")
-    return kind, f"kind {kind}", f"hint {hint}", f"links {density}", f"length {length}"
+    return kind, f"hint {hint}", f"{kind} links {density}", f"{kind} length {length}"
 
 
 @dataclass
@@ -256,7 +284,7 @@ def extract(source: str | None, model: Model) -> str:
     return "\n".join(blocks)
 
 
-def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(count: int = 500, seed: int = 5) -> list[str]:
     """Labelled pages drawn from a grammar of common page layouts; stand in where no hand-labelled ones are given."""
     r = random.Random(seed)
     syllables = "ba be da do ga in ka lo ma ne or pa ri sa te un va zo".split()
@@ -313,6 +341,8 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
                 f"<pre>{words(2, 30)}</pre>",
                 f"<div>{words(5, 80)}</div>",
                 f"<dl><dt>{words(1, 3)}</dt><dd>{words(2, 12)}</dd></dl>",
+                f"<div {named('section', 'row', 'information', 'part', 'col', 'block-a', 'inner')}><p>{words(3, 60)}</p><p>{words(3, 60)}</p></div>",
+                f"<table><tr><th>{words(1, 2)}</th><th>{words(1, 2)}</th></tr>{''.join(f'<tr><td>{words(1, 9)}</td><td>{words(1, 3)}</td></tr>' for _ in range(r.randint(1, 5)))}</table>",
             ]
         )
 
@@ -331,24 +361,42 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
             ]
         )
 
+    def wrapped(main: str) -> str:
+        """The content within further elements that say little."""
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2, 4])):
+            name = r.choice(["", named("wrap", "container", "page", "row", "outer", "site", "layout", "col-8")])
+            main = r.choice([f"<div {name}>{main}</div>", f"<main>{main}</main>", f"<section {name}>{main}</section>", f"<div>{main}</div>"])
+        return main
+
     pages = []
     for _ in range(count):
-        body = [f"<h1>{words(1, 12)}</h1>"] * (r.random() < 0.85) + [inside() for _ in range(r.randint(1, 12))]
+        # An article's own header holds its headline and belongs to it.
+        title = f"<h1>{words(1, 12)}</h1>"
+        title = r.choice([title, title, title, f"<header>{title}</header>", f"<header>{title}<p>{words(2, 20)}</p></header>"])
+        body = [title] * (r.random() < 0.85) + [inside() for _ in range(r.randint(1, 12))]
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             body.insert(r.randint(0, len(body)), apart())
-        tag = r.choice(["article", "article", "article", "main", "div"])
-        name = named("content", "post", "entry-content", "article-body", "story") if tag == "div" else r.choice(["", named("post", "content", "entry")])
-        main = f"<{tag} x-main {name}>{''.join(body)}</{tag}>"
-        if r.random() < 0.2:
-            main = f"<main><div {named('wrap', 'container', 'page', 'row')}>{main}</div></main>"
         before, after = [outside() for _ in range(r.randint(0, 4))], [outside() for _ in range(r.randint(0, 4))]
+        kind, attributes = r.random(), ""
+        if kind < 0.2:
+            # Straight under body, or as bare text between what surrounds it.
+            attributes = "x-main"
+            main = f"{words(20, 200)}<br>{words(5, 90)}" if r.random() < 0.3 else "".join(body)
+            before, after = (["<div x-not>" + x + "</div>" if r.random() < 0.2 else re.sub(r"^<(\w+)", r"<\1 x-not", x) for x in side] for side in (before, after))
+        else:
+            tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
+            name = r.choice(["", named("post", "content", "entry")])
+            if tag in ("div", "section"):
+                name = r.choice(["", named("content", "post", "entry-content", "article-body", "story"), named("platform", "inside", "primary", "left", "center", "page-1")])
+            main = wrapped(f"<{tag} x-main {name}>{''.join(body)}</{tag}>")
         head = f"<head><meta><title>{words(1, 10)}</title><style>p{{}}</style></head>"
-        pages.append(f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{main}{''.join(after)}</body></html>")
+        pages.append(f"<!DOCTYPE html><html>{head}<body {attributes}>{''.join(before)}{main}{''.join(after)}</body></html>")
     return pages
 
 
 def main_text(pages: DataFrame, labelled: list[str] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars (code points). A page that is null, empty or without content has an empty text.
+    An article's own header, with its headline, belongs to it; the page's header doesn't.
 
     labelled: pages with x-main and x-not marks to train on; by default drawn ones. Pages are read whole; rows are independent of each other.
     """
