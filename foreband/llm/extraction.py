@@ -62,10 +62,12 @@ class Node:
     parent: int
     attributes: str
     chars: int = 0
+    own: int = 0
     linked: int = 0
     label: bool | None = None
     embedded: bool = False
     foreign: bool = False
+    above: str = ""
 
     @property
     def silent(self) -> bool:
@@ -92,7 +94,7 @@ def parse(source: str) -> Page:
         nonlocal body
         if not body:
             body = len(page.nodes)
-            page.nodes.append(Node("body", 0, ""))
+            page.nodes.append(Node("body", 0, "", above="html"))
         stack.append(body)
 
     def text(raw: str) -> None:
@@ -158,7 +160,7 @@ def parse(source: str) -> Page:
             if tag in CLOSES:
                 close_open(*CLOSES[tag])
             foreign = tag in FOREIGN or page.nodes[stack[-1]].foreign
-            page.nodes.append(Node(tag, stack[-1], m[3], embedded=foreign or tag in EMBEDDED, foreign=foreign))
+            page.nodes.append(Node(tag, stack[-1], m[3], embedded=foreign or tag in EMBEDDED, foreign=foreign, above=page.nodes[stack[-1]].tag))
             stack.append(len(page.nodes) - 1)
             opened[tag] += 1
     text(source[at:])
@@ -166,7 +168,7 @@ def parse(source: str) -> Page:
 
 
 def measure(page: Page) -> None:
-    """Characters and linked characters below each element."""
+    """Characters and linked characters below each element, and those straight in it."""
     links = [False] * len(page.nodes)
     for i, x in enumerate(page.nodes):
         links[i] = x.tag == "a" or (x.parent >= 0 and links[x.parent])
@@ -174,6 +176,7 @@ def measure(page: Page) -> None:
         if part:
             size = len("".join(part[1].split()))
             page.nodes[part[0]].chars += size
+            page.nodes[part[0]].own += size
             page.nodes[part[0]].linked += size * links[part[0]]
     for x in reversed(page.nodes[1:]):
         page.nodes[x.parent].chars += x.chars
@@ -181,7 +184,7 @@ def measure(page: Page) -> None:
 
 
 def looks(x: Node) -> tuple[str, ...]:
-    """What the potentials see of an element; the first is its kind."""
+    """What the potentials see of an element; the first ties it to its parent: the kinds of both."""
     kind = KINDS.get(x.tag, "inline")
     hint = "none"
     if x.attributes:
@@ -193,8 +196,8 @@ def looks(x: Node) -> tuple[str, ...]:
             hint = "notice"
     share = x.linked / x.chars if x.chars else -1
     density = "void" if share < 0 else "free" if share == 0 else "some" if share < 0.35 else "many" if share < 0.7 else "all"
-    length = next((str(c) for c in (0, 20, 80, 300) if x.chars <= c), "long")
-    return kind, f"hint {hint}", f"{kind} links {density}", f"{kind} length {length}"
+    length, own = (next((str(c) for c in (0, 20, 80, 300) if n <= c), "long") for n in (x.chars, x.own))
+    return f"{KINDS.get(x.above, 'inline')} {kind}", f"hint {hint}", f"{kind} links {density}", f"{kind} length {length}", f"{kind} own {own}"
 
 
 @dataclass
@@ -284,7 +287,7 @@ def extract(source: str | None, model: Model) -> str:
     return "\n".join(blocks)
 
 
-def labelled_pages(count: int = 500, seed: int = 5) -> list[str]:
+def labelled_pages(count: int = 1500, seed: int = 5) -> list[str]:
     """Labelled pages drawn from a grammar of common page layouts; stand in where no hand-labelled ones are given."""
     r = random.Random(seed)
     syllables = "ba be da do ga in ka lo ma ne or pa ri sa te un va zo".split()
@@ -301,65 +304,65 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[str]:
     def outside() -> str:
         return r.choice(
             [
-                f"<nav><ul>{links(2, 9)}</ul></nav>",
-                f"<div {named('menu', 'navbar', 'main-nav', 'breadcrumbs')}><ul>{links(2, 9)}</ul></div>",
-                f"<header><a href='/'>{words(1, 3)}</a><p>{words(2, 8)}</p></header>",
-                f"<div {named('site-header', 'masthead')}><h1>{words(1, 3)}</h1></div>",
-                f"<div {named('ad', 'ads', 'advert', 'ad-banner', 'promo', 'sponsored')}>{words(1, 60)}</div>",
-                f"<div {named('ad', 'advertisement')}><p>{words(1, 40)}</p></div>",
-                f"<aside>{r.choice(['', f'<h3>{words(1, 3)}</h3>'])}<p>{words(3, 60)}</p><ul>{links(0, 5)}</ul></aside>",
-                f"<div {named('sidebar', 'widget', 'related', 'recommended')}><h4>{words(1, 3)}</h4><ul>{links(2, 6)}</ul><p>{words(0, 30)}</p></div>",
-                f"<div {named('cookie', 'cookie-notice', 'consent', 'newsletter', 'notice', 'alert')}><p>{words(4, 40)}</p><button>{words(1, 2)}</button></div>",
-                f"<form {named('search', 'login', 'signup', 'f')}><label>{words(1, 2)}</label><input><button>{words(1, 1)}</button><p>{words(2, 20)}</p></form>",
-                f"<section {named('comments', 'comment-list', 'discussion', 'replies')}><h2>{words(1, 2)}</h2>"
+                lambda: f"<nav><ul>{links(2, 9)}</ul></nav>",
+                lambda: f"<div {named('menu', 'navbar', 'main-nav', 'breadcrumbs')}><ul>{links(2, 9)}</ul></div>",
+                lambda: f"<header><a href='/'>{words(1, 3)}</a><p>{words(2, 8)}</p></header>",
+                lambda: f"<div {named('site-header', 'masthead')}><h1>{words(1, 3)}</h1></div>",
+                lambda: f"<div {named('ad', 'ads', 'advert', 'ad-banner', 'promo', 'sponsored')}>{words(1, 60)}</div>",
+                lambda: f"<div {named('ad', 'advertisement')}><p>{words(1, 40)}</p></div>",
+                lambda: f"<aside>{r.choice(['', f'<h3>{words(1, 3)}</h3>'])}<p>{words(3, 60)}</p><ul>{links(0, 5)}</ul></aside>",
+                lambda: f"<div {named('sidebar', 'widget', 'related', 'recommended')}><h4>{words(1, 3)}</h4><ul>{links(2, 6)}</ul><p>{words(0, 30)}</p></div>",
+                lambda: f"<div {named('cookie', 'cookie-notice', 'consent', 'newsletter', 'notice', 'alert')}><p>{words(4, 40)}</p><button>{words(1, 2)}</button></div>",
+                lambda: f"<form {named('search', 'login', 'signup', 'f')}><label>{words(1, 2)}</label><input><button>{words(1, 1)}</button><p>{words(2, 20)}</p></form>",
+                lambda: f"<section {named('comments', 'comment-list', 'discussion', 'replies')}><h2>{words(1, 2)}</h2>"
                 + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{words(3, 80)}</p></div>' for _ in range(r.randint(1, 4)))
                 + "</section>",
-                f"<ol {named('comments', 'commentlist')}>" + "".join(f"<li><p>{words(3, 60)}</p></li>" for _ in range(r.randint(1, 4))) + "</ol>",
-                f"<footer>{words(2, 30)}<a href='/'>{words(1, 2)}</a></footer>",
-                f"<footer>&copy; {words(2, 30)}</footer>",
-                f"<div {named('footer', 'copyright', 'site-footer')}><p>{words(2, 20)}</p></div>",
-                f"<div {named('share', 'social')}><a href='/'>{words(1, 1)}</a> <a href='/'>{words(1, 1)}</a></div>",
+                lambda: f"<ol {named('comments', 'commentlist')}>" + "".join(f"<li><p>{words(3, 60)}</p></li>" for _ in range(r.randint(1, 4))) + "</ol>",
+                lambda: f"<footer>{words(2, 30)}<a href='/'>{words(1, 2)}</a></footer>",
+                lambda: f"<footer>&copy; {words(2, 30)}</footer>",
+                lambda: f"<div {named('footer', 'copyright', 'site-footer')}><p>{words(2, 20)}</p></div>",
+                lambda: f"<div {named('share', 'social')}><a href='/'>{words(1, 1)}</a> <a href='/'>{words(1, 1)}</a></div>",
             ]
-        )
+        )()
 
     def inside() -> str:
         return r.choice(
             [
-                f"<p>{words(1, 120)}</p>",
-                f"<p>{words(1, 120)}</p>",
-                f"<p>{words(5, 40)} <a href='/'>{words(1, 3)}</a> {words(3, 30)} <em>{words(1, 3)}</em></p>",
-                f"<p><b>{words(3, 80)}.<br><p>{words(3, 80)}</p>",
-                f"<p><b>{words(1, 80)}<br>",
-                f"<h2>{words(1, 8)}</h2><p>{words(10, 90)}</p>",
-                f"<ul>{''.join(f'<li>{words(1, 25)}</li>' for _ in range(r.randint(1, 6)))}</ul>",
-                f"<ol><li>{words(2, 20)} <a href='/'>{words(1, 3)}</a></li><li>{words(2, 20)}</li></ol>",
-                f"<blockquote><p>{words(3, 40)}</p></blockquote>",
-                f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr></table>",
-                f"<figure><img><figcaption>{words(2, 15)}</figcaption></figure>",
-                f"<div><p>{words(3, 60)}</p><p>{words(3, 60)}</p></div>",
-                f"<section><h3>{words(1, 6)}</h3><p>{words(10, 60)}</p></section>",
-                f"<pre>{words(2, 30)}</pre>",
-                f"<div>{words(5, 80)}</div>",
-                f"<dl><dt>{words(1, 3)}</dt><dd>{words(2, 12)}</dd></dl>",
-                f"<div {named('section', 'row', 'information', 'part', 'col', 'block-a', 'inner')}><p>{words(3, 60)}</p><p>{words(3, 60)}</p></div>",
-                f"<table><tr><th>{words(1, 2)}</th><th>{words(1, 2)}</th></tr>{''.join(f'<tr><td>{words(1, 9)}</td><td>{words(1, 3)}</td></tr>' for _ in range(r.randint(1, 5)))}</table>",
+                lambda: f"<p>{words(1, 120)}</p>",
+                lambda: f"<p>{words(1, 120)}</p>",
+                lambda: f"<p>{words(5, 40)} <a href='/'>{words(1, 3)}</a> {words(3, 30)} <em>{words(1, 3)}</em></p>",
+                lambda: f"<p><b>{words(3, 80)}.<br><p>{words(3, 80)}</p>",
+                lambda: f"<p><b>{words(1, 80)}<br>",
+                lambda: f"<h2>{words(1, 8)}</h2><p>{words(10, 90)}</p>",
+                lambda: f"<ul>{''.join(f'<li>{words(1, 25)}</li>' for _ in range(r.randint(1, 6)))}</ul>",
+                lambda: f"<ol><li>{words(2, 20)} <a href='/'>{words(1, 3)}</a></li><li>{words(2, 20)}</li></ol>",
+                lambda: f"<blockquote><p>{words(3, 40)}</p></blockquote>",
+                lambda: f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr></table>",
+                lambda: f"<figure><img><figcaption>{words(2, 15)}</figcaption></figure>",
+                lambda: f"<div><p>{words(3, 60)}</p><p>{words(3, 60)}</p></div>",
+                lambda: f"<section><h3>{words(1, 6)}</h3><p>{words(10, 60)}</p></section>",
+                lambda: f"<pre>{words(2, 30)}</pre>",
+                lambda: f"<div>{words(5, 80)}</div>",
+                lambda: f"<dl><dt>{words(1, 3)}</dt><dd>{words(2, 12)}</dd></dl>",
+                lambda: f"<div {named('section', 'row', 'information', 'part', 'col', 'block-a', 'inner')}><p>{words(3, 60)}</p><p>{words(3, 60)}</p></div>",
+                lambda: f"<table><tr><th>{words(1, 2)}</th><th>{words(1, 2)}</th></tr>{''.join(f'<tr><td>{words(1, 9)}</td><td>{words(1, 3)}</td></tr>' for _ in range(r.randint(1, 5)))}</table>",
             ]
-        )
+        )()
 
     def apart() -> str:
         """What stands in an article without being part of it."""
         name = r.choice(["ad", "advert", "promo", "share", "social", "related", "newsletter", "comments", "cookie-notice"])
         return r.choice(
             [
-                f'<div x-not class="{name}"><p>{words(1, 40)}</p></div>',
-                f'<div x-not class="{name}">{words(1, 40)}</div>',
-                f"<aside x-not><p>{words(2, 40)}</p></aside>",
-                f"<nav x-not><ul>{links(1, 4)}</ul></nav>",
-                f"<footer x-not>{words(1, 20)}</footer>",
-                f"<form x-not><input><button>{words(1, 2)}</button></form>",
-                f'<section x-not class="comments"><h3>{words(1, 2)}</h3><p>{words(3, 60)}</p></section>',
+                lambda: f'<div x-not class="{name}"><p>{words(1, 40)}</p></div>',
+                lambda: f'<div x-not class="{name}">{words(1, 40)}</div>',
+                lambda: f"<aside x-not><p>{words(2, 40)}</p></aside>",
+                lambda: f"<nav x-not><ul>{links(1, 4)}</ul></nav>",
+                lambda: f"<footer x-not>{words(1, 20)}</footer>",
+                lambda: f"<form x-not><input><button>{words(1, 2)}</button></form>",
+                lambda: f'<section x-not class="comments"><h3>{words(1, 2)}</h3><p>{words(3, 60)}</p></section>',
             ]
-        )
+        )()
 
     def wrapped(main: str) -> str:
         """The content within further elements that say little."""
@@ -380,8 +383,12 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[str]:
         kind, attributes = r.random(), ""
         if kind < 0.2:
             # Straight under body, or as bare text between what surrounds it.
-            attributes = "x-main"
-            main = f"{words(20, 200)}<br>{words(5, 90)}" if r.random() < 0.3 else "".join(body)
+            if r.random() < 0.3:
+                attributes, main = "x-main", r.choice([words(3, 60), words(3, 200), f"{words(3, 200)}<br>{words(1, 90)}"])
+                if r.random() < 0.5:
+                    before, after = [], []
+            else:
+                main = "".join(x if "x-not" in x else re.sub(r"<(\w+)", r"<\1 x-main", x) for x in body)
             before, after = (["<div x-not>" + x + "</div>" if r.random() < 0.2 else re.sub(r"^<(\w+)", r"<\1 x-not", x) for x in side] for side in (before, after))
         else:
             tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
