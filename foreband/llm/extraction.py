@@ -163,7 +163,7 @@ def parse(source: str) -> Page:
             page.nodes.append(Node(tag, stack[-1], m[3], embedded=foreign or tag in EMBEDDED, foreign=foreign, above=page.nodes[stack[-1]].tag))
             stack.append(len(page.nodes) - 1)
             opened[tag] += 1
-    text(source[at:])
+    text(source[at:].removesuffix("<"))  # a tag that was cut off is no text
     return page
 
 
