@@ -19,6 +19,8 @@ from foreband.llm.common import cut, prepare
 CANDIDATES, QUERIES, STEP = 8_192, 256, 64
 # Sums of products below this are exact as doubles.
 EXACT = 1 << 53
+# Components below this give scores of up to 2,048 dimensions within a long.
+LARGEST = 2.0**26
 
 
 def _whole(scale: float):
@@ -30,6 +32,8 @@ def _whole(scale: float):
                     continue
                 x = v.values.to_numpy().astype(float)
                 if np.isfinite(x).all():
+                    if len(x) and np.abs(scale * x).max() >= LARGEST:
+                        raise ValueError(f"component times scale of {LARGEST:.0f} or more: scores would leave the range of a long")
                     ids.append(i)
                     dims.append(len(x))
                     raw.append(np.floor(scale * x).astype(np.int64).tobytes())
@@ -102,6 +106,7 @@ def top_k(vectors: DataFrame, queries=None, k: int = 10, scale: float = 1024.0,
     queries: condition on the column "id" (default: divisible by 100). Components become floor(scale * x); the score is their inner product, ties go to the
     smaller id. Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. A query meets
     vectors of its own length, and no row with its own id. Of rows with one id, each distinct vector is searched and found once.
+    A scaled component of 2**26 or more is an error.
     """
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))

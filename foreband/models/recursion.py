@@ -23,6 +23,8 @@ from foreband.models import passes as P
 Inputs = Callable[[dict, np.ndarray], tuple[np.ndarray, np.ndarray]]
 # Blocks whose maps are combined at a time.
 FAN = 32
+# Whether series of one block climb in one stage.
+AT_ONCE = True
 # initial(p) -> starting values (candidates, depth), latest first
 Initial = Callable[[np.ndarray], np.ndarray]
 
@@ -181,8 +183,13 @@ def search(
 def climb(
     blocks: DataFrame, state: DataFrame | P.Few, keys: list[str], inputs: Inputs, initial: Initial, depth: int, mapper, reducer, done: Callable, limit: int
 ) -> DataFrame | P.Few:
-    """Repeats a filtered pass until done(p) holds for every key, or `limit` passes are over, which is left for the caller to see."""
+    """Repeats a filtered pass until done(p) holds for every key, or `limit` passes are over, which is left for the caller to see.
+
+    Series of one block, as a look at the blocks shows, climb in the task that holds the block, all passes in one stage.
+    """
     last = last_block(blocks)
+    if AT_ONCE and not last:
+        return _climb_at_once(blocks, state, keys, inputs, initial, mapper, reducer, done, limit)
     hint = P.state_hint(blocks, keys)
     for _ in range(limit):
         state = P.run(filtered_sums(blocks, hint(state), keys, inputs, initial, depth, mapper, reducer, last))
@@ -196,6 +203,25 @@ def climb(
     return state
 
 
+def _climb_at_once(blocks: DataFrame, state, keys: list[str], inputs, initial, mapper, reducer, done, limit: int) -> DataFrame:
+    ready = with_starts(P.attach_state(blocks, P.state_hint(blocks, keys)(P.as_frame(state, blocks, keys)), keys), state, keys, inputs, initial, 0, 0)
+    schema = T.StructType([*P.key_fields(blocks, keys), P.vector("p")])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, block in P.block_rows_of(pdf, keys):
+                p = np.array(block["p"], dtype=float)
+                for _ in range(limit):
+                    p = reducer(p, mapper(block, p, run_block(block, p, inputs, initial)[0]))
+                    if done(p):
+                        break
+                rows.append((*key, p))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return P.run(P.spread(ready, keys).mapInPandas(run, schema))
+
+
 class Climber:
     """Maximises `m` log-likelihoods of up to `n` parameters each that share a pass, by damped scoring.
 

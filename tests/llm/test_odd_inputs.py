@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foreband.llm import extraction, secrets, tokens
+from foreband.llm import extraction, secrets, tokens, topk
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega and so on"
 ONE, TWO = f"First {WORDS} {WORDS}", f"Then it's {WORDS} {WORDS}"
@@ -124,3 +124,9 @@ def test_every_given_tokenizer_gives_its_librarys_ids(name):
         assert list(encode.encode(raw, want_ids=False)) == [len(x) for x in want]
 
     check()
+
+
+def test_top_k_refuses_what_a_long_cannot_hold(spark):
+    rows = [(100, [1e300, 0.0]), (1, [1.0, 2.0])]
+    with pytest.raises(Exception, match="component times scale"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
