@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foreband.core import cut, ship
 
-__all__ = ["ID_LIMIT", "cut", "gathered", "grouped", "joined_hot", "prepare", "table"]
+__all__ = ["ID_LIMIT", "cut", "free", "gathered", "grouped", "joined_hot", "prepare", "table"]
 
 # Ids (16 bytes each) are broadcast only after a count has shown at most this many; beyond, they are joined by shuffle.
 ID_LIMIT = 500_000
@@ -27,6 +27,14 @@ def gathered(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows / each)))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, lengthened until none of the columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreband.llm.common import cut, prepare
+from foreband.llm.common import cut, free, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Documents that meet in one fold; blocks are sized from counts, so no source or key makes one larger.
@@ -156,12 +156,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with the columns of `docs`."""
+    """The documents themselves, each as often as the mix takes it, with the columns of `docs`, whatever their names."""
+    key, copied, rows, nth, times, copy = (free(n, docs.columns) for n in ("key_", "copies_", "rows_", "nth_", "times_", "copy_"))
     names = ("id_col", "text_col", "source_col")
     columns = {k: options[k] for k in names if k in options}
-    taken = mix(docs, **options).groupBy("key").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    keyed = docs.withColumn("key_", key_of(**columns))
-    keyed = keyed.withColumn("nth_", F.row_number().over(Window.partitionBy("key_").orderBy("key_")))
-    times = F.floor(F.col("copies_") / F.col("rows_")) + (F.col("nth_") <= F.col("copies_") % F.col("rows_")).cast("int")
-    joined = keyed.join(taken.withColumnRenamed("key", "key_"), "key_").withColumn("times_", times.cast("int")).where("times_ > 0")
-    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), F.col("times_")))).select(*docs.columns)
+    taken = mix(docs, **options).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copied), F.count("*").alias(rows))
+    keyed = docs.withColumn(key, key_of(**columns))
+    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    often = F.floor(F.col(copied) / F.col(rows)) + (F.col(nth) <= F.col(copied) % F.col(rows)).cast("int")
+    joined = keyed.join(taken, key).withColumn(times, often.cast("int")).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

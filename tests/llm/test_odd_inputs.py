@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foreband.llm import extraction, secrets, tokens, topk
+from foreband.llm import extraction, mixing, secrets, tokens, topk
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega and so on"
 ONE, TWO = f"First {WORDS} {WORDS}", f"Then it's {WORDS} {WORDS}"
@@ -130,3 +130,15 @@ def test_top_k_refuses_what_a_long_cannot_hold(spark):
     rows = [(100, [1e300, 0.0]), (1, [1.0, 2.0])]
     with pytest.raises(Exception, match="component times scale"):
         topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    plain = [(i, f"{WORDS} {i}" if i % 3 else None, "ab"[i % 2]) for i in range(20)] + [(7, "one two", "a")] * 4
+    names = ["key_", "copies_", "rows_", "NTH_", "times_", "copy_", "copy__"]
+    own = [(*row, *range(n, n + len(names))) for n, row in enumerate(plain)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mixed_documents(docs)
+    rows = [tuple(r) for r in out.collect()]
+    assert out.columns == docs.columns and set(rows) <= set(own) and rows
+    want = mixing.mixed_documents(docs.select("doc_id", "text", "source")).collect()
+    assert sorted((r[:3] for r in rows), key=str) == sorted((tuple(r) for r in want), key=str)
