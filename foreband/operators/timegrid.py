@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreband.functions.dates import wall_clock, wall_seconds
 
+# Rows that a task aggregates by keys that nearly every row has for itself.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys over so many tasks that each gets about `each` of the given number of rows, however large df is.
+
+    An aggregate by these keys needs no further shuffle, and its memory in a task stays the same as df grows.
+    """
+    return df.repartition(max(1, math.ceil(rows / each)), *keys)
+
 
 def hourly_sums(raw: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", gap: str = "zero") -> DataFrame:
     """Sum per hour with every hour between the first and the last one present.
@@ -33,13 +46,15 @@ def daily_sums(hourly: DataFrame, keys: list[str], ts: str = "ts", value: str =
 
 
 def with_time_lookups(
-    df: DataFrame, keys: list[str], lookups: dict[str, str], ts: str = "ts", value: str = "value", horizon: str | None = None
+    df: DataFrame, keys: list[str], lookups: dict[str, str], ts: str = "ts", value: str = "value", horizon: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Value of the same series exactly one interval earlier, null where no such row exists.
 
     `lookups` maps the new column to an interval such as `7 days`. With `horizon` every interval must reach
     at least that far back, so that a feature is known when the forecast is made. Each row sends its value forward to the
     times that will ask for it, so all the lookups share one scan and one shuffle on (keys, time).
+    `rows`, if the caller knows that df has no more, sets the number of tasks; otherwise the session's shuffle partitions do.
     A second row of the same keys and time is an error. Rows without a time all stay, with nulls for the lookups.
     """
     if horizon is not None:
@@ -62,6 +77,8 @@ def with_time_lookups(
     # A number of its own keeps a row without a time apart from others.
     alone = F.when(F.col(ts).isNull(), F.monotonically_increasing_id()).otherwise(-1).alias("_alone")
     sent = df.select("*", alone).select(*keys, "_alone", F.inline(F.array(*copies))).filter(F.col("_here") | F.col(ts).isNotNull())
+    if rows is not None:
+        sent = dealt(sent, [*keys, ts, "_alone"], len(copies) * rows)
     met = sent.groupBy(*keys, ts, "_alone").agg(
         *[F.max(c).alias(c) for c in (*own, *names)], F.sum(F.col("_here").cast("int")).alias("_here")
     )

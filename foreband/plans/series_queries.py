@@ -417,7 +417,8 @@ SELECT a.series_id, a.date, round(a.value, 4) AS value, round(b.value, 4) AS lag
 LEFT JOIN v b ON a.series_id = b.series_id AND b.date = CAST(a.date - INTERVAL 7 DAY AS DATE)""",
 )
 def a2_volumes(spark, root):
-    out = G.with_time_lookups(daily_volumes(spark, root), SERIES, {"lag7": "7 days"}, ts="date")
+    rows = table(spark, root, "lineitem").count()
+    out = G.with_time_lookups(daily_volumes(spark, root), SERIES, {"lag7": "7 days"}, ts="date", rows=rows)
     return out.select("series_id", "date", F.round("value", 4).alias("value"), F.round("lag7", 4).alias("lag7"))
 
 

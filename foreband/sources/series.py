@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreband.operators.timegrid import hourly_sums
+from foreband.operators.timegrid import dealt, hourly_sums
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -31,9 +31,10 @@ def daily_prices(spark: SparkSession, root: str) -> DataFrame:
 
 
 def daily_volumes(spark: SparkSession, root: str) -> DataFrame:
-    """Daily shipped value per supplier, many series in one frame."""
-    return (
-        table(spark, root, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("series_id"), F.to_date("l_shipdate").alias("date"))
-        .agg(F.sum("l_extendedprice").alias("value"))
-    )
+    """Daily shipped value per supplier, many series in one frame.
+
+    Nearly every row is alone on its day, so combining before the shuffle would hold them all in memory and save nothing.
+    """
+    lines = table(spark, root, "lineitem")
+    rows = lines.select(F.col("l_suppkey").alias("series_id"), F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("value"))
+    return dealt(rows, ["series_id", "date"], lines.count()).groupBy("series_id", "date").agg(F.sum("value").alias("value"))

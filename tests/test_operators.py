@@ -112,6 +112,15 @@ def test_time_lookup_refuses_duplicates_and_keeps_rows_without_a_time(spark):
         G.with_time_lookups(df.union(df), ["series_id"], {"back": "7 days"}, ts="date", value="price").collect()
 
 
+def test_tasks_of_a_lookup_grow_with_its_rows(spark, monkeypatch):
+    days = spark.range(60).select((F.col("id") % 7).alias("series_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("value"))
+    plain = G.with_time_lookups(days, ["series_id"], {"lag7": "7 days"}, ts="date")
+    monkeypatch.setattr(G.dealt, "__defaults__", (10,))
+    many = G.with_time_lookups(days, ["series_id"], {"lag7": "7 days"}, ts="date", rows=60)
+    assert many.select(F.spark_partition_id()).distinct().count() > 8  # the session has 8 shuffle partitions
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, plain.collect()), key=lambda r: r[:2])
+
+
 def test_hours_and_parsing_do_not_depend_on_the_session_zone(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
