@@ -1,11 +1,9 @@
 """N-gram Jaccard join by universe partition and pigeonhole (operator 8).
 
-A document's set holds its distinct word shingles as 64-bit hashes; shingle hashes are the universe, cut into m ranges
-("segments"). Sizes fall into bands so narrow that linked sets lie in the same or in adjacent bands. Two sets that link
-differ in at most H shingles, H following from the band. An exact segment spends one unit, a segment with its one-deletion
-neighbourhood two: with more units than H, any linked pair agrees on some segment, exactly or up to one deletion. A document
-may leave out its smallest segments, which say least: every pair has units to spare for what both sides leave out. How many
-segments, how many of them with deletions, and how many to leave out is chosen per band by cost (`allocation`).
+A document's set holds its distinct word shingles as 64-bit hashes; shingle hashes are the universe, cut into its finest
+segments, one shingle each. Linked sets share at least num/den of either one's shingles, so that a set may leave out that many less
+one: any linked pair still agrees on a segment that both keep. The most frequent shingles, which say least, are left out first;
+a bounded sample of the texts tells which those are. Any order that all sets share finds the same links.
 
 Equal sets are one class throughout. Members of an index bucket are compared with the bucket's smallest member, exactly. Only buckets
 that still hold different groups go on: a task streams a bucket past a bounded number of its members and gives out the pairs between groups
@@ -15,9 +13,8 @@ that the sets' parities leave possible, which are compared exactly, until nothin
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +24,8 @@ from pyspark.sql import functions as F
 from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, joined_hot, prepare
 from foreband.llm.words import mix, shingles, word_hashes
 
-# Costs in index rows: a segment of at most one shingle that is not left out meets very many strangers.
-TINY_COST = 200.0
+# Texts whose shingles are counted, and of those shingles the most frequent, which come last in the order of keys.
+SAMPLE, COMMON = 10_000, 200_000
 # Members of a bucket that the others are held against at a time.
 PIVOTS = 512
 # Pairs a task remembers, so that it does not give them out for each bucket they share; a full memory starts anew.
@@ -37,72 +34,23 @@ REMEMBERED = 200_000
 HELD = 1_000_000
 # Sets of this many bytes are broadcast at most.
 BROADCAST_BYTES = 16 << 20
+# Pairs that a row gives out in a round.
+LIKELIEST = 8
 # Bucket rows to each new pair from which on all possible pairs are given out.
 FEW_LEFT = 16
 
 
-@lru_cache
-def band_starts(num: int, den: int, top: int) -> tuple[int, ...]:
-    """Smallest size of each band; a set links at most into the next band."""
-    starts = [1, 2]
-    while starts[-1] <= top:
-        starts.append(max(starts[-1] + 1, den * (starts[-1] - 1) // num + 1))
-    return tuple(starts)
-
-
-@lru_cache(maxsize=4096)
-def allocation(largest: int, num: int, den: int) -> tuple[int, int, int]:
-    """(segments, of them with deletions, left out by each side) of the band whose largest set is given, at the least cost."""
-    need = (den - num) * 2 * largest // (den + num) + 1
-    best = (math.inf, 1, 0, 0)
-    for skip in range(9):
-        units = need + 2 * skip
-        for quarter in range(5):
-            double = units // 2 * quarter // 4
-            m = units - double
-            mean = largest / m
-            tiny = m * (1 + mean) * math.exp(-mean)
-            rows = m + double * mean
-            best = min(best, (rows + TINY_COST * max(0.0, tiny - skip), m, double, skip))
-    return best[1:]
-
-
-def _signatures(tokens: np.ndarray, band: int, largest: int, num: int, den: int) -> np.ndarray:
-    """Index keys of one sorted set in one band's segmentation."""
-    m, double, skip = allocation(largest, num, den)
-    segment = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    ends = np.searchsorted(segment, np.arange(1, m + 1, dtype=np.uint64))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(tokens + np.uint64(band)))))
-    starts = np.concatenate(([0], ends[:-1]))
-    whole, counts = sums[ends] - sums[starts], ends - starts
-    salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-    keep = np.ones(m, bool)
-    if skip:
-        # Smallest segments first, equal ones by their content, which is the same on both sides of a pair.
-        units = np.lexsort((whole, counts))
-        left = skip
-        for s in units[: skip + 1]:
-            cost = 2 if s < double else 1
-            if cost > left or counts[s] > 1:
-                break
-            keep[s] = False
-            left -= cost
-    keys = mix(whole + salt)[keep]
-    if not double:
-        return keys
-    inner = keep[segment.astype(np.int64)] & (segment < np.uint64(double))
-    at = segment[inner].astype(np.int64)
-    fewer = mix(whole[at] - mix(tokens[inner] + np.uint64(band)) + salt[at])
-    return np.unique(np.concatenate((keys, fewer)))
-
-
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index keys of one sorted set in its own band and in the one above."""
-    if not len(tokens):
-        return tokens
-    starts = band_starts(num, den, 1 << max(4, (4 * len(tokens)).bit_length()))
-    band = int(np.searchsorted(starts, len(tokens), "right")) - 1
-    return np.concatenate([_signatures(tokens, b, starts[b + 1] - 1, num, den) for b in (band, band + 1)])
+def signatures(tokens: np.ndarray, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Index keys of one sorted set: its rarest shingles, one more than a linked set may lack.
+
+    common: sorted shingles with their counts; others count as 0. Equally frequent ones come in the order of their hashes.
+    """
+    keep = len(tokens) - -(-num * len(tokens) // den) + 1
+    if not len(tokens) or common is None or not len(common[0]):
+        return tokens[:keep] if len(tokens) else tokens
+    at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+    counts = np.where(common[0][at] == tokens, common[1][at], 0)
+    return tokens[np.argsort(counts, kind="stable")[:keep]]
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -132,14 +80,35 @@ def _digests(size: int):
     return run
 
 
-def _keys(size: int, num: int, den: int):
+def _shingles(size: int):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = list(sets_of(b.column("text").slice(at, 200), size))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a bounded sample of texts, sorted, and their counts. They set the order of shingles only: the join is
+    exact in any order that all sets share."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, min(1 << 20, (SAMPLE << 20) // max(1, rows))))
+    counted = some.mapInArrow(_shingles(size), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order].astype(np.int32)
+
+
+def _keys(size: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]):
     """One index row for each key of each document's set."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 sets = [s for s in sets_of(b.column("text").slice(at, 200), size) if len(s)]
-                keys = [signatures(s, num, den).view(np.int64) for s in sets]
+                keys = [signatures(s, num, den, common).view(np.int64) for s in sets]
                 classes = np.array([class_of(digest_of(s)) for s in sets], np.int64)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(classes, [len(k) for k in keys]))], ["key", "cls"])
@@ -325,29 +294,26 @@ def _promising(num: int, den: int, skip: int):
     return lambda batches: _batches_of(rows(batches), ["key", "cls"])
 
 
-def _meet(num: int, den: int, skip: int, every: bool):
+def _meet(num: int, den: int, skip: int, most: int | None):
     """Of rows sorted by key and class: pairs of different groups in one bucket that their fine parities let link.
 
     The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member's possible pairs
-    only the likeliest is given out, so at most one per row, or with `every` each of them.
+    the `most` likeliest are given out, or without it each of them. A row (null, class) says that some were left out.
     """
 
     def pairs(batches):
-        given: set[tuple[int, int]] = set()
+        given: set[tuple[int | None, int]] = set()
         for _, cls, n, bits, g, pivots in _streamed(batches, "fine", skip):
             met = []
             for held in pivots.values():
                 found, share = _near(bits, n, g, held, num, den)
-                if every:
-                    met += [(held[0][i], cls) for i in found]
-                elif len(found):
-                    best = int(share.argmin())
-                    met.append((share[best], held[0][found[best]]))
-            if not every and met:
-                met = [(min(met)[1], cls)]
+                met += [(x, held[0][i], cls) for x, i in zip(share.tolist(), found, strict=True)]
+            if most is not None and len(met) > most:
+                met = [*sorted(met)[:most], (0.0, None, cls)]
             if len(given) > REMEMBERED:
                 given.clear()
-            for pair in met:
+            for _, *pair in met:
+                pair = tuple(pair)
                 if pair not in given:
                     given.add(pair)
                     yield pair
@@ -466,17 +432,19 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         rows_left = live.count()
         if not rows_left:
             break
-        fresh = streamed(live, "fine", lambda at: _meet(num, den, at, every), "a long, b long")
-        fresh = cut(gathered(fresh.join(done, ["a", "b"], "left_anti"), rows_left))
+        met = cut(gathered(streamed(live, "fine", lambda at: _meet(num, den, at, None if every else LIKELIEST), "a long, b long"), rows_left))
+        whole = not met.where("a is null").limit(1).count()
+        fresh = cut(met.where("a is not null").join(done, ["a", "b"], "left_anti"))
         more = sets.links(fresh, ())
-        done = done.union(fresh)
         linked = more.limit(1).count()
         if linked:
-            links = links.union(more)
+            links = cut(links.union(more))
             groups = grouped(links)
-        elif every:
+        if whole:
+            # All pairs that may link were compared.
             break
-        # The likeliest pair of each row comes first; all pairs, which must link nothing new in the end, when those have become few.
+        done = cut(done.union(fresh))
+        # The likeliest pairs of each row come first; all pairs when those have become few.
         every = not linked or FEW_LEFT * fresh.count() <= rows_left
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
@@ -499,7 +467,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Only the first document of each class is indexed.
     first = rows.join(_few(classes.select("first")), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
-    index = first.mapInArrow(_keys(size, num, den), "key long, cls long")
+    index = first.mapInArrow(_keys(size, num, den, common_shingles(first, classes.count(), size)), "key long, cls long")
     shared = shared_buckets(index)
     named = resolve(rows, classes, shared, size, num, den)
     none = narrow.where("digest is null").withColumns({"lowest": F.lit(None).cast("long"), "n_class": F.lit(None).cast("long")})
