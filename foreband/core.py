@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects garbage in Python and in the driver's JVM, so that Spark's cleaner drops broadcasts, shuffle files and checkpoints of frames
+    that are out of use, and the JVM gives back heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreband.core import cut, ship
+from foreband.core import cut, release, ship
 
-__all__ = ["ID_LIMIT", "cut", "free", "gathered", "grouped", "joined_hot", "prepare", "table"]
+__all__ = ["ID_LIMIT", "cut", "free", "gathered", "grouped", "joined_hot", "prepare", "release", "table"]
 
 # Ids (16 bytes each) are broadcast only after a count has shown at most this many; beyond, they are joined by shuffle.
 ID_LIMIT = 500_000

@@ -172,8 +172,8 @@ def fingerprints(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
 
     described = whole.where("digest is not null")
     classes = cut(described.groupBy("digest", "cls").agg(F.min("id").alias("first"), F.count("*").alias("n_class"), F.min("sig").alias("sig")))
-    index = classes.select("digest", "sig").mapInArrow(_bands, "key long, cls long")
-    groups = resolve(rows, classes.select("digest", "cls", "first", "n_class"), shared_buckets(index), size, num, den)
+    shared = shared_buckets(classes.select("digest", "sig"), _bands, BANDS * classes.count())
+    groups = resolve(rows, classes.select("digest", "cls", "first", "n_class"), shared, size, num, den)
     none = whole.where("digest is null").withColumns({"lowest": F.lit(None).cast("long"), "n_class": F.lit(None).cast("long")})
     joined = joined_hot(described, groups, "digest", "n_class", described.count()).unionByName(none)
     return joined.select(

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -455,6 +456,51 @@ def test_chains_and_buckets_of_many_groups(spark):
     assert got == {i: rows[c][0] for (i, _), c in zip(rows, comps, strict=True)} and len({got[i] for i in range(25)}) == 1
 
 
+def index_of(keys, classes, slots, bits):
+    """Rows of shared buckets by name, as sets of (class, pivot), through packed index rows; and the bytes of the rows."""
+    rows = lambda _: (pa.RecordBatch.from_arrays([pa.array(keys[i : i + 5000].view(np.int64)), pa.array(classes[i : i + 5000])], ["key", "cls"]) for i in range(0, len(keys), 5000))
+    packed = pa.Table.from_batches(jaccard_join._packed(rows, slots, bits)(None)).sort_by([("slot", "ascending"), ("part", "ascending")])
+    found = pa.Table.from_batches(jaccard_join._runs(slots)(packed.to_batches(7))).to_pylist()
+    names = {r["ref"]: r["pivot"] for r in found if r["key"] is None}
+    buckets = {}
+    for r in found:
+        if r["key"] is not None:
+            buckets.setdefault(r["key"], set()).add((names[r["ref"]], names[r["pivot"]]))
+    return buckets, sum(map(len, packed["data"].to_pylist()))
+
+
+@pytest.mark.parametrize(("held", "packed"), [(2_000_000, 900_000), (2_000, 30_000)])
+def test_packed_index_finds_shared_keys(monkeypatch, held, packed):
+    """Buckets are those of the plain rows, a bucket too long to be held too; a row of the index takes a third of its 16 bytes."""
+    monkeypatch.setattr(jaccard_join, "HELD", held)
+    monkeypatch.setattr(jaccard_join, "PACKED", packed)
+    r = np.random.default_rng(5)
+    classes = np.repeat(r.integers(-(1 << 62), 1 << 62, 1000), 201)
+    keys = words.mix(r.integers(0, 1 << 62, len(classes), dtype=np.uint64))
+    keys[::201] = 77  # a key that all classes hold
+    shared = r.integers(0, len(keys), (3000, 2))
+    keys[shared[:, 0]] = keys[shared[:, 1]]
+    want = {}
+    for k, c in zip((keys >> np.uint64(20)).tolist(), classes.tolist(), strict=True):
+        want.setdefault(k, set()).add(c)
+    want = {frozenset(c) for c in want.values() if len(c) > 1}
+    buckets, size = index_of(keys, classes, 16, 44)
+    assert {frozenset(c for c, _ in b) for b in buckets.values()} - {frozenset([c]) for c in classes.tolist()} == want
+    assert all(len({p for _, p in b}) == 1 and b & {(p, p) for _, p in b} for b in buckets.values())
+    if packed > len(keys):
+        assert size < 5.4 * len(keys)
+
+
+def test_rounds_keep_members_of_possible_pairs_only():
+    """Of a bucket of strangers and one near pair, the next round gets the pair's two members."""
+    r = np.random.default_rng(6)
+    sets = [np.unique(words.mix(r.integers(0, 1 << 62, 300, dtype=np.uint64))) for _ in range(40)]
+    sets.append(np.concatenate((sets[7][:290], sets[8][:10])))
+    columns = [pa.array([1] * 41), pa.array(range(41)), pa.array([len(s) for s in sets]), pa.array([jaccard_join.parity(s) for s in sets], pa.binary()), pa.array(range(41))]
+    rows = [x for b in jaccard_join._meet(85, 100, 0, False)([pa.RecordBatch.from_arrays(columns, ["key", "cls", "n", "fine", "g"])]) for x in b.to_pylist()]
+    assert {(x["key"], x["a"], x["b"]) for x in rows} == {(None, 7, 40), (1, 7, None), (1, 40, None)} and len(rows) == 3
+
+
 # 9 and 10: classifiers
 
 
