@@ -592,13 +592,14 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
     # leaves those that may link at all.
     live = mixed(shared, 3)
     live = cut(streamed(live, "middle", lambda at: _promising(num, den, at), "key long, cls long"))
-    every = False
+    every, most = False, 0
     while True:
         release(rows.sparkSession)
         live = mixed(live)
         rows_left = live.count()
         if not rows_left:
             break
+        most = max(most, rows_left)
         met = cut(gathered(streamed(live, "fine", lambda at: _meet(num, den, at, every), "key long, a long, b long"), rows_left))
         live = met.where("key is not null").select("key", F.col("a").alias("cls"))
         fresh = cut(gathered(met.where("key is null").select("a", "b").join(done, ["a", "b"], "left_anti"), rows_left))
@@ -613,7 +614,7 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         elif every:
             break
         # The likeliest pair of each row comes first; all pairs, which must link nothing new in the end, when those have become few.
-        every = not linked or FEW_LEFT * pairs <= rows_left
+        every = not linked or FEW_LEFT * pairs <= most
 
     member = classes.select("cls", "digest", "first", "n_class").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     lowest = member.groupBy("g").agg(F.min("first").alias("lowest"))
