@@ -48,23 +48,42 @@ def _stack(table: pa.Table) -> pa.Table:
     return pa.table(one | {"ids": pa.array([table.column("id").to_numpy().tobytes()]), "raw": pa.array([b"".join(table.column("raw").to_pylist())], pa.binary())})
 
 
-def search(ids: np.ndarray, x: np.ndarray, order: np.ndarray, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of a query's k best rows of x, ties to the smaller id; order: rows by rising value, one column per dimension."""
+def lists_of(x: np.ndarray) -> np.ndarray:
+    """For each dimension the rows of x by rising value."""
+    return np.argsort(np.ascontiguousarray(x.T), axis=1, kind="stable").astype(np.int32)
+
+
+def search(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of a query's k best rows of x, ties to the smaller id; lists: of x by `lists_of`."""
     n = len(ids)
-    use = np.flatnonzero(q)
-    lists = np.where((q[use] > 0)[None, :], order[::-1, use], order[:, use])
+    up, down = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
     seen = ids == query
+    left, scores = n - int(seen.sum()), None
     best_id, best = np.zeros(0, np.int64), np.zeros(0, x.dtype)
     depth, step = 0, STEP
-    while depth < n and not seen.all():
+    while depth < n and left:
         to = min(depth + step, n)
-        met = np.unique(lists[depth:to]) if len(use) else np.arange(n)
-        met = met[~seen[met]]
-        seen[met] = True
-        all_id, all_score = np.append(best_id, ids[met]), np.append(best, x[met] @ q)
+        new = np.zeros(n, bool)
+        if len(up) + len(down):
+            new[lists[up, depth:to]] = True
+            new[lists[down, n - to : n - depth]] = True
+        else:
+            new[:] = True
+        new &= ~seen
+        seen |= new
+        met = np.flatnonzero(new)
+        left -= len(met)
+        # A product over all rows takes less than the copy of many of them.
+        if scores is None and 4 * len(met) > n:
+            scores = x @ q
+        found = x[met] @ q if scores is None else scores[met]
+        all_id, all_score = np.append(best_id, ids[met]), np.append(best, found)
+        if len(all_score) > k:
+            good = all_score >= np.partition(all_score, len(all_score) - k)[len(all_score) - k]
+            all_id, all_score = all_id[good], all_score[good]
         top = np.lexsort((all_id, -all_score))[:k]
         best_id, best = all_id[top], all_score[top]
-        bound = (x[lists[to - 1], use] * q[use]).sum() if len(use) else 0
+        bound = (x[lists[up, to - 1], up] * q[up]).sum() + (x[lists[down, n - to], down] * q[down]).sum()
         if len(best) == k and bound < best[-1]:
             break
         depth, step = to, 2 * step
@@ -81,13 +100,13 @@ def _blocks(k: int):
                 if key != last:
                     ids = np.frombuffer(b.column("ids")[row].as_py(), np.int64)
                     x = np.frombuffer(b.column("raw")[row].as_py(), np.int64).reshape(len(ids), dim)
-                    order, last = np.argsort(x, axis=0, kind="stable"), key
+                    lists, last = lists_of(x), key
                 query_ids = np.frombuffer(b.column("query_ids")[row].as_py(), np.int64)
                 queries = np.frombuffer(b.column("queries")[row].as_py(), np.int64).reshape(len(query_ids), dim)
                 large = int(np.abs(x).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(dim, 1) >= EXACT
                 kind = np.int64 if large else np.float64
                 held = x.astype(kind)
-                out = [(i, *search(ids, held, order, i, q.astype(kind), k)) for i, q in zip(query_ids, queries, strict=True)]
+                out = [(i, *search(ids, held, lists, i, q.astype(kind), k)) for i, q in zip(query_ids, queries, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([np.full(len(found), i, np.int64) for i, found, _ in out])),

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -397,6 +398,25 @@ def test_packing_deals_repeated_rows_over_groups(spark, monkeypatch):
 # 7: top k
 
 
+def test_search_costs_about_a_product():
+    """Vectors of many dimensions that hardly cluster: nearly all rows are met, which must not cost many times the scores."""
+    r = np.random.default_rng(4)
+    x = np.floor(128 * r.normal(size=(8192, 64)))
+    ids, lists = np.arange(len(x)), topk.lists_of(x)
+    took = []
+    for turn in (0, 1):
+        began = time.process_time()
+        for i in range(20):
+            scores = x @ x[i]
+            scores[i] = -np.inf
+            want = np.lexsort((ids, -scores))[:10]
+            if turn:
+                found, score = topk.search(ids, x, lists, i, x[i], 10)
+                assert found.tolist() == want.tolist() and score.tolist() == scores[want].tolist()
+        took.append(time.process_time() - began)
+    assert took[1] - took[0] < 5 * took[0], took
+
+
 def exact_top(rows, k=10):
     good = {i: np.floor(1024 * np.array(v, float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
