@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from foreband.llm.common import cut, prepare
 from foreband.llm.tokens import default_path, encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
+MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 GROUP, TOP_GROUP = 2_000, 20_000
 # Free places a bin may have when it is given out, by round; later rounds keep the last.
 ROOM = (0, 2, 8, 16)
@@ -71,21 +73,33 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+def _merged(members: pa.ListArray, bins: list[list[int]]) -> pa.ListArray:
+    """The members of each bin's items, one item after the other, with their offsets in the bin."""
+    taken = members.take(pa.array(chain.from_iterable(bins), pa.int64()))
+    item_ends = np.cumsum(pc.list_value_length(taken).to_numpy())
+    cuts = np.append(0, item_ends[np.cumsum([len(b) for b in bins]) - 1])
+    flat = taken.flatten()
+    fields, columns = list(flat.type), flat.flatten()
+    length = columns[flat.type.get_field_index("length")].to_numpy()
+    before = np.cumsum(length) - length
+    columns[flat.type.get_field_index("offset")] = pa.array(before - np.repeat(before[cuts[:-1]], np.diff(cuts)))
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields), type=members.type)
+
+
 def _packed(room: int, tolerated: int):
     """Bins of one group, numbered in it: done or to be packed on; members in place order."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("tie", "ascending")])
-        members, sizes, group = table.column("members").to_pylist(), table.column("size").to_pylist(), table.column("g")[0].as_py()
+        table = table.sort_by([("size", "descending"), ("tie", "ascending")]).combine_chunks()
+        sizes, group = table.column("size").to_pylist(), table.column("g")[0].as_py()
         bins = best_fit(sizes, room)
         total = [sum(sizes[i] for i in b) for b in bins]
-        merged = [[m for i in b for m in members[i]] for b in bins]
         return pa.table(
             {
                 "g": pa.array([group] * len(bins), pa.int64()),
                 "number": pa.array(range(len(bins)), pa.int64()),
                 "size": pa.array(total, pa.int64()),
-                "members": pa.array(merged, table.schema.field("members").type),
+                "members": _merged(table.column("members").chunk(0), bins),
                 "done": pa.array([room - t <= tolerated for t in total], pa.bool_()),
             }
         )
@@ -114,7 +128,7 @@ def pack(docs: DataFrame, path: str | None = None, room: int = 1024, end_id: int
     # The checkpointed row's number is hashed too: equal rows would else fall into one group, however many they are.
     open_ = open_.withColumn("row", F.monotonically_increasing_id())
     tie = F.xxhash64("doc_id", "piece", "ids_crc32", "row")
-    items = open_.select(F.pmod(tie, F.lit(groups)).alias("g"), F.col("length").alias("size"), tie.alias("tie"), F.array(F.struct(*cols)).cast(f"array<{MEMBER}>").alias("members"))
+    items = open_.select(F.pmod(tie, F.lit(groups)).alias("g"), F.col("length").alias("size"), tie.alias("tie"), F.array(F.struct(*cols, F.lit(0).cast("long").alias("offset"))).cast(f"array<{MEMBER}>").alias("members"))
     bins, level = None, 0
     out = f"g long, number long, size long, members array<{MEMBER}>, done boolean"
     while True:
@@ -132,13 +146,7 @@ def pack(docs: DataFrame, path: str | None = None, room: int = 1024, end_id: int
         # Neighbouring groups meet; with as many groups as before they are dealt anew.
         meet = F.floor(F.col("g") * groups / before).cast("long") if groups < before else F.pmod(F.xxhash64("g", "number"), F.lit(groups))
         items = packed.where(~F.col("done")).select(meet.alias("g"), "size", F.xxhash64("g", "number").alias("tie"), "members")
-    # Offsets are running sums inside a bin.
-    sums = F.aggregate(
-        "members",
-        F.array().cast("array<bigint>"),
-        lambda s, m: F.concat(s, F.array(F.when(F.size(s) == 0, m["length"]).otherwise(F.element_at(s, -1) + m["length"]))),
-    )
     # Bins of all rounds are checkpointed, so their row numbers are sequence ids that no two share.
     numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
-    placed = numbered.select("sequence_id", F.explode(F.arrays_zip("members", sums.alias("sums"))).alias("m"))
-    return placed.select(*[F.col(f"m.members.{c}").alias(c) for c in cols], "sequence_id", (F.col("m.sums") - F.col("m.members.length")).alias("offset")).union(full)
+    placed = numbered.select("sequence_id", F.explode("members").alias("m"))
+    return placed.select(*[F.col(f"m.{c}").alias(c) for c in cols], "sequence_id", "m.offset").union(full)

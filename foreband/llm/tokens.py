@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-from foreband.llm.words import CHUNK, mix, powers
+from foreband.llm.words import mix, powers
 
 LETTER, DIGIT, SIGN, SPACE, UNSURE = range(5)
 _CLASS = np.full(256, UNSURE, np.uint8)
@@ -30,6 +30,8 @@ _CLASS[0x80:0xC0] = LETTER
 _CLASS[0xC3:0xC6] = LETTER
 _VALUE = np.random.default_rng(20260102).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _CACHED_PIECES, _CACHED_IDS = 600_000, 4_000_000
+# Bytes that are split together, and pieces that the library encodes at once: a worker keeps what they need at their height.
+_BLOCK, _AT_ONCE = 1 << 18, 4_096
 
 
 def _classes(data: np.ndarray) -> np.ndarray:
@@ -115,8 +117,9 @@ class Encoder:
         return out
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        # Hashes of cached pieces in rising order, with the place and number of each one's ids; arrays, as a dictionary takes ten times the space.
+        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         """The library itself."""
@@ -133,27 +136,28 @@ class Encoder:
         return _starts(data, _classes(data), docs)
 
     def _numbers(self, hashes: np.ndarray, pieces) -> np.ndarray:
-        """Places of distinct pieces in the cache; pieces(i) gives the bytes of those that are not there yet."""
+        """Places, until the next call, of distinct pieces in the cache; hashes rise; pieces(i) gives the bytes of those that are not there yet."""
         if len(self.known) > _CACHED_PIECES or self.used > _CACHED_IDS:
             self.clear()
-        places = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
-        missing = np.flatnonzero(places < 0)
+        spots = np.searchsorted(self.known, hashes)
+        there = spots < len(self.known)
+        there[there] = self.known[spots[there]] == hashes[there]
+        missing = np.flatnonzero(~there)
         if len(missing):
-            encoded = self._pieces([pieces(i) for i in missing])
-            n, sizes = len(self.known), np.array([len(e) for e in encoded])
-            while n + len(missing) > len(self.at):
-                self.at, self.size = np.append(self.at, self.at), np.append(self.size, self.size)
-            flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.append(self.ids, self.ids)
-            new = np.arange(n, n + len(missing))
-            self.size[new] = sizes
-            self.at[new] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            places[missing] = new
-            self.known.update(zip(hashes[missing].tolist(), new.tolist(), strict=True))
-        return places
+            at, sizes, n = spots[missing], [], self.used
+            for i in range(0, len(missing), _AT_ONCE):
+                encoded = self._pieces([pieces(j) for j in missing[i : i + _AT_ONCE]])
+                sizes += [len(e) for e in encoded]
+                flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
+                while self.used + len(flat) > len(self.ids):
+                    self.ids = np.append(self.ids, self.ids)
+                self.ids[self.used : self.used + len(flat)] = flat
+                self.used += len(flat)
+            sizes = np.array(sizes, np.int32)
+            self.known = np.insert(self.known, at, hashes[missing])
+            self.at = np.insert(self.at, at, n + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, at, sizes)
+        return spots + (np.cumsum(~there) - ~there)
 
     def _block(self, texts: list[bytes], want_ids: bool) -> list:
         """Ids or counts of texts that are not empty, each of characters of sure class."""
@@ -200,7 +204,7 @@ class Encoder:
             else:
                 ids = self.whole([text])[0]
                 out[i] = ids if want_ids else len(ids)
-            if size >= CHUNK or i + 1 == len(texts):
+            if size >= _BLOCK or i + 1 == len(texts):
                 flush()
                 size = 0
                 while done <= i:

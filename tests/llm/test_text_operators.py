@@ -2,10 +2,12 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -395,6 +397,33 @@ def test_packing_deals_repeated_rows_over_groups(spark, monkeypatch):
         assert at <= 1024
 
 
+def test_packing_merges_members_without_python_objects():
+    """Bins of a great many short pieces: a task holds their columns, not an object for each."""
+    n = 60_000
+    one = pa.array([[{"doc_id": i, "piece": 0, "start": 0, "length": 1 + i % 3, "ids_crc32": i, "offset": 0}] for i in range(n)])
+    group = pa.table({"g": pa.array([0] * n), "size": pa.array([1 + i % 3 for i in range(n)]), "tie": pa.array(range(n)), "members": one})
+    tracemalloc.start()
+    out = packing._packed(1024, 0)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for bin_ in out.column("members").to_pylist():
+        assert [m["offset"] for m in bin_] == [0, *itertools.accumulate(m["length"] for m in bin_)][:-1]
+    assert sum(out.column("size").to_pylist()) == sum(1 + i % 3 for i in range(n)) and peak < 16 << 20
+
+
+def test_encoder_caches_pieces_in_little_space():
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(5_000)).encode() for _ in range(30)]
+    encode = tokens.Encoder(tokens.default_path())
+    tracemalloc.start()
+    got = list(encode.encode(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert [g.tolist() for g in got[:2]] == [g.tolist() for g in encode.whole(texts[:2])]
+    assert [g.tolist() for g in encode.encode(texts[::-1])] == [g.tolist() for g in got[::-1]]
+
+
 # 7: top k
 
 
