@@ -411,6 +411,15 @@ def test_packing_merges_members_without_python_objects():
     assert sum(out.column("size").to_pylist()) == sum(1 + i % 3 for i in range(n)) and peak < 16 << 20
 
 
+def test_word_hashes_take_little_space():
+    texts = [b"some words of a text that goes on " * 100] * 1_000
+    tracemalloc.start()
+    assert sum(len(h) for h in words.word_hashes(texts)) == 800_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+
+
 def test_encoder_caches_pieces_in_little_space():
     r = random.Random(3)
     texts = [" ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(5_000)).encode() for _ in range(30)]
