@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """df with Spark's default estimate of its size. A checkpoint keeps the estimate of its plan, a product for each join, so that a loop which
+    joins its own checkpoints soon has estimates of millions of digits, which the driver multiplies and holds."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def release(spark: SparkSession) -> None:
     """Collects garbage in Python and in the driver's JVM, so that Spark's cleaner drops broadcasts, shuffle files and checkpoints of frames
     that are out of use, and the JVM gives back heap."""

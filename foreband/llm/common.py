@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreband.core import cut, release, ship
+from foreband.core import cut, release, ship, unsized
 
-__all__ = ["ID_LIMIT", "cut", "free", "gathered", "grouped", "joined_hot", "prepare", "release", "table"]
+__all__ = ["ID_LIMIT", "cut", "free", "gathered", "grouped", "joined_hot", "prepare", "release", "table", "unsized"]
 
 # Ids (16 bytes each) are broadcast only after a count has shown at most this many; beyond, they are joined by shuffle.
 ID_LIMIT = 500_000
@@ -57,7 +57,7 @@ def grouped(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         moved = near.join(hint(labels), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
         jumped = moved.join(hint(labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))), "mid")
-        jumped = cut(gathered(jumped.select("id", "old", F.least("mid", "far").alias("component")), rows))
+        jumped = unsized(cut(gathered(jumped.select("id", "old", F.least("mid", "far").alias("component")), rows)))
         changed = jumped.where("old != component").limit(1).count()
         labels = jumped.select("id", "component")
         if not changed:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, joined_hot, prepare, release
+from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, joined_hot, prepare, release, unsized
 from foreband.llm.words import mix, shingles, word_hashes
 
 # Costs in index rows: a segment of at most one shingle that is not left out meets very many strangers.
@@ -576,7 +576,7 @@ def resolve(rows: DataFrame, classes: DataFrame, shared: DataFrame, size: int, n
         with_groups = named(live.select("key", "cls"), "cls", "g")
         several = with_groups.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("members"))
         several = several.where(F.col("low") != F.col("high")).where(F.col("members") >= least)
-        return cut(with_groups.join(several.select("key", "members"), "key").select("key", "cls", "g", "members"))
+        return unsized(cut(with_groups.join(several.select("key", "members"), "key").select("key", "cls", "g", "members")))
 
     def streamed(live: DataFrame, column: str, make, schema: str) -> DataFrame:
         """Every slice of pivots over all buckets that are longer than its start."""

@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foreband.llm import extraction, jaccard_join, labelled, minhash, mixing, packing, quality, secrets, token_counts, tokens, topk, toxicity, words
+from foreband.llm import common, extraction, jaccard_join, labelled, minhash, mixing, packing, quality, secrets, token_counts, tokens, topk, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, rank int, score double, id long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -501,6 +501,20 @@ def test_linked_sets_share_a_key(seed):
             assert len(np.intersect1d(jaccard_join.signatures(a, 85, 100), jaccard_join.signatures(b, 85, 100)))
 
 
+def test_size_estimates_stay_small_over_rounds(spark):
+    r = random.Random(10)
+    body = sentence(r, 200).split()
+    texts = [" ".join([*body[:i], *(f"n{i}x{j}" for j in range(4)), *body[i + 4 :]]) for i in range(0, 190, 2)]
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    ids = r.sample(range(1000), 301)
+    links = spark.createDataFrame([*itertools.pairwise(ids)], "a long, b long")
+    chained = common.grouped(links)
+    assert {(x.id, x.component) for x in chained.collect()} == {(i, min(ids)) for i in ids}
+    assert bits(chained) < 256
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert bits(jaccard_join.components(docs)) < 4096
+
+
 def test_chains_and_buckets_of_many_groups(spark):
     """Documents that drift from one to the next link in a chain; the ends alone don't."""
     r = random.Random(9)
