@@ -42,15 +42,41 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def grouped(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of links: one row (id, component) per linked id; component is the smallest id reached.
 
-    Labels go to neighbours and are then replaced by their own label (pointer jumping), so that chains halve each round.
+    First each id takes its smallest neighbour's smallest neighbour, and links are drawn between those, so that of a large group of many
+    links little is left. Then labels go to neighbours and are replaced by their own label (pointer jumping), so that chains halve each round.
     Every label move is a combining aggregate; nothing but a count of changes reaches the driver.
     """
     rows = 2 * links.count()
     # A label takes 16 bytes; there are at most as many as link ends.
     hint = F.broadcast if rows <= ID_LIMIT else (lambda df: df)
-    both = links.select(F.col(a).alias("id"), F.col(b).alias("to")).union(links.select(F.col(b), F.col(a))).where("id != to")
-    both = cut(gathered(gathered(both, rows).distinct(), rows))
-    labels = cut(gathered(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), rows))
+    ends = [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
+    pairs = cut(gathered(gathered(links.where(F.col(a) != F.col(b)).select(*ends), rows).distinct(), rows))
+    labels = _smallest(pairs, rows)
+    near = hint(labels.select(F.col("id").alias("component"), F.col("component").alias("c")))
+    labels = cut(gathered(labels.join(near, "component").select("id", F.col("c").alias("component")), rows))
+    for column in ("low", "high"):
+        pairs = pairs.join(hint(labels.select(F.col("id").alias(column), F.col("component").alias(f"{column}_c"))), column)
+    pairs = pairs.where("low_c != high_c").select(F.least("low_c", "high_c").alias("low"), F.greatest("low_c", "high_c").alias("high"))
+    pairs = cut(gathered(gathered(pairs, rows).distinct(), rows))
+    left = 2 * pairs.count()
+    if not left:
+        return unsized(labels)
+    known = _spread(pairs, left).select(F.col("id").alias("component"), F.col("component").alias("c"))
+    known = F.broadcast(known) if left <= ID_LIMIT else known
+    return unsized(cut(gathered(labels.join(known, "component", "left").select("id", F.coalesce("c", "component").alias("component")), rows)))
+
+
+def _smallest(pairs: DataFrame, rows: int) -> DataFrame:
+    """The smallest of each id and its neighbours: rows (id, component)."""
+    both = pairs.select(F.col("low").alias("id"), F.col("high").alias("m")).union(pairs.select("high", "low"))
+    return cut(gathered(both.groupBy("id").agg(F.min("m").alias("m")).select("id", F.least("id", "m").alias("component")), rows))
+
+
+def _spread(pairs: DataFrame, rows: int) -> DataFrame:
+    """Components of distinct pairs (low, high), by labels that go to neighbours; rows: number of their ends."""
+    hint = F.broadcast if rows <= ID_LIMIT else (lambda df: df)
+    both = cut(gathered(pairs.select(F.col("low").alias("id"), F.col("high").alias("to")).union(pairs.select("high", "low")), rows))
+    labels = _smallest(pairs, rows)
     while True:
         near = (
             both.join(hint(labels.select(F.col("id").alias("to"), F.col("component").alias("m"))), "to").groupBy("id").agg(F.min("m").alias("m"))

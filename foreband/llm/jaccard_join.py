@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreband.llm.common import ID_LIMIT, cut, gathered, grouped, joined_hot, prepare, release, unsized
-from foreband.llm.words import mix, shingles, word_hashes
+from foreband.llm.words import distinct, mix, shingles, word_hashes
 
-# Costs in index rows: a segment of at most one shingle that is not left out meets very many strangers.
-TINY_COST = 200.0
+# Costs in index rows: a key that holds no shingle meets all sets of its band, one with a single shingle those that hold a common one.
+EMPTY_COST, TINY_COST = 5_000.0, 100.0
 # Members of a bucket that the others are held against at a time.
 PIVOTS = 512
+# Pairs whose parities are held against each other at a time.
+NEAR_CELLS = 1 << 17
 # Pairs a task remembers, so that it does not give them out for each bucket they share; a full memory starts anew.
 REMEMBERED = 200_000
 # Index rows that a task holds to find the buckets among them; a bucket with a large share of them is then given out in parts.
@@ -64,20 +66,31 @@ def band_starts(num: int, den: int, top: int) -> tuple[int, ...]:
     return tuple(starts)
 
 
+def _beyond(mean: float, limit: int) -> float:
+    """How far a Poisson variable lies above a limit on average."""
+    chance, left = math.exp(-mean), mean - limit
+    for k in range(limit):
+        left += (limit - k) * chance
+        chance *= mean / (k + 1)
+    return max(0.0, left)
+
+
 @lru_cache(maxsize=4096)
 def allocation(largest: int, num: int, den: int) -> tuple[int, int, int]:
-    """(segments, of them with deletions, left out by each side) of the band whose largest set is given, at the least cost."""
+    """(segments, of them with deletions, units left out by each side) of the band whose largest set is given, at the least cost."""
     need = (den - num) * 2 * largest // (den + num) + 1
     best = (math.inf, 1, 0, 0)
-    for skip in range(9):
+    for skip in range(33):
         units = need + 2 * skip
         for quarter in range(5):
             double = units // 2 * quarter // 4
             m = units - double
             mean = largest / m
-            tiny = m * (1 + mean) * math.exp(-mean)
+            # Units that stand for a key without shingles, and for one with a single shingle.
+            none = (m + double + double * mean) * math.exp(-mean)
+            one = (m + double * mean / 2) * mean * math.exp(-mean)
             rows = m + double * mean
-            best = min(best, (rows + TINY_COST * max(0.0, tiny - skip), m, double, skip))
+            best = min(best, (rows + EMPTY_COST * _beyond(none, skip) + TINY_COST * _beyond(none + one, skip), m, double, skip))
     return best[1:]
 
 
@@ -90,24 +103,20 @@ def _signatures(tokens: np.ndarray, band: int, largest: int, num: int, den: int)
     starts = np.concatenate(([0], ends[:-1]))
     whole, counts = sums[ends] - sums[starts], ends - starts
     salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-    keep = np.ones(m, bool)
-    if skip:
-        # Smallest segments first, equal ones by their content, which is the same on both sides of a pair.
-        units = np.lexsort((whole, counts))
-        left = skip
-        for s in units[: skip + 1]:
-            cost = 2 if s < double else 1
-            if cost > left or counts[s] > 1:
-                break
-            keep[s] = False
-            left -= cost
-    keys = mix(whole + salt)[keep]
+    # A set below the band's largest differs less from what it links with, by so many units on its side. One unit is a segment's deletions,
+    # another the segment itself. First those go whose keys hold no shingle or one, then the deletions of large segments, which are most rows.
+    spare = skip + (den - num) * (largest - len(tokens)) // (den + num)
+    few, most = counts[:double], len(tokens) + 1
+    order = np.concatenate((np.where(few <= 2, few - 1, most - few + 1), np.where(counts <= 1, counts, most + counts)))
+    keep = np.ones(m + double, bool)
+    keep[np.argsort(order, kind="stable")[:spare]] = False
+    keys = mix(whole + salt)[keep[double:]]
     if not double:
         return keys
-    inner = keep[segment.astype(np.int64)] & (segment < np.uint64(double))
+    inner = np.flatnonzero(keep[segment[: ends[double - 1]].astype(np.int64)])
     at = segment[inner].astype(np.int64)
     fewer = mix(whole[at] - mix(tokens[inner] + np.uint64(band)) + salt[at])
-    return np.unique(np.concatenate((keys, fewer)))
+    return distinct(np.concatenate((keys, fewer)))
 
 
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -122,7 +131,7 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
     for hashes in word_hashes(texts):
-        yield np.unique(shingles(hashes, size))
+        yield distinct(shingles(hashes, size))
 
 
 def digest_of(tokens: np.ndarray) -> bytes | None:
@@ -173,7 +182,7 @@ def _packed(make, slots: int, bits: int):
         pack = zstandard.ZstdCompressor(level=1).compress
         classes, places = np.unique(np.concatenate([c for _, c in held]), return_inverse=True)
         keys = np.concatenate([k for k, _ in held]).view(np.uint64) >> np.uint64(64 - bits)
-        both = np.unique((keys << np.uint64(PLACE)) | places.astype(np.uint64))
+        both = distinct((keys << np.uint64(PLACE)) | places.astype(np.uint64))
         keys, places = both >> np.uint64(PLACE), both & np.uint64((1 << PLACE) - 1)
         slot = ((keys >> np.uint64(bits - 32)) * np.uint64(slots)) >> np.uint64(32)
         starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
@@ -355,39 +364,66 @@ def _possible(num: int, den: int):
     return run
 
 
-def _near(bits: np.ndarray, n: int, g: int, held: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pivots (classes, groups, sizes, table of parities) those of other groups that may link, and the least difference of each as a share."""
-    classes, groups, sizes, table = held
-    one, many = bits, table[: len(classes)]
-    while len(one) > many.shape[1]:
-        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
-    while many.shape[1] > len(one):
-        many = many[:, : many.shape[1] // 2] ^ many[:, many.shape[1] // 2 :]
-    apart = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
-    both = np.array(sizes) + n
-    found = np.flatnonzero(((den + num) * apart <= (den - num) * both) & (np.array(groups) != g))
-    return found, apart[found] / both[found]
-
-
-def _streamed(batches, column: str, skip: int):
-    """Rows (key, cls, n, parity, g) sorted by key and class, one at a time, with the bucket's pivots so far: of the members after the
-    first `skip`, PIVOTS at most, by width of their parities."""
-    key, seen, pivots = None, 0, {}
+def _folded(table: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities, coarser."""
+    while table.shape[1] > words:
+        half = table.shape[1] // 2
+        table = table[:, :half] ^ table[:, half:]
+    return table
+
+
+def _near(rows: list, pivots: list, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a row and a pivot that stands before it, of different groups, that their parities let link: places of both and the least
+    difference as a share. rows, pivots: (places in the bucket, groups, sizes, table of parities)."""
+    words = min(rows[3].shape[1], pivots[3].shape[1])
+    many, step = _folded(pivots[3], words), max(1, NEAR_CELLS // len(pivots[0]))
+    for at in range(0, len(rows[0]), step):
+        place, group, size, table = (x[at : at + step] for x in rows)
+        table = _folded(table, words)
+        apart = np.zeros((len(place), len(many)), np.int32)
+        for k in range(words):
+            apart += np.bitwise_count(table[:, k, None] ^ many[None, :, k])
+        both = size[:, None] + pivots[2][None, :]
+        found = ((den + num) * apart <= (den - num) * both) & (group[:, None] != pivots[1][None, :]) & (pivots[0][None, :] < place[:, None])
+        i, j = np.nonzero(found)
+        if len(i):
+            yield place[i], pivots[0][j], apart[i, j] / both[i, j]
+
+
+def _streamed(batches, column: str, skip: int, num: int, den: int):
+    """Of rows (key, cls, n, parity, g) sorted by key and class: pairs of a bucket's pivots, its members after the first `skip`, PIVOTS at
+    most, with members that follow them, if they may link, as (key, pivots' classes, members' classes, shares), each a stretch of a bucket."""
+    last, seen, held, pivots = None, 0, np.zeros(0, np.int64), {}
     for b in batches:
-        for k, cls, n, bits, g in zip(*(b.column(c).to_pylist() for c in ("key", "cls", "n", column, "g")), strict=True):
-            if k != key:
-                key, seen, pivots = k, 0, {}
-            seen += 1
-            if seen <= skip:
+        if not b.num_rows:
+            continue
+        key, cls, n, g = (b.column(c).to_numpy() for c in ("key", "cls", "n", "g"))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+        for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
+            if key[start] != last:
+                last, seen, held, pivots = key[start], 0, np.zeros(0, np.int64), {}
+            first, before = start + max(0, skip - seen), seen
+            seen += end - start
+            if first >= end:
                 continue
-            bits = np.frombuffer(bits, np.uint8)
-            yield k, cls, n, bits, g, pivots
-            if seen <= skip + PIVOTS:
-                held = pivots.setdefault(len(bits), ([], [], [], np.zeros((PIVOTS, len(bits)), np.uint8)))
-                held[3][len(held[0])] = bits
-                held[0].append(cls)
-                held[1].append(g)
-                held[2].append(n)
+            bits = b.column(column).slice(first, end - first).to_pylist()
+            widths = np.array([len(x) for x in bits])
+            rows = {}
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
+                table = np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(len(own), -1)
+                at = first + own
+                # Places count from the first pivot on.
+                rows[width] = [at - start + before - skip, g[at], n[at], table]
+            held = np.concatenate((held, cls[first : max(first, start + skip + PIVOTS - before)][: end - first]))
+            for width, own in rows.items():
+                new = [x[own[0] < PIVOTS] for x in own]
+                if len(new[0]):
+                    pivots[width] = [np.concatenate(x) for x in zip(pivots[width], new, strict=True)] if width in pivots else new
+            for own in rows.values():
+                for some in pivots.values():
+                    for i, j, share in _near(own, some, num, den):
+                        yield last, held[j], cls[i + skip - before + start], share
 
 
 def _batches_of(rows: Iterator[tuple[int, int]], names: list[str], size: int = 10_000):
@@ -407,15 +443,13 @@ def _promising(num: int, den: int, skip: int):
     def rows(batches):
         given: set[int] = set()
         last = None
-        for key, cls, n, bits, g, pivots in _streamed(batches, "middle", skip):
+        for key, a, b, _ in _streamed(batches, "middle", skip, num, den):
             if key != last:
                 given, last = set(), key
-            for held in pivots.values():
-                for i in _near(bits, n, g, held, num, den)[0]:
-                    for c in (held[0][i], cls):
-                        if c not in given:
-                            given.add(c)
-                            yield key, c
+            fresh = set(np.unique(np.concatenate((a, b))).tolist()) - given
+            given |= fresh
+            for c in fresh:
+                yield int(key), c
 
     return lambda batches: _batches_of(rows(batches), ["key", "cls"])
 
@@ -424,7 +458,7 @@ def _meet(num: int, den: int, skip: int, every: bool):
     """Of rows sorted by key and class: pairs of different groups in one bucket that their fine parities let link, as (null, class, class).
 
     The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member's possible pairs
-    only the likeliest is given out, so at most one per row, or with `every` each of them. Members of any possible pair come as
+    only the likeliest of a stretch is given out, or with `every` each of them. Members of any possible pair come as
     (key, class, null), each once; later rounds need no others.
     """
 
@@ -432,24 +466,23 @@ def _meet(num: int, den: int, skip: int, every: bool):
         given: set[tuple[int, int]] = set()
         members: set[int] = set()
         last = None
-        for key, cls, n, bits, g, pivots in _streamed(batches, "fine", skip):
+        for key, a, b, share in _streamed(batches, "fine", skip, num, den):
             if key != last:
                 members, last = set(), key
-            met = []
-            for held in pivots.values():
-                found, share = _near(bits, n, g, held, num, den)
-                met += [(x, held[0][i], cls) for x, i in zip(share.tolist(), found.tolist(), strict=True)]
-            for c in {c for _, *pair in met for c in pair} - members:
-                members.add(c)
-                yield key, c, None
-            if not every and met:
-                met = [min(met)]
+            fresh = set(np.unique(np.concatenate((a, b))).tolist()) - members
+            members |= fresh
+            for c in fresh:
+                yield int(key), c, None
+            if not every:
+                order = np.lexsort((a, share, b))
+                order = order[np.append(True, b[order[1:]] != b[order[:-1]])]
+                a, b = a[order], b[order]
             if len(given) > REMEMBERED:
                 given.clear()
-            for _, a, b in met:
-                if (a, b) not in given:
-                    given.add((a, b))
-                    yield None, a, b
+            for pair in zip(a.tolist(), b.tolist(), strict=True):
+                if pair not in given:
+                    given.add(pair)
+                    yield None, *pair
 
     return lambda batches: _batches_of(rows(batches), ["key", "a", "b"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foreband.llm.common import prepare
 from foreband.llm.labelled import held_out, labelled_sample
-from foreband.llm.words import CHUNK, shingles, word_hashes
+from foreband.llm.words import CHUNK, distinct, shingles, word_hashes
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _STOP, _SPACE = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
@@ -54,7 +54,7 @@ def statistics(raw: bytes, hashes: np.ndarray) -> list[float]:
             capital += int((_UPPER[data[start]] & _UPPER[second] & (size > 1)).sum())
     n, w = max(len(raw), 1), max(words, 1)
     share = counts[counts > 0] / n
-    distinct, often = np.unique(hashes, return_counts=True)
+    different, often = np.unique(hashes, return_counts=True)
     triples = shingles(hashes, 3)
     lines = raw.split(b"\n")
     mean = lengths / w
@@ -62,7 +62,7 @@ def statistics(raw: bytes, hashes: np.ndarray) -> list[float]:
         np.log1p(len(raw)), np.log1p(words), np.log1p(len(lines)), counts[_UPPER].sum() / n, counts[_DIGIT].sum() / n, counts[_SYMBOL].sum() / n,
         counts[_STOP].sum() / n, counts[33] / n, counts[124] / n, counts[128:].sum() / n, counts[_SPACE].sum() / n, float(-(share * np.log2(share)).sum()),
         mean, np.sqrt(max(squares / w - mean * mean, 0.0)), np.log1p(longest), symbol_end / w, bang_end / w, capital / w,
-        len(distinct) / w, (often.max() if len(often) else 0) / w, float((hashes[1:] == hashes[:-1]).sum()) / w, len(np.unique(triples)) / max(len(triples), 1),
+        len(different) / w, (often.max() if len(often) else 0) / w, float((hashes[1:] == hashes[:-1]).sum()) / w, len(distinct(triples)) / max(len(triples), 1),
         len(set(lines)) / len(lines), np.log1p(n / len(lines)), sum(len(x) < 40 for x in lines) / len(lines), sum(b"|" in x for x in lines) / len(lines),
         np.log1p(words / (1 + counts[46] + counts[63] + counts[33])),
     ]

@@ -25,6 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; a sort takes less time than the table that np.unique builds."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
