@@ -37,8 +37,8 @@ from foreband.llm.words import distinct, mix, shingles, word_hashes
 EMPTY_COST, TINY_COST = 5_000.0, 100.0
 # Members of a bucket that the others are held against at a time.
 PIVOTS = 512
-# Pairs whose parities are held against each other at a time.
-NEAR_CELLS = 1 << 17
+# Pairs whose parities are held against each other at a time, and rows of a bucket whose pairs are held at a time.
+NEAR_CELLS, STRETCH = 1 << 17, 500
 # Pairs a task remembers, so that it does not give them out for each bucket they share; a full memory starts anew.
 REMEMBERED = 200_000
 # Index rows that a task holds to find the buckets among them; a bucket with a large share of them is then given out in parts.
@@ -392,13 +392,13 @@ def _near(rows: list, pivots: list, num: int, den: int) -> Iterator[tuple[np.nda
 
 def _streamed(batches, column: str, skip: int, num: int, den: int):
     """Of rows (key, cls, n, parity, g) sorted by key and class: pairs of a bucket's pivots, its members after the first `skip`, PIVOTS at
-    most, with members that follow them, if they may link, as (key, pivots' classes, members' classes, shares), each a stretch of a bucket."""
+    most, with members that follow them, if they may link, as (key, pivots' classes, members' classes, shares) of a stretch of members, each in one stretch."""
     last, seen, held, pivots = None, 0, np.zeros(0, np.int64), {}
     for b in batches:
         if not b.num_rows:
             continue
         key, cls, n, g = (b.column(c).to_numpy() for c in ("key", "cls", "n", "g"))
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]) | (np.arange(len(key)) % STRETCH == 0)).tolist()
         for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
             if key[start] != last:
                 last, seen, held, pivots = key[start], 0, np.zeros(0, np.int64), {}
@@ -420,10 +420,10 @@ def _streamed(batches, column: str, skip: int, num: int, den: int):
                 new = [x[own[0] < PIVOTS] for x in own]
                 if len(new[0]):
                     pivots[width] = [np.concatenate(x) for x in zip(pivots[width], new, strict=True)] if width in pivots else new
-            for own in rows.values():
-                for some in pivots.values():
-                    for i, j, share in _near(own, some, num, den):
-                        yield last, held[j], cls[i + skip - before + start], share
+            found = [x for own in rows.values() for some in pivots.values() for x in _near(own, some, num, den)]
+            if found:
+                i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield last, held[j], cls[i + skip - before + start], share
 
 
 def _batches_of(rows: Iterator[tuple[int, int]], names: list[str], size: int = 10_000):
@@ -458,7 +458,7 @@ def _meet(num: int, den: int, skip: int, every: bool):
     """Of rows sorted by key and class: pairs of different groups in one bucket that their fine parities let link, as (null, class, class).
 
     The members of a bucket after the first `skip`, PIVOTS of them at most, meet all that follow them. Of a member's possible pairs
-    only the likeliest of a stretch is given out, or with `every` each of them. Members of any possible pair come as
+    only the likeliest is given out, or with `every` each of them. Members of any possible pair come as
     (key, class, null), each once; later rounds need no others.
     """
 
